@@ -1,9 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from quartzite.llm.jaccard import op9_jaccard_join
+from quartzite.llm import decontaminate, jaccard, suffixes
 
 QUERIES = {
-    "op9_jaccard_join": op9_jaccard_join,
+    "op6_suffix_array_dedup": suffixes.op6_suffix_array_dedup,
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+for module in (decontaminate, jaccard, suffixes):
+    ORACLE_SQL |= getattr(module, "ORACLE_SQL", {})
