@@ -1,13 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from quartzite.llm import decontaminate, jaccard, suffixes
+from quartzite.llm import decontaminate, jaccard, packing, suffixes
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op6_suffix_array_dedup": suffixes.op6_suffix_array_dedup,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_jaccard_join": jaccard.op9_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
-for module in (decontaminate, jaccard, suffixes):
+for module in (decontaminate, jaccard, packing, suffixes):
     ORACLE_SQL |= getattr(module, "ORACLE_SQL", {})
