@@ -51,6 +51,12 @@ def width(spark: SparkSession, df: DataFrame | None = None) -> int:
     return max(n, df.rdd.getNumPartitions()) if df is not None else n
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether each node of the edges (u, v) has one v or is one."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n"), F.lit(0).alias("root")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("n"), F.lit(1).alias("root")))
+    return ends.groupBy("x").agg(F.sum("n").alias("n"), F.max("root").alias("root")).where("n + root > 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected `edges` as rows (node, component), component = smallest node of it.
 
@@ -60,15 +66,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Self loops and null ends are ignored; nodes without an edge have no row.
     """
     spark = edges.sparkSession
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u > v").distinct()
     old_path = new_path(spark, "cc")
-    e = materialize(e, "cc", old_path)
-    mark = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
+    e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u > v").distinct(), "cc", old_path)
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(m, both.u == m.k).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -10,8 +10,9 @@ themselves are compared.
 What keeps it exact: a document with z parts that hold no telling shingle agrees with any partner on a telling part as long as
 z < m - D.  The few others (short, or mostly of very frequent shingles) publish all their parts.  What keeps it flat: parts,
 not values, are dealt to buckets, so every bucket gets as many rows of every document, however alike the documents are; equal
-sets count once; a value that many documents share yields comparisons with one of four pseudo-random members, and only members
-that are still in different components after that are compared with one another.
+sets count once; a value that many documents share yields comparisons with one of four pseudo-random members.  Members that
+are still in different components after that are compared by their sketches, in blocks and without a row for each pair: first
+each brings forward its closest, and what is in different components even then all that the sketches allow.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ RATIO = 1.5
 SKETCH_BITS = 1024
 #: Documents of a group that are compared with each other at once; larger groups go through leaders.
 SMALL_GROUP = 8
+#: Members of a group whose sketches one task compares with one another.
+BLOCK = 2048
 #: A shingle in this share of all documents (and in MIN_HEAVY at least) doesn't make a part telling.
 HEAVY_SHARE, MIN_HEAVY, MAX_HEAVY = 0.005, 64, 1 << 20
 #: Signatures that one bucket may hold.
@@ -238,6 +241,59 @@ def _hamming(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield batch.select([0, 1]).filter(pa.array(ok))
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Rows sorted by the first two columns, group by group: the other columns as arrays."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        key, cell = (rest.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        at = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1)
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            yield rest.slice(i, j - i).columns[2:]
+        rest = rest.slice(at[-1])
+    if rest is not None and rest.num_rows:
+        yield rest.columns[2:]
+
+
+def _closest(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group's members in different components that sizes and sketches allow: all, or the closest of each member."""
+    found: list[np.ndarray] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        x = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["a", "b"])
+
+    for blk, node, n, comp, sketch in _groups(batches):
+        blk, node, n, comp = (c.to_numpy(zero_copy_only=False) for c in (blk, node, n, comp))
+        bits = np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(len(node), -1)
+        if (comp == comp[0]).all():
+            continue
+        left, right = (np.flatnonzero(blk == blk.min()), np.flatnonzero(blk == blk.max()))
+        for i in range(0, len(left), 64):
+            own = left[i : i + 64]
+            far = np.zeros((len(own), len(right)), np.int64)
+            for w in range(bits.shape[1]):
+                far += np.bitwise_count(bits[own, w][:, None] ^ bits[right, w][None, :])
+            big, small = np.maximum(n[own][:, None], n[right][None, :]), np.minimum(n[own][:, None], n[right][None, :])
+            ok = (comp[own][:, None] != comp[right][None, :]) & (far * (den + num) <= (big + small) * (den - num)) & (small * den >= big * num)
+            if best:
+                far[~ok] = np.iinfo(np.int64).max
+                x = np.flatnonzero(ok.any(axis=1))
+                y = far[x].argmin(axis=1)
+            else:
+                x, y = np.nonzero(ok)
+            if len(x):
+                a, b = node[own[x]], node[right[y]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                held += len(x)
+        if held > 1 << 20:
+            yield out()
+            found, held = [], 0
+    if found:
+        yield out()
+
+
 def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     _sets.k = k
     for batch in batches:
@@ -317,17 +373,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rep = lambda x: classes_small.select(F.col("cls").alias(x), F.col("rep").alias(f"r{x}"))
     pairs = met.where("not member").select("a", "b").distinct().join(rep("a"), "a").join(rep("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    links = linked(pairs)
-    comp = components(links)
-    members = met.where("member").select(F.col("a").alias("key"), F.col("b").alias("cls"))
-    members = members.join(classes_small.select("cls", F.col("rep").alias("node")), "cls").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = materialize(members.join(mixed, "key", "left_semi"), "members")
-    if not members.isEmpty():  # members of a group in different components: compare across these
-        x = members.select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-        y = members.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-        links = links.unionByName(linked(x.join(y, "key").where("a < b and ca <> cb").select("a", "b").distinct()))
-        comp = components(links)
+    comp = components(linked(pairs))
+    members = met.where("member").select(F.col("a").alias("key"), F.col("b").alias("cls")).join(classes_small.select("cls", F.col("rep").alias("node")), "cls").select("key", "node")
+    # members of a group in different components: compare across these, by the closest first
+    for best in (True, False):
+        label = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        mixed = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+        label = materialize(label.join(mixed, "key"), "members")
+        if label.isEmpty():
+            break
+        cut = label.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cut = cut.join(classes_small.select(F.col("rep").alias("node"), "n", "sketch"), "node").select("key", (F.least("blk", "other") * F.col("blocks") + F.greatest("blk", "other")).alias("cell"), "blk", "node", "n", "component", "sketch")
+        parts = max(width(spark), -(-label.count() // (BUCKET_ROWS // 16)))
+        pairs = cut.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(partial(_closest, num=num, den=den, best=best), "a long, b long").distinct()
+        # the new links join components: only these are looked at again
+        name = comp.select("node", "component")
+        more = linked(pairs).join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
+        alone = joined.join(comp, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+        comp = comp.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(alone)
+        comp = materialize(comp, "comp")
+        members = label.select("key", "node")
     drop(spark, met_path)
     found = classes_small.select("cls", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
     full = per_doc.where("n > 0").select("id", "n", "cls").join(found, "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
