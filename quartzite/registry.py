@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from quartzite.operators import entropy
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (entropy,):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
