@@ -23,8 +23,8 @@ def octets(text: Column) -> Column:
 
 def varint_len(n: Column) -> Column:
     """Bytes of n >= 0 in groups of seven bits."""
-    out = lit(10)
-    for k in range(9, 0, -1):
+    out = lit(9)
+    for k in range(8, 0, -1):
         out = F.when(n < (1 << (7 * k)), lit(k)).otherwise(out)
     return out.cast("int")
 

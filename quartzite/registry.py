@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quartzite.operators import entropy
+from quartzite.operators import entropy, transforms
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (entropy,):
+for module in (entropy, transforms):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
