@@ -363,7 +363,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         thin = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(partial(_hamming, num=num, den=den), "a long, b long")
         thin = materialize(thin, "pairs", pairs_path)
         needed = thin.select(F.col("a").alias("id")).unionByName(thin.select(F.col("b").alias("id"))).distinct()
-        sets = src.join(needed, "id", "left_semi").mapInArrow(partial(_shingles, k=k), "id long, shingles binary").dropDuplicates(["id"])
+        # a sort-merge join at every size: what it moves follows the input
+        sets = src.join(needed.hint("merge"), "id", "left_semi").mapInArrow(partial(_shingles, k=k), "id long, shingles binary").dropDuplicates(["id"])
         sets = materialize(sets, "sets", sets_path)
         set_of = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
         out = thin.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(partial(_verify, num=num, den=den), "a long, b long")
