@@ -157,9 +157,9 @@ KEYWORDS: Sequence[str] = ("return", "function", "import", "class", "while", "st
 
 def human_size(n: Column) -> Column:
     """Bytes with a binary unit and two decimals."""
-    out = F.format_string("%.2f TB", n / float(1 << 40))
+    out = F.format_string("%.2f TB", F.round(n / float(1 << 40), 2))
     for unit, power in (("GB", 30), ("MB", 20), ("KB", 10)):
-        out = F.when(n < 1 << (power + 10), F.format_string(f"%.2f {unit}", n / float(1 << power))).otherwise(out)
+        out = F.when(n < 1 << (power + 10), F.format_string(f"%.2f {unit}", F.round(n / float(1 << power), 2))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), lit(" B"))).otherwise(out)
 
 
