@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quartzite.operators import entropy, text, transforms
+from quartzite.operators import context, entropy, quant, relational, text, transforms
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (entropy, text, transforms):
+for module in (context, entropy, quant, relational, text, transforms):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
