@@ -140,12 +140,6 @@ def magic(data):
     return out
 
 
-def wal(spark, n: int) -> DataFrame:
-    """A deterministic write-ahead log: lsn, transaction, operation, payload."""
-    i = F.col("id")
-    return spark.range(n).select((i * 50).alias("lsn"), F.floor(i / 4).cast("long").alias("tx"), F.pmod(i * 7, F.lit(3)).cast("int").alias("op"), F.md5(i.cast("string")).alias("payload"))
-
-
 def _docs(s, d):
     return table(s, d, "documents")
 
@@ -193,7 +187,6 @@ QUERIES = {
     "q_prefix_tags": lambda s, d: table(s, d, "pages").select("page_id", F.coalesce(*(F.when(F.col("url").startswith(p), i) for i, p in enumerate(PREFIXES)), F.lit(-1)).alias("tag")),
     "q_magic_sniff": lambda s, d: table(s, d, "pages").select("page_id", magic(F.encode("html", "UTF-8")).alias("magic"), magic(F.encode("url", "UTF-8")).alias("url_magic")),
     "q_metrics": lambda s, d: (lambda x: x.select("doc_id", "n", "packed", F.round(C.ratio(F.col("n"), F.col("packed")), 4).alias("ratio"), F.round(F.when(F.col("n") > 0, 100.0 * (F.col("n") - F.col("packed")) / F.col("n")).otherwise(0.0), 4).alias("saved_pct")))(_docs(s, d).select("doc_id", _n().alias("n"), F.floor(_n() / 3).alias("packed"))),
-    "q_gen_wal": lambda s, d: wal(s, 2000),
     "q_empty_guard": lambda s, d: _docs(s, d).select("doc_id", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit("empty")).otherwise("data").alias("state")),
 }
 
@@ -259,6 +252,5 @@ CASE WHEN ext IN {_in(R.TENSOR)} THEN 4 WHEN ext IN {_in(R.AUDIO)} AND lossy THE
     "q_prefix_tags": "SELECT page_id, CASE " + " ".join(f"WHEN starts_with(url, '{p}') THEN {i}" for i, p in enumerate(PREFIXES)) + " ELSE -1 END AS tag FROM pages",
     "q_magic_sniff": f"SELECT page_id, {_magic('html')} AS magic, {_magic('url')} AS url_magic FROM pages",
     "q_metrics": f"SELECT doc_id, n, packed, round(n / greatest(packed, 1), 4) AS ratio, round(CASE WHEN n > 0 THEN 100.0 * (n - packed) / CAST(n AS DOUBLE) ELSE 0 END, 4) AS saved_pct FROM (SELECT doc_id, {_SIZE} AS n, {_SIZE} // 3 AS packed FROM documents)",
-    "q_gen_wal": "SELECT id * 50 AS lsn, id // 4 AS tx, CAST(id * 7 % 3 AS INTEGER) AS op, md5(CAST(id AS VARCHAR)) AS payload FROM range(2000) t(id)",
     "q_empty_guard": "SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'empty' ELSE 'data' END AS state FROM documents",
 }

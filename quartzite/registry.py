@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quartzite.operators import context, entropy, quant, relational, storage, text, transforms
+from quartzite.operators import context, entropy, extras, quant, relational, storage, text, transforms
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (context, entropy, quant, relational, storage, text, transforms):
+for module in (context, entropy, extras, quant, relational, storage, text, transforms):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

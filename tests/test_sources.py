@@ -109,3 +109,25 @@ def test_streams_add_each_batch_once(spark, tmp_path):
     assert {r.key: (r.total, round(r.entropy, 6)) for r in blocks.stream_entropy(spark, out).collect()} == {"s0": (12, 1.0), "s1": (18, 1.0)}
     blocks.stream_blocks(blocks.read_stream(spark, str(tmp_path / "t")), "id", "text", str(tmp_path / "b"), str(tmp_path / "bc")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "b")).where("restored").count() == 5
+
+
+def test_sql_functions(spark):
+    from quartzite.functions.sql import register
+
+    register(spark)
+    r = spark.sql("SELECT entropy(CAST('abab' AS BINARY)) AS e, crc32c(CAST('123456789' AS BINARY)) AS c, entropy(CAST(NULL AS BINARY)) AS n").first()
+    assert (r.e, r.c, r.n) == (1.0, 0xE3069283, None)
+    assert spark.sql("SELECT group_entropy(x) FROM VALUES (CAST('a' AS BINARY)), (CAST('b' AS BINARY)) t(x)").first()[0] == 1.0
+    assert [tuple(r) for r in spark.sql("SELECT * FROM text_parts('ab, c') ORDER BY pos").collect()] == [(0, "ab"), (1, ", "), (2, "c")]
+
+
+def test_decode_any():
+    import bz2
+    import lzma
+    import zlib
+
+    from quartzite.operators.extras import decode_any
+
+    for x in (b"", b"BZh not really", b"\x78\x9c\x00", b"text"):
+        assert decode_any(x) == ("raw", x)
+    assert decode_any(bz2.compress(b"a")) == ("bzip2", b"a") and decode_any(lzma.compress(b"a")) == ("lzma", b"a") and decode_any(zlib.compress(b"a")) == ("zlib", b"a")
