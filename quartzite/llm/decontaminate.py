@@ -271,11 +271,12 @@ def _near(batches: Iterator[pa.RecordBatch], windows: Broadcast, slop: int) -> I
                 for y, t in near:
                     has[t] = has.get(t, 0) + 1
                     while len(has) == need:
-                        if y - near[start][0] < reach:
-                            out.update((d, near[start][0], y + 1, item) for item in w.items[i])
-                        has[near[start][1]] -= 1
-                        if not has[near[start][1]]:
-                            del has[near[start][1]]
+                        t0 = near[start][1]
+                        has[t0] -= 1
+                        if not has[t0]:  # the shortest span that ends here starts here
+                            del has[t0]
+                            if y - near[start][0] < reach:
+                                out.update((d, near[start][0], y + 1, item) for item in w.items[i])
                         start += 1
         rows = sorted(out)
         low = np.iinfo(np.int64).min

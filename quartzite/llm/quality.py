@@ -62,7 +62,7 @@ class Ordinal:
 
 
 def fit(doc: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int, rounds: int = 200, l2: float = 1e-5, rate: float = 0.5) -> Ordinal:
-    """Maximum likelihood by Adam on all rows at once; deterministic.  `grade` has one entry a document."""
+    """Maximum likelihood by Adam on all rows at once; deterministic.  `doc` ascends, `grade` has one entry a document."""
     n = max(1, len(grade))
     k = grades - 1
     share = np.array([(np.sum(grade <= j) + 0.5) / (len(grade) + 1) for j in range(k)])
@@ -71,9 +71,16 @@ def fit(doc: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
     params = np.concatenate([np.zeros(1 << BITS), first[:1], gap])
     m, v = np.zeros_like(params), np.zeros_like(params)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    # both sums over the features are runs of a sorted array: by document, and once more by place
+    heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else doc
+    by_place = np.argsort(place, kind="stable")
+    its_doc, its_value, its_place = doc[by_place], value[by_place], place[by_place]
+    ends = np.flatnonzero(np.concatenate([[True], its_place[1:] != its_place[:-1]])) if len(doc) else doc
     for step in range(1, rounds + 1 if len(grade) else 1):
         w, t = params[: 1 << BITS], params[1 << BITS] + np.concatenate([[0], np.cumsum(np.exp(params[(1 << BITS) + 1 :]))])
-        s = np.bincount(doc, weights=w[place] * value, minlength=len(grade))
+        s = np.zeros(len(grade))
+        if len(doc):
+            s[doc[heads]] = np.add.reduceat(w[place] * value, heads)
         edges = np.concatenate([[-np.inf], t, [np.inf]])
         up, low = sigmoid(edges[grade + 1] - s), sigmoid(edges[grade] - s)
         up[grade == k], low[grade == 0] = 1, 0
@@ -81,7 +88,9 @@ def fit(doc: np.ndarray, place: np.ndarray, value: np.ndarray, grade: np.ndarray
         du, dl = up * (1 - up) / p, low * (1 - low) / p
         # derivative of -log p: by the score, and by the thresholds above and below the grade
         g = np.zeros_like(params)
-        g[: 1 << BITS] = np.bincount(place, weights=(du - dl)[doc] * value, minlength=1 << BITS) / n + l2 * w
+        if len(doc):
+            g[its_place[ends]] = np.add.reduceat((du - dl)[its_doc] * its_value, ends) / n
+        g[: 1 << BITS] += l2 * w
         dt = (np.bincount(grade, weights=-du, minlength=grades)[:k] + np.bincount(grade, weights=dl, minlength=grades)[1:]) / n
         g[1 << BITS] = dt.sum()
         tail = np.cumsum(dt[::-1])[::-1][1:]
