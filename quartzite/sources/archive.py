@@ -7,6 +7,7 @@ no container is larger than a task's memory allows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from functools import partial
 
@@ -210,7 +211,10 @@ def unpack_stream(data: bytes) -> bytes:
         n, at = K.read_varint(data, at)
         m, at = K.read_varint(data, at)
         crc, at = int.from_bytes(data[at : at + 4], "little"), at + 4
-        block = unpack_block(mode, data[at : at + m])
+        try:
+            block = unpack_block(mode, data[at : at + m])
+        except zlib.error as e:
+            raise ValueError(f"a block can't be unpacked: {e}") from e
         at += m
         if len(block) != n or K.crc32c(K.as_bytes(block)) != crc:
             raise ValueError("a block's checksum is wrong")

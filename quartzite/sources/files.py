@@ -9,16 +9,27 @@ from pyspark.sql import functions as F
 IGNORED = (".git", "node_modules", ".venv", "venv", ".vs", "build", "dist", "__pycache__")
 
 
+def _empty_files(spark: SparkSession, root: str, recursive: bool) -> list[str]:
+    """Files without a byte: Spark's source has no row for them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, recursive)
+    out = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toString())
+    return out
+
+
 def scan(spark: SparkSession, root: str, recursive: bool = True, ignored: tuple[str, ...] = ()) -> DataFrame:
     """(path, relative, length, content) of the files under `root`, or of one file.  `content` is only read where it is used; filters on length reach the source."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(root).select("path", "length", "content")
+    empty = _empty_files(spark, root, recursive)
+    if empty:
+        df = df.unionByName(spark.createDataFrame([(p, 0, b"") for p in empty], "path string, length long, content binary"))
     base = root.rstrip("/").rpartition("/")[2]
-    relative = F.regexp_replace(F.col("path"), f"^.*?/{_quoted(base)}/?", "")
+    relative = F.regexp_replace(F.col("path"), f"^.*?/\\Q{base}\\E/?", "")
     df = df.select("path", F.when(relative == "", base).otherwise(relative).alias("relative"), "length", "content")
     for name in ignored:
         df = df.where(~F.concat(F.lit("/"), "relative").contains(f"/{name}/"))
     return df
-
-
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
