@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
@@ -154,7 +153,7 @@ def _match(batches: Iterator[pa.RecordBatch], windows: Broadcast) -> Iterator[pa
                 for item in w.items[i]:
                     docs.append(d)
                     items.append(np.full(len(d), item))
-        spans, found = [b""] * n, [[]] * n
+        spans, found = [[]] * n, [[]] * n
         if starts:
             s, e = np.concatenate(starts), np.concatenate(starts) + np.concatenate(lens)
             edge = np.zeros(int(seg.ends[-1]) + 1, np.int32)
@@ -173,36 +172,24 @@ def _match(batches: Iterator[pa.RecordBatch], windows: Broadcast) -> Iterator[pa
             pairs = np.stack([cuts - first[d], ends - first[d]], axis=1)
             at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             for i, j in zip(at, np.append(at[1:], len(d)), strict=True):
-                spans[d[i]] = pairs[i:j].astype(np.int64).tobytes()
+                spans[d[i]] = [{"start": a, "end": b} for a, b in pairs[i:j].tolist()]
             both = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)], axis=1), axis=0)
             at = np.flatnonzero(np.concatenate([[True], both[1:, 0] != both[:-1, 0]]))
             for i, j in zip(at, np.append(at[1:], len(both)), strict=True):
                 found[both[i, 0]] = both[i:j, 1].tolist()
         ids = pa.array([None if x == np.iinfo(np.int64).min else x for x in seg.ids.tolist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(seg.words), pa.array(spans, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["segment", "place", "doc_id", "n_words", "spans", "items"])
+        yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(seg.words), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(found, pa.list_(pa.int64()))], ["segment", "place", "doc_id", "n_words", "spans", "items"])
 
 
-MATCH = "segment string, place int, doc_id long, n_words long, spans binary, items array<long>"
+MATCH = "segment string, place int, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
 
 
-def _union(lists: pd.Series) -> pd.Series:
-    """Merge the spans of several passes."""
-
-    def one(blobs):
-        x = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs] or [np.zeros((0, 2), np.int64)])
-        if not len(x):
-            return b""
-        x = x[np.argsort(x[:, 0], kind="stable")]
-        top = np.maximum.accumulate(x[:, 1])
-        new = np.concatenate([[True], x[1:, 0] > top[:-1]])
-        at = np.flatnonzero(new)
-        return np.stack([x[at, 0], top[np.append(at[1:], len(x)) - 1]], axis=1).tobytes()
-
-    return lists.map(one)
-
-
-def _length(spans: pd.Series) -> pd.Series:
-    return spans.map(lambda b: int((np.frombuffer(b, np.int64).reshape(-1, 2) @ [-1, 1]).sum()))
+def _merged(spans):
+    """Overlapping spans of several passes as one each."""
+    span = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
+    first = F.slice(spans, 1, 0)
+    add = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), span(F.element_at(acc, -1)["start"], F.greatest(F.element_at(acc, -1)["end"], s["end"])))).otherwise(F.concat(acc, span(s["start"], s["end"])))
+    return F.aggregate(F.array_sort(spans), first, add)
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +222,7 @@ def _counted(index: DataFrame, windows: Windows) -> Broadcast:
 
 
 def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Per document of the index: doc_id, n_words, spans (int64 pairs of first and end word, merged), items with an occurring window.
+    """Per document of the index: doc_id, n_words, spans ([start, end) in words, merged), items with an occurring window.
 
     A window is `window` consecutive words of an item, or all words of an item that has fewer; items without words or id match
     nothing.  Repeated items count once, repeated documents each.
@@ -247,7 +234,7 @@ def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, id_col:
     for x in parts[1:]:
         out = out.unionByName(x)
     out = out.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out.select("doc_id", "n_words", F.pandas_udf(_union, "binary")("s").alias("spans"), "items")
+    return out.select("doc_id", "n_words", _merged(F.flatten("s")).alias("spans"), "items")
 
 
 def _near(batches: Iterator[pa.RecordBatch], windows: Broadcast, slop: int) -> Iterator[pa.RecordBatch]:
@@ -295,7 +282,7 @@ def proximity_matches(index: DataFrame, items: DataFrame, window: int = 10, slop
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: n_words, n_hit (words inside an occurrence), items."""
     found = phrase_matches(build_index(docs, id_col, text_col), items, window, item_col, item_text)
-    return found.select(F.col("doc_id").alias(id_col), "n_words", F.pandas_udf(_length, "long")("spans").alias("n_hit"), "items")
+    return found.select(F.col("doc_id").alias(id_col), "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("n_hit"), "items")
 
 
 def op8_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.llm.common import arrow_batches, components, drop, materialize, new_path, width
-from quartzite.llm.scan import U, mix, shingle_sets, text_chunks
+from quartzite.llm.scan import U, give_back, mix, shingle_sets, text_chunks
 
 RATIO = 1.5
 SKETCH_BITS = 1024
@@ -37,7 +37,7 @@ BLOCK = 2048
 #: A shingle in this share of all documents (and in MIN_HEAVY at least) doesn't make a part telling.
 HEAVY_SHARE, MIN_HEAVY, MAX_HEAVY = 0.005, 64, 1 << 20
 #: Signatures that one bucket may hold.
-BUCKET_ROWS = 4 << 20
+BUCKET_ROWS = 2 << 20
 
 
 class Bands:
@@ -64,14 +64,11 @@ class Bands:
         return self.m[band] - (n + partner) * (self.den - self.num) // (self.den + self.num) - 1
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, shingles, document within ids) of runs of rows of a batch with columns id, text."""
     ids = batch.column(0)
     for i, j, raw, offs in text_chunks(batch.column(1)):
-        yield ids.slice(i, j - i), *shingle_sets(raw, offs, _sets.k)
-
-
-_sets.k = 5
+        yield ids.slice(i, j - i), *shingle_sets(raw, offs, k)
 
 
 def _class(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -85,7 +82,6 @@ def _class(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Per document: id, n, class, parity sketch.  Rows without sketch carry shingle counts: (shingle, documents)."""
-    _sets.k = k
     held, n_docs = [], 0
 
     def frequent() -> Iterator[pa.RecordBatch]:
@@ -95,7 +91,7 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.nulls(int(often.sum()), pa.int64()), pa.array(c[often].astype(np.int64)), pa.array(v[often].view(np.int64)), pa.nulls(int(often.sum()), pa.binary())], ["id", "n", "cls", "sketch"])
 
     for batch in batches:
-        for ids, h, doc in _sets(batch):
+        for ids, h, doc in _sets(batch, k):
             n = np.bincount(doc, minlength=len(ids))
             first = np.cumsum(n) - n
             bits = np.bincount(doc * SKETCH_BITS + (h & U(SKETCH_BITS - 1)).astype(np.int64), minlength=len(ids) * SKETCH_BITS) & 1
@@ -104,7 +100,7 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(_class(h, first, n)), pa.array([packed[i * w : i * w + w] for i in range(len(ids))], pa.binary())], ["id", "n", "cls", "sketch"])
             held.append(h)
             n_docs += len(ids)
-            if sum(map(len, held)) > 1 << 20:
+            if sum(map(len, held)) > 1 << 19:
                 yield from frequent()
                 held, n_docs = [], 0
     if held:
@@ -113,7 +109,6 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy, layout: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, keys, classes): the telling parts of each document, packed by bucket."""
-    _sets.k = k
     heavy = heavy.value
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -135,7 +130,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy,
 
     size = 0
     for batch in batches:
-        for ids, h, doc in _sets(batch):
+        for ids, h, doc in _sets(batch, k):
             n = np.bincount(doc, minlength=len(ids))
             cls = _class(h, np.cumsum(n) - n, n)
             light = ~np.isin(h, heavy) if len(heavy) else np.ones(len(h), bool)
@@ -171,7 +166,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy,
                 bucket = layout["base"][b] + (p * ranges // bands.m[b]) * layout["subs"][b] + (key % subs).astype(np.int64)
                 held.append((bucket, key, cls[docs][who]))
                 size += len(key)
-            if size > 1 << 20:
+            if size > 1 << 19:
                 yield from flush()
                 held, size = [], 0
     if held:
@@ -229,6 +224,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, member in _pairs(key, cls):
             for i in range(0, len(a), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 17)]), pa.array(b[i : i + (1 << 17)]), pa.array(np.full(len(a[i : i + (1 << 17)]), member))], ["a", "b", "member"])
+    give_back()
 
 
 def _hamming(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -295,9 +291,8 @@ def _closest(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool)
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    _sets.k = k
     for batch in batches:
-        for ids, h, doc in _sets(batch):
+        for ids, h, doc in _sets(batch, k):
             n = np.bincount(doc, minlength=len(ids))
             ends = np.cumsum(n)
             yield pa.RecordBatch.from_arrays([ids, pa.array([h[e - c : e].tobytes() for c, e in zip(n, ends, strict=True)], pa.binary())], ["id", "shingles"])

@@ -135,8 +135,8 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """`token_pieces` of `docs`, packed."""
-    return pack(token_pieces(docs, id_col, text_col, vocab, capacity, keep_ids), "length", capacity)
+    """`token_pieces` of `docs`, packed.  The pieces are written first: tokenizers and ranks then share the same Python workers, one after the other."""
+    return pack(materialize(token_pieces(docs, id_col, text_col, vocab, capacity, keep_ids), "tokens"), "length", capacity)
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+#: Bytes of text that one round of array operations takes; its temporaries are some fifty times as large.
+CHUNK = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -55,6 +57,16 @@ def powers(n: int) -> np.ndarray:
     return _pow[:n]
 
 
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between stages, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def text_chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of rows of about `limit` bytes.  Null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -81,6 +93,7 @@ def text_chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, n
         j = min(j, n, i + 60_000)
         yield i, j, raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
         i = j
+    give_back()
 
 
 def spans(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

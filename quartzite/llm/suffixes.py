@@ -30,7 +30,7 @@ from quartzite.llm.scan import NON_SPACE, U, mix, powers, span_hashes, spans, te
 
 MIN_WORDS, GRAM = 50, 20
 #: Rows that one partition of a sort may hold.
-PART_ROWS = 2 << 20
+PART_ROWS = 1 << 20
 #: Words that are searched for minimisers at once; longer documents are cut with an overlap.
 STEP = 1 << 22
 NULL_ID = np.iinfo(np.int64).min

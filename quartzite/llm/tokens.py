@@ -7,6 +7,7 @@ character outside ASCII and the Latin letters of U+00C0..U+017F, or with a contr
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from quartzite.llm.scan import LOWER, span_hashes, text_chunks
 
 #: Distinct words that a Python worker remembers, some 150 bytes each; at this number it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 LETTER, DIGIT, SPACE, OTHER = 1, 2, 0, 3
 _KIND = np.full(256, OTHER, np.uint8)
@@ -34,6 +35,7 @@ class WordBPE:
     """Encoder equal to `Tokenizer.encode(text, add_special_tokens=False).ids` for the vocabulary file at `path`."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each hold memory, too
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
