@@ -22,7 +22,7 @@ from quartzite.llm.scan import ALNUM, LOWER, SIGNS, U, mix, span_hashes, spans,
 
 BITS, PREFIXES = 18, (4, 6)
 #: Labelled rows that training uses at most, chosen by hash of the id.
-MAX_TRAIN = 8_000
+MAX_TRAIN = 4_000
 
 
 def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,10 +119,12 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_i
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = src.join(F.broadcast(rated), "id").select("id", "grade", "text").mapInArrow(_featured, "id long, grade int, places binary, values binary")
     got = sorted(rows.collect(), key=lambda r: (r.id, bytes(r.places)))
-    doc = np.repeat(np.arange(len(got)), [len(r.places) // 4 for r in got])
-    place = np.frombuffer(b"".join(r.places for r in got), np.uint32).astype(np.int64)
-    value = np.frombuffer(b"".join(r["values"] for r in got), np.float32).astype(np.float64)
-    return fit(doc, place, value, np.array([r.grade for r in got], np.int64), grades)
+    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(r.places) // 4 for r in got])
+    place = np.frombuffer(b"".join(r.places for r in got), np.uint32).astype(np.int32)
+    value = np.frombuffer(b"".join(r["values"] for r in got), np.float32)
+    grade = np.array([r.grade for r in got], np.int64)
+    del got
+    return fit(doc, place, value, grade, grades)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Broadcast, place: int) -> Iterator[pa.RecordBatch]:
