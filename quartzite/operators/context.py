@@ -14,9 +14,17 @@ from quartzite.sources.tables import table
 MAX_ORDER = 16
 
 
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """Stable argsort of whole numbers from 0 on: number and place in one word where they fit, which sorts faster."""
+    bits = len(key).bit_length()
+    if len(key) == 0 or int(key.max()) >= 1 << (62 - bits):
+        return np.argsort(key, kind="stable")
+    return np.sort((key.astype(np.int64) << bits) | np.arange(len(key))) & ((1 << bits) - 1)
+
+
 def seen_before(key: np.ndarray) -> np.ndarray:
     """For each entry, how many equal ones are in front of it."""
-    order = np.argsort(key, kind="stable")
+    order = stable_order(key)
     s = key[order]
     at = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
     first = np.maximum.accumulate(np.where(at, np.arange(len(s)), 0)) if len(s) else np.zeros(0, np.int64)
@@ -42,17 +50,32 @@ def context_counts(x: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return seen_before(c), seen_before(c * 256 + x[order:])
 
 
+def repeated_contexts(x: np.ndarray, limit: int = MAX_ORDER):
+    """For each order up to `limit`: (order, places, number of the context, how often it stood before), by context, then place.
+
+    Places whose context stands only once are left out from there on: a longer one does so, too.
+    """
+    at, key = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for order in range(1, limit + 1):
+        keep = at >= order
+        at = at[keep]
+        key = key[keep] * 256 + x[at - order]
+        by = stable_order(key)
+        s = key[by]
+        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        many = np.diff(np.append(first, len(s)))[group] > 1
+        before = (np.arange(len(s)) - first[group])[many]
+        at, key = at[by[many]], group[many]
+        yield order, at, key, before
+
+
 def matched_order(x: np.ndarray, limit: int = MAX_ORDER) -> np.ndarray:
     """For each place, the longest context of up to `limit` bytes that stood before, all shorter ones having done so, too."""
     out = np.zeros(len(x), np.int64)
-    alive = np.ones(len(x), bool)
-    for order in range(1, limit + 1):
-        hit = np.zeros(len(x), bool)
-        hit[order:] = seen_before(contexts(x, order)) > 0
-        alive &= hit
-        if not alive.any():
-            break
-        out[alive] = order
+    for order, at, _, before in repeated_contexts(x, limit):
+        out[at[before > 0]] = order
     return out
 
 
@@ -123,6 +146,15 @@ def _bench(s, d, fn, out):
     return map_bytes(table(s, d, "benchmark"), "text", fn, out, ["item_id"])
 
 
+def _docs(s, d, fn, out):
+    return map_bytes(table(s, d, "documents"), "text", fn, out, ["doc_id"])
+
+
+def _matched(x: np.ndarray):
+    o = matched_order(x)
+    return len(x), int(o.sum()), int(o.max(initial=0))
+
+
 def _counts(x: np.ndarray):
     for order in (1, 2, 3, 4):
         n, hit = context_counts(x, order)
@@ -149,6 +181,13 @@ QUERIES = {
     "q_binary_counts": lambda s, d: _bench(s, d, binary_counts, "zero long, one long"),
     "q_adaptive_freq": lambda s, d: _bench(s, d, adaptive_frequency, "total long, largest long"),
     "q_context_ring": lambda s, d: _bench(s, d, _window, "n long, weighted_sum long"),
+    # the same over whole documents, without SQL: its windows are too slow on long texts, and it has no halving
+    "q_ppm_matched_order_documents": lambda s, d: _docs(s, d, _matched, "n long, order_sum long, longest int"),
+    "q_unigram_prob_documents": lambda s, d: _docs(s, d, lambda x: (len(x), round(float(-np.log2(unigram(x)).sum()), 6) + 0.0), "n long, bits double"),
+    "q_repeat_cost_documents": lambda s, d: _docs(s, d, lambda x: (repeat_cost(x, 1), repeat_cost(x, 2), repeat_cost(x, 4)), "bits1 long, bits2 long, bits4 long"),
+    "q_binary_counts_documents": lambda s, d: _docs(s, d, binary_counts, "zero long, one long"),
+    "q_adaptive_freq_documents": lambda s, d: _docs(s, d, adaptive_frequency, "total long, largest long"),
+    "q_context_ring_documents": lambda s, d: _docs(s, d, _window, "n long, weighted_sum long"),
     "q_cum_freq": lambda s, d: cumulative(_hist(s, d)),
     "q_freq_scale": lambda s, d: frequencies(_hist(s, d)).select("b", "freq"),
     "q_code_length": lambda s, d: frequencies(_hist(s, d)).select("b", F.round("bits", 6).alias("bits")),
