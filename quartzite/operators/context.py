@@ -105,6 +105,22 @@ def blended(x: np.ndarray, order: int = 2) -> float:
     return float(-np.log2(p).sum())
 
 
+def blended_by_longest(x: np.ndarray, limit: int = MAX_ORDER) -> float:
+    """`blended` with the longest context of up to `limit` bytes that stood before at each place, as confident as it is long.
+
+    Probabilities are at least 1e-7 and not normalised again.
+    """
+    u = unigram(x)
+    p = u.copy()
+    for order, at, key, before in repeated_contexts(x, limit):
+        hit = seen_before(key * 256 + x[at])
+        known = before > 0
+        at, hit, before = at[known], hit[known], before[known]
+        conf = min(0.9999, 0.5 + 0.5 * order / limit)
+        p[at] = np.maximum(1e-7, conf * hit / before + (1 - conf) * u[at])
+    return float(-np.log2(p).sum())
+
+
 def binary_counts(x: np.ndarray, step: int = 4, limit: int = 4000) -> tuple[int, int]:
     """Adaptive counts of the lowest bits, halved when they pass a limit: sequential by nature."""
     zero, one = 1, 1
@@ -161,6 +177,12 @@ def _counts(x: np.ndarray):
         yield order, len(n), int((n > 0).sum()), int(n.sum()), int((hit > 0).sum()), int(hit.sum())
 
 
+def _all_counts(x: np.ndarray):
+    for order, at, key, before in repeated_contexts(x):
+        hit = seen_before(key * 256 + x[at])
+        yield order, max(0, len(x) - order), int((before > 0).sum()), int(before.sum()), int((hit > 0).sum()), int(hit.sum())
+
+
 def _hist(s, d):
     return byte_histogram(table(s, d, "documents")).select("b", "n")
 
@@ -174,6 +196,8 @@ def _window(x: np.ndarray):
 
 QUERIES = {
     "q_ppm_counts_k": lambda s, d: map_bytes(table(s, d, "documents"), "text", _counts, "order int, n long, contexts_seen long, context_sum long, symbols_seen long, symbol_sum long", ["doc_id"], many=True),
+    # all orders, without SQL: 16 windows over every byte
+    "q_ppm_counts_all": lambda s, d: map_bytes(table(s, d, "documents"), "text", _all_counts, "order int, n long, contexts_seen long, context_sum long, symbols_seen long, symbol_sum long", ["doc_id"], many=True),
     "q_ppm_matched_order": lambda s, d: _bench(s, d, lambda x: (len(x), int(matched_order(x).sum()), int(matched_order(x).max(initial=0))), "n long, order_sum long, longest int"),
     "q_unigram_prob": lambda s, d: _bench(s, d, lambda x: (len(x), round(float(-np.log2(unigram(x)).sum()), 6) + 0.0), "n long, bits double"),
     "q_repeat_cost": lambda s, d: _bench(s, d, lambda x: (repeat_cost(x, 1), repeat_cost(x, 2), repeat_cost(x, 4)), "bits1 long, bits2 long, bits4 long"),
@@ -185,6 +209,7 @@ QUERIES = {
     "q_ppm_matched_order_documents": lambda s, d: _docs(s, d, _matched, "n long, order_sum long, longest int"),
     "q_unigram_prob_documents": lambda s, d: _docs(s, d, lambda x: (len(x), round(float(-np.log2(unigram(x)).sum()), 6) + 0.0), "n long, bits double"),
     "q_repeat_cost_documents": lambda s, d: _docs(s, d, lambda x: (repeat_cost(x, 1), repeat_cost(x, 2), repeat_cost(x, 4)), "bits1 long, bits2 long, bits4 long"),
+    "q_ppm_blend_documents": lambda s, d: _docs(s, d, lambda x: (round(blended_by_longest(x), 4) + 0.0,), "bits double"),
     "q_binary_counts_documents": lambda s, d: _docs(s, d, binary_counts, "zero long, one long"),
     "q_adaptive_freq_documents": lambda s, d: _docs(s, d, adaptive_frequency, "total long, largest long"),
     "q_context_ring_documents": lambda s, d: _docs(s, d, _window, "n long, weighted_sum long"),

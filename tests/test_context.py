@@ -95,3 +95,46 @@ def test_whole_documents(spark, folder, name):
 
 def test_halving_is_reached():
     assert 256 + 16 * len(TEXTS[1]) > 32_000
+
+
+def brute_counts(x: bytes) -> list[tuple]:
+    out = []
+    for k in range(1, 17):
+        c, cs, a, sa, e, se = Counter(), Counter(), 0, 0, 0, 0
+        for i in range(k, len(x)):
+            key = x[i - k : i]
+            a, sa, e, se = a + (c[key] > 0), sa + c[key], e + (cs[key, x[i]] > 0), se + cs[key, x[i]]
+            c[key] += 1
+            cs[key, x[i]] += 1
+        out.append((k, max(0, len(x) - k), a, sa, e, se))
+    return out
+
+
+def brute_blend(x: bytes) -> float:
+    c, cs, bits = Counter(), Counter(), 0.0
+    u, longest = brute_unigram(x), orders(x)
+    for i, b in enumerate(x):
+        p = u[i]
+        if k := longest[i]:
+            conf = min(0.9999, 0.5 + 0.5 * k / 16)
+            key = x[i - k : i]
+            p = max(1e-7, conf * cs[key, b] / c[key] + (1 - conf) * p)
+        bits -= math.log2(p)
+        for k in range(1, min(i, 16) + 1):
+            c[x[i - k : i]] += 1
+            cs[x[i - k : i], b] += 1
+    return bits
+
+
+def test_counts_of_all_orders(spark, folder):
+    got = sorted(tuple(r) for r in registry.QUERIES["q_ppm_counts_all"](spark, folder).collect())
+    assert got == sorted((k, *r) for k, t in TEXTS.items() for r in brute_counts((t or "").encode()))
+    assert any(r[1] == 16 and r[3] for r in got)
+    few = sorted(tuple(r) for r in registry.QUERIES["q_ppm_counts_k"](spark, folder).collect())
+    assert few == [r for r in got if r[1] <= 4]
+
+
+def test_blend_by_longest_context(spark, folder):
+    want = {k: brute_blend((t or "").encode()) for k, t in TEXTS.items()}
+    got = rows(spark, folder, "q_ppm_blend_documents")
+    assert all(abs(got[k][0] - v) < 1e-3 for k, v in want.items()) and set(got) == set(want)
