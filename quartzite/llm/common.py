@@ -23,11 +23,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends here and lost executors recompute nothing above."""
+    """Write `df` to the shared folder and read it back: lineage ends here and lost executors recompute nothing above.
+
+    The table is deleted by `drop`, or else when the driver ends.
+    """
     spark = df.sparkSession
     path = path or new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)  # what `drop` leaves goes with the session
     return spark.read.schema(schema).parquet(path)
 
 

@@ -146,7 +146,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy,
                 local[docs] = np.arange(len(docs))
                 use = local[doc] >= 0
                 d, x, lit = local[doc][use], h[use], light[use]
-                part = ((x * m[d].astype(np.uint64)) >> U(48)).astype(np.int64)
+                part = (((x >> U(16)) * m[d].astype(np.uint64)) >> U(48)).astype(np.int64)
                 base = np.cumsum(m) - m
                 slot = base[d] + part  # ascending, as x ascends within a document
                 at = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))

@@ -14,33 +14,50 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quartzite.llm.common import arrow_batches
-from quartzite.llm.scan import ALNUM, LOWER, SIGNS, U, mix, span_hashes, spans, text_chunks
+from quartzite.llm.scan import ALNUM, CHUNK, LOWER, NON_SPACE, SIGNS, U, mix, pieces, span_hashes, spans, text_chunks
 
 BITS, PREFIXES = 18, (4, 6)
 #: Labelled rows that training uses at most, chosen by hash of the id.
 MAX_TRAIN = 4_000
+#: Features of these rows that are sent to the driver at most, eight bytes each.
+MAX_FEATURES = 4_000_000
 
 
-def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place, value), ascending by document; at most 65,536 documents and 2**32 features a call."""
-    low = LOWER[raw]
+def _hashed(low: np.ndarray, offs: np.ndarray, last: int | None = None) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """(place, document) of each feature, and the last word; `last`: the word before the first."""
     s, e, doc = spans(low, offs, ALNUM)
     p, q, sign = spans(low, offs, SIGNS)
     h = [span_hashes(low, s, e), mix(span_hashes(low, p, q) + U(1))]
     twice = np.flatnonzero((h[0][1:] == h[0][:-1]) & (doc[1:] == doc[:-1]))
-    h.append(np.full(len(twice), mix(np.zeros(1, np.uint64) + U(2))[0]))
     d = [doc, sign, doc[1:][twice]]
+    if last is not None and len(doc) and int(h[0][0]) == last:
+        d[2] = np.append(d[2], doc[0])
+    h.append(np.full(len(d[2]), mix(np.zeros(1, np.uint64) + U(2))[0]))
     for n in PREFIXES:
         long = e - s > n
         h.append(mix(span_hashes(low, s[long], s[long] + n) + U(n)))
         d.append(doc[long])
-    h, d = np.concatenate(h), np.concatenate(d)
-    x, n = np.unique(d.astype(np.uint64) << U(BITS) | h >> U(64 - BITS), return_counts=True)
-    d, place = (x >> U(BITS)).astype(np.int64), (x & U((1 << BITS) - 1)).astype(np.int64)
+    return (np.concatenate(h) >> U(64 - BITS)).astype(np.int64), np.concatenate(d), int(h[0][-1]) if len(doc) else last
+
+
+def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, value), ascending by document; at most 2**32 features a call.  A very long text is counted in stretches."""
+    if len(offs) == 2 and len(raw) > 2 * CHUNK:
+        total, last = np.zeros(1 << BITS, np.int64), None
+        for a, b in pieces(raw, NON_SPACE, CHUNK):
+            place, _, last = _hashed(LOWER[raw[a:b]], np.array([0, b - a]), last)
+            total += np.bincount(place, minlength=1 << BITS)
+        place = np.flatnonzero(total)
+        d, n = np.zeros(len(place), np.int64), total[place]
+    else:
+        place, d, _ = _hashed(LOWER[raw], offs)
+        x, n = np.unique(d << BITS | place, return_counts=True)
+        d, place = x >> BITS, x & ((1 << BITS) - 1)
     total = np.bincount(d, weights=n, minlength=len(offs) - 1)
     return d, place, np.sqrt(n / total[d])
 
@@ -111,20 +128,28 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *(pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for x in (place, value))], ["id", "grade", "places", "values"])
 
 
-def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_train: int = MAX_TRAIN) -> Ordinal:
-    """Fit on at most `max_train` rated documents, those with the smallest hash of the id.  Null ids, grades and texts are left out."""
-    arrow_batches(docs.sparkSession)
+def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Ordinal:
+    """Fit on rated documents: of those with a text, the `max_train` with the smallest hash of the id, as far as their features go into `max_features`.
+
+    Null ids, null grades, grades outside 0..`grades` - 1 and null texts are left out.  Of several grades of one id the best counts, of
+    several texts of one id the one whose features come first in byte order.  Without any row the model is flat.
+    """
+    spark = docs.sparkSession
+    arrow_batches(spark)
     rated = ratings.select(F.col(id_col).cast("long").alias("id"), F.col(grade_col).cast("int").alias("grade")).where(F.col("id").isNotNull() & F.col("grade").between(0, grades - 1)).groupBy("id").agg(F.max("grade").alias("grade"))
-    rated = rated.orderBy(F.xxhash64("id"), "id").limit(max_train)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and id is not null")
+    rated = rated.join(src.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_train)
     rows = src.join(F.broadcast(rated), "id").select("id", "grade", "text").mapInArrow(_featured, "id long, grade int, places binary, values binary")
-    got = sorted(rows.collect(), key=lambda r: (r.id, bytes(r.places)))
-    doc = np.repeat(np.arange(len(got), dtype=np.int32), [len(r.places) // 4 for r in got])
-    place = np.frombuffer(b"".join(r.places for r in got), np.uint32).astype(np.int32)
-    value = np.frombuffer(b"".join(r["values"] for r in got), np.float32)
-    grade = np.array([r.grade for r in got], np.int64)
-    del got
-    return fit(doc, place, value, grade, grades)
+    rows = rows.groupBy("id", "grade").agg(F.min(F.struct("places", "values")).alias("x"))
+    rows = rows.withColumn("upto", F.sum(F.length("x.places") / 4).over(Window.orderBy(F.xxhash64("id"), "id")))  # max_train rows at most
+    doc, place, value, grade = [], [], [], []
+    for r in sorted(rows.where(F.col("upto") <= max_features).select("id", "grade", "x.places", "x.values").collect(), key=lambda r: r.id):
+        place.append(np.frombuffer(r.places, np.uint32).astype(np.int32))
+        value.append(np.frombuffer(r["values"], np.float32))
+        doc.append(np.full(len(place[-1]), len(grade), np.int32))
+        grade.append(r.grade)
+    flat = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
+    return fit(flat(doc, np.int32), flat(place, np.int32), flat(value, np.float32), np.array(grade, np.int64), grades)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Broadcast, place: int) -> Iterator[pa.RecordBatch]:
@@ -137,13 +162,15 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Broadcast, place: int) ->
 def grade_documents(docs: DataFrame, model: Ordinal, text_col: str = "text", least: int | None = None, keep_columns: bool = True, id_col: str = "doc_id") -> DataFrame:
     """`docs` with score, expected_grade and p_top = P(grade >= `least`), by default of the highest grade.
 
-    Null, empty and blank texts have score 0.  keep_columns false: only the id and the grades.
+    Null, empty and blank texts have score 0; long ones are read whole; repeated rows and null ids are graded each; an empty table
+    stays empty.  Other columns pass through, of any type; input columns of the names score, expected_grade and p_top are replaced.
+    keep_columns false: only the id and the grades.
     """
     arrow_batches(docs.sparkSession)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    keep = list(names) if keep_columns else [id_col]
+    keep = [c for c in names if c not in ("score", "expected_grade", "p_top")] if keep_columns else [id_col]
     src = docs.select(F.col(text_col).cast("string").alias("_text"), *(F.col(c).alias(names[c]) for c in keep if c != text_col))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema) + ", _score double"
+    schema = StructType([*src.schema.fields, StructField("_score", DoubleType())])
     out = src.mapInArrow(partial(_scored, model=docs.sparkSession.sparkContext.broadcast(model), place=0), schema)
     tails = [1 / (1 + F.exp(F.lit(float(t)) - F.col("_score"))) for t in model.thresholds]
     least = len(tails) if least is None else least

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,8 +97,7 @@ def text_chunks(col: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, n
     give_back()
 
 
-def spans(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of each maximal run of bytes of `kind`; runs never cross documents."""
+def _spans(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = kind[raw]
     if not len(m):
         z = np.zeros(0, np.int64)
@@ -115,22 +115,112 @@ def spans(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
     return starts, ends, np.searchsorted(offs, starts, side="right") - 1
 
 
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 512
+_TAIL = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
+def _lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of `raw` on, zeros behind its end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, strides=(1,))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans are disjoint and ascending."""
+    """A 64-bit hash of the bytes of each span: lanes of eight bytes go one after the other through a non-linear finaliser."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
-    first = np.cumsum(lens) - lens
-    within = np.arange(int(first[-1] + lens[-1])) - np.repeat(first, lens)
-    where = within + np.repeat(starts, lens)
-    return mix(np.add.reduceat(BYTE[raw[where]] * powers(int(lens.max()))[within], first) + lens.astype(np.uint64))
+    lane = _lanes(raw)
+    out = mix(lens.astype(np.uint64) * MULT)
+    out = mix(out ^ (lane[starts] & _TAIL[np.minimum(lens, 8)]))
+    left = np.flatnonzero((lens > 8) & (lens <= LONG_SPAN))
+    i = 8
+    while len(left):
+        out[left] = mix(out[left] * MULT ^ (lane[starts[left] + i] & _TAIL[np.minimum(lens[left] - i, 8)]))
+        i += 8
+        left = left[lens[left] > i]
+    for j in np.flatnonzero(lens > LONG_SPAN):
+        out[j] = int.from_bytes(hashlib.blake2b(raw[starts[j] : ends[j]].data, digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(raw: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span [a, a_end) are those of [b, b_end)."""
+    ok = a_end - a == b_end - b
+    lane, lens = _lanes(raw), a_end - a
+    left, i = np.flatnonzero(ok & (a != b)), 0
+    while len(left):
+        mask = _TAIL[np.minimum(lens[left] - i, 8)]
+        ok[left] &= (lane[a[left] + i] & mask) == (lane[b[left] + i] & mask)
+        i += 8
+        left = left[ok[left] & (lens[left] > i)]
+    return ok
+
+
+def pieces(raw: np.ndarray, kind: np.ndarray, limit: int = 2 * CHUNK) -> Iterator[tuple[int, int]]:
+    """[start, end) of stretches of about `limit` bytes that end behind a byte that is not of `kind`, or where a run ends at last."""
+    at = 0
+    while at < len(raw):
+        end = min(at + limit, len(raw))
+        while end < len(raw):
+            back = np.flatnonzero(~kind[raw[end - 1 : min(end + limit, len(raw))]])
+            if len(back):
+                end += int(back[0])
+                break
+            end = min(end + limit, len(raw))
+        yield at, end
+        at = end
+
 
+def spans(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of each maximal run of bytes of `kind`; runs never cross documents."""
+    if len(raw) <= 2 * CHUNK:
+        return _spans(raw, offs, kind)
+    out = []
+    for a, b in pieces(raw, kind):
+        i, j = np.searchsorted(offs, [a, b])
+        s, e, _ = _spans(raw[a:b], np.concatenate([[0], offs[i:j] - a, [b - a]]), kind)
+        out.append((s + a, e + a))
+    starts, ends = (np.concatenate(c) for c in zip(*out, strict=True))
+    return starts, ends, np.searchsorted(offs, starts, side="right") - 1
 
-def word_hashes(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, document) of each lower-cased (A-Z) word."""
-    low = LOWER[raw]
-    starts, ends, doc = spans(low, offs, kind)
-    return span_hashes(low, starts, ends), doc
+
+def word_hashes(raw: np.ndarray, offs: np.ndarray, kind: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of each word, A-Z lower-cased or as it stands; a very long text is worked through in stretches."""
+    if len(raw) <= 2 * CHUNK:
+        low = LOWER[raw] if lower else raw
+        starts, ends, doc = _spans(low, offs, kind)
+        return span_hashes(low, starts, ends), doc
+    hashes, docs = [], []
+    for a, b in pieces(raw, kind[LOWER] if lower else kind):
+        low = LOWER[raw[a:b]] if lower else raw[a:b]
+        i, j = np.searchsorted(offs, [a, b])
+        starts, ends, doc = _spans(low, np.concatenate([[0], offs[i:j] - a, [b - a]]), kind)
+        hashes.append(span_hashes(low, starts, ends))
+        docs.append((doc + (i - 1)).astype(np.int32))
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
+#: Entries of `window_hashes` that are worked on at once.
+WINDOWS = 1 << 18
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * MULT + b)
+
+
+def _windows(h: np.ndarray, k: int) -> np.ndarray:
+    n = len(h) - k + 1
+    out, done, size, power = None, 0, 1, h
+    while True:  # `power` has the hashes of `size` consecutive entries; the binary digits of k say which are joined
+        if k & size:
+            part = power[done : done + n]
+            out = part if out is None else _join(out, part)
+            done += size
+        if done == k:
+            return mix(out + U(k))
+        power, size = _join(power[:-size], power[size:]), 2 * size
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -138,36 +228,48 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i, p in enumerate(powers(k)):
-        out += h[i : i + n] * p
-    return mix(out)
+    if n <= WINDOWS:
+        return _windows(h, k)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, WINDOWS):
+        out[a : a + WINDOWS] = _windows(h[a : a + WINDOWS + k - 1], k)
+    return out
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct k-word shingles of each document as 48-bit hashes, ascending within each document, and the documents.
+    """The distinct k-word shingles of each document as 64-bit hashes, ascending within each document, and the documents.
 
-    With fewer words than k the whole sequence is the one shingle; without words there is none.  At most 65,536 documents a call.
+    With fewer words than k the whole sequence is the one shingle; without words there is none.
     """
     h, doc = word_hashes(raw, offs, NON_SPACE)
-    n = len(offs) - 1
-    w = window_hashes(h, k)
-    ok = doc[: len(w)] == doc[k - 1 :] if len(w) else np.zeros(0, bool)
-    per = np.bincount(doc, minlength=n)
+    per = np.bincount(doc, minlength=len(offs) - 1)
     short = np.flatnonzero((per > 0) & (per < k))
-    vals, docs = w[ok], doc[: len(w)][ok]
+    extra = np.zeros(len(short), np.uint64)
     if len(short):
         first = np.cumsum(per) - per
-        extra = np.zeros(len(short), np.uint64)
         for i in range(k - 1):
             has = per[short] > i
-            extra[has] += h[first[short][has] + i] * powers(k)[i]
+            extra[has] = _join(extra[has], h[first[short][has] + i])
         extra = mix(extra + per[short].astype(np.uint64) * U(0xD6E8FEB86659FD93))
-        vals, docs = np.concatenate([vals, extra]), np.concatenate([docs, short])
-    x = np.sort((docs.astype(np.uint64) << U(48)) | (vals >> U(16)))
-    if len(x):
-        x = x[np.concatenate([[True], x[1:] != x[:-1]])]
-    return x & U((1 << 48) - 1), (x >> U(48)).astype(np.int64)
+    vals = window_hashes(h, k)
+    del h
+    if len(vals):
+        ok = doc[: len(vals)] == doc[k - 1 :]
+        if not ok.all():
+            vals = vals[ok]
+    del doc
+    n = np.maximum(per - k + 1, 0)
+    n[short] = 1
+    ends = np.cumsum(n)
+    if len(short):
+        vals = np.insert(vals, (ends - n)[short] - np.arange(len(short)), extra)
+    for d in np.flatnonzero(n > 1):
+        vals[ends[d] - n[d] : ends[d]].sort()
+    new = np.ones(len(vals), bool)
+    new[1:] = vals[1:] != vals[:-1]
+    new[(ends - n)[n > 0]] = True
+    docs = np.repeat(np.arange(len(n), dtype=np.int64), n)
+    return (vals, docs) if new.all() else (vals[new], docs[new])
 
 
 def binary_column(parts: list[bytes]) -> pa.Array:

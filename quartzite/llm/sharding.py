@@ -48,12 +48,17 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def assign_shards(df: DataFrame, key_col: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """`df` with slot int and shard string, both by the key alone: equal keys and repeated rows go together, a null key like ''."""
+    """`df` with slot int and shard string, both by the key alone: equal keys and repeated rows go together, a null key like ''.
+
+    Input columns slot and shard are replaced (one of them may be the key), all others pass through; long keys are hashed whole; an
+    empty table stays empty.
+    """
     spark = df.sparkSession
     table = lookup_table(shards, slots)
     names = [c for c in df.columns if c not in ("slot", "shard")]
-    entries = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], "_slot int, shard string")
-    return df.select(*names, slot_of(F.col(key_col), slots).alias("slot")).join(F.broadcast(entries), F.col("slot") == F.col("_slot")).select(*names, "slot", "shard")
+    entries = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table)], "of int, name string")
+    src = df.select(F.struct(*names).alias("row") if names else F.lit(0).alias("row"), slot_of(F.col(key_col), slots).alias("slot"))
+    return src.join(F.broadcast(entries), F.col("slot") == F.col("of")).select(*(F.col("row")[n].alias(n) for n in names), "slot", F.col("name").alias("shard"))
 
 
 def write_shards(df: DataFrame, key_col: str, path: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS, files: int = 8) -> None:

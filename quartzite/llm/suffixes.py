@@ -11,7 +11,11 @@ k-gram to right of it, over which this k-gram stays the minimum.  In that order
 * all others are unique.
 
 Both sorts are range partitionings on (key, document, place), which split even a passage that a third of all documents share.
-Only neighbours are compared; at the partitions' ends, two rows a partition go through the driver.
+Only neighbours are compared; what the rows at the partitions' ends need of their neighbours is a small table of two rows a
+partition, which is joined.
+
+Every row is a document of its own: the first table that is written gives it a key, which suffixes, windows, spans and the cut
+carry along, so null and repeated ids mix nothing up.  Ids only say which row is the earlier one, and are reported.
 """
 
 from __future__ import annotations
@@ -21,26 +25,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.llm.common import arrow_batches, drop, materialize, new_path, width
-from quartzite.llm.scan import NON_SPACE, U, mix, powers, span_hashes, spans, text_chunks, window_hashes
+from quartzite.llm.scan import NON_SPACE, U, mix, spans, text_chunks, window_hashes, word_hashes
 
 MIN_WORDS, GRAM = 50, 20
 #: Rows that one partition of a sort may hold.
 PART_ROWS = 1 << 20
 #: Words that are searched for minimisers at once; longer documents are cut with an overlap.
-STEP = 1 << 22
+STEP = 1 << 18
+#: Stands for a null id, which counts as the smallest.
 NULL_ID = np.iinfo(np.int64).min
 
-SUFFIX = "gram long, run long, doc long, at long, n long"
-
-
-def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s, e, doc = spans(raw, offs, NON_SPACE)
-    return span_hashes(raw, s, e), doc
+SUFFIX = "gram long, run long, id long, doc long, at long, n long"
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -69,38 +69,26 @@ def runs(h: np.ndarray, doc: np.ndarray, min_words: int, k: int) -> tuple[np.nda
         place = (low[at] & U((1 << 24) - 1)).astype(np.int64)
         new = np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])
         first, last = at[new], at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
-        # the run's words by prefix sums, with the power of its start divided out
-        total = np.concatenate([[U(0)], np.cumsum(x * powers(len(x)), dtype=np.uint64)])
-        run = mix((total[last + min_words] - total[first]) * _inverse(len(x) + 1)[first] + (last - first).astype(np.uint64) * U(0xD6E8FEB86659FD93) + (place[new] - first).astype(np.uint64))
+        # a run is at most min_words - k + 1 windows long, so its first and its last window have all its words
+        wide = window_hashes(x, min_words)
+        run = mix(mix(wide[first] + (last - first).astype(np.uint64)) ^ mix(wide[last] + (place[new] - first).astype(np.uint64)) * U(0xD6E8FEB86659FD93))
         out.append((g[place[new]], run, d[first], first + a, last - first + 1))
     if not out:
         return (np.zeros(0, np.uint64), np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-_inv = np.ones(1, dtype=np.uint64)
-
-
-def _inverse(n: int) -> np.ndarray:
-    """Inverses of `powers(n)` modulo 2**64."""
-    global _inv
-    if len(_inv) < n:
-        x = np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), dtype=np.uint64)
-        x[0] = 1
-        _inv = np.cumprod(x, dtype=np.uint64)
-    return _inv[:n]
-
-
 def _select(batches: Iterator[pa.RecordBatch], min_words: int, k: int) -> Iterator[pa.RecordBatch]:
+    """(id, doc, text) to suffixes."""
     for batch in batches:
-        for i, j, raw, offs in text_chunks(batch.column(1)):
-            h, doc = _words(raw, offs)
+        for i, j, raw, offs in text_chunks(batch.column(2)):
+            h, doc = word_hashes(raw, offs, NON_SPACE, lower=False)
             per = np.bincount(doc, minlength=j - i)
             first = np.cumsum(per) - per
             gram, run, d, at, n = runs(h, doc, min_words, k)
             if len(gram):
-                ids = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(run.view(np.int64)), pa.array(ids[d]), pa.array(at - first[d]), pa.array(n)], ["gram", "run", "doc", "at", "n"])
+                ids, keys = (batch.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (gram.view(np.int64), run.view(np.int64), ids[d], keys[d], at - first[d], n)], ["gram", "run", "id", "doc", "at", "n"])
 
 
 def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
@@ -108,15 +96,23 @@ def _columns(batches: Iterator[pa.RecordBatch], n: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * n
 
 
-COMPARED = "part int, kind int, gram long, run long, doc long, at long, n long, earlier long"
-#: kinds of rows: repeats its predecessor; to be extended; belongs to the partition's first or last k-gram; the summary of one of these
-REPEAT, EXTEND, EDGE, EDGE_REPEAT, SUMMARY = range(5)
+COMPARED = "part int, kind int, gram long, run long, id long, doc long, at long, n long, earlier long"
+#: kinds of rows: repeats its predecessor; to be extended; belongs to the partition's first or last k-gram; the partition's first or last row
+REPEAT, EXTEND, EDGE, HEAD, TAIL = range(5)
+
+
+def _table(cols: list[np.ndarray], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if t == "int" else pa.int64()) for c, t in zip(cols, (x.split()[1] for x in schema.split(", ")), strict=True)], [x.split()[0] for x in schema.split(", ")])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted partition: keeps what repeats or may.  Summaries have: first or last (at), count (n), smallest (run) and largest run (earlier), last document (doc)."""
+    """A sorted partition: keeps what repeats or may.
+
+    HEAD and TAIL rows are the first and the last row; their n and at are the number of rows and the largest run of their k-gram
+    in the partition (if both have one k-gram, TAIL has none of it), their earlier is the smallest run.
+    """
     part = TaskContext.get().partitionId()
-    gram, run, doc, at, n = _columns(batches, 5)
+    gram, run, ident, doc, at, n = _columns(batches, 6)
     if not len(gram):
         return
     new = np.concatenate([[True], gram[1:] != gram[:-1]])
@@ -125,103 +121,78 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = np.append(starts[1:], len(gram))
     mixed = run[starts] != run[ends - 1]  # sorted by run within a k-gram
     alike = np.concatenate([[False], ~new[1:] & (run[1:] == run[:-1])])
-    twin = alike & np.concatenate([[False], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])])  # a repeated row is the same passage
-    earlier = np.concatenate([[NULL_ID], doc[:-1]])
-    kind = np.where(alike & ~twin, REPEAT, np.where(mixed[group] & ~alike, EXTEND, -1))
-    edge = (group == 0) | (group == group[-1])
-    kind[edge] = np.where(kind[edge] == REPEAT, EDGE_REPEAT, np.where(alike[edge], -1, EDGE))
+    earlier = np.concatenate([[NULL_ID], ident[:-1]])
+    kind = np.where(alike, REPEAT, np.where(mixed[group], EXTEND, -1))
+    edge = ((group == 0) | (group == group[-1])) & ~alike
+    kind[edge] = EDGE
     keep = np.flatnonzero(kind >= 0)
-    table = [np.full(len(keep), part, np.int32), kind[keep].astype(np.int32), gram[keep], run[keep], doc[keep], at[keep], n[keep], earlier[keep]]
-    for last, g in ((0, 0), (1, len(starts) - 1)):
+    yield _table([np.full(len(keep), part), kind[keep], *(c[keep] for c in (gram, run, ident, doc, at, n, earlier))], COMPARED)
+    rows = []
+    for tail, g in ((0, 0), (1, len(starts) - 1)):
         i, j = starts[g], ends[g]
-        row = [part, SUMMARY, gram[i], run[i], doc[j - 1], last, j - i, run[j - 1]]
-        table = [np.append(c, np.array([v], c.dtype)) for c, v in zip(table, row, strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in table], [x.split()[0] for x in COMPARED.split(", ")])
-
-
-def _edges(rows: list) -> dict[int, tuple]:
-    """What each partition needs of its neighbours: per first or last k-gram (count, smallest run, largest run), and what precedes its first row."""
-    total: dict[int, list[int]] = {}
-    before: dict[int, tuple] = {}
-    last = None
-    parts: dict[int, dict[int, tuple]] = {}
-    for r in rows:
-        parts.setdefault(r.part, {})[r.at] = r
-    for part in sorted(parts):
-        first, end = parts[part][0], parts[part][1]
-        before[part] = last
-        for r in (first, end) if first.gram != end.gram else (first,):
-            t = total.setdefault(r.gram, [0, r.run, r.earlier])
-            t[0] += r.n
-            t[1], t[2] = min(t[1], r.run), max(t[2], r.earlier)
-        last = (end.gram, end.earlier, end.doc)
-    return {"total": total, "before": before}
-
-
-def _settle(batches: Iterator[pa.RecordBatch], edges: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Decide the rows at the partitions' ends; a partition's first row is the one with the smallest (gram, run, doc, at)."""
-    total, before = edges.value["total"], edges.value["before"]
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False).copy() for c in batch.columns]
-        part, kind, gram, run, doc, at, n, earlier = cols
-        kind[kind == EDGE_REPEAT] = REPEAT
-        for i in np.flatnonzero(kind == EDGE):
-            last = before[int(part[i])]
-            if last and last[0] == gram[i] and last[1] == run[i]:
-                kind[i], earlier[i] = REPEAT, last[2]
-            else:
-                count, lo, hi = total[int(gram[i])]
-                kind[i] = EXTEND if count > 1 and lo != hi else -1
-        ok = (kind == REPEAT) | (kind == EXTEND)
-        yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in cols], batch.schema.names)
+        row = j - 1 if tail else 0
+        rows.append((part, TAIL if tail else HEAD, gram[row], run[row], ident[row], doc[row], run[j - 1], 0 if tail and g == 0 else j - i, run[i]))
+    yield _table([np.array(c) for c in zip(*rows, strict=True)], COMPARED)
+
+
+def _settle(compared: DataFrame) -> DataFrame:
+    """Decide the rows at the partitions' ends: (kind, doc, at, n, earlier) of all that repeat or are to be extended.
+
+    The first row of a partition repeats the last one before it if both have the same k-gram and run; any other row of a k-gram
+    at an end is to be extended if the k-gram has other runs in any partition.
+    """
+    ends = compared.where(F.col("kind") >= HEAD)
+    total = ends.groupBy("gram").agg(F.min("earlier").alias("lo"), F.max("at").alias("hi"))
+    order = Window.partitionBy("gram", "run").orderBy("part", "kind")
+    heads = ends.withColumn("before", F.lag(F.struct("kind", "id")).over(order)).where(F.col("kind") == HEAD)
+    heads = heads.select("part", "gram", "run", "id", "doc", F.col("before.kind").alias("k0"), F.col("before.id").alias("id0"))
+    heads = heads.select(F.col("part").alias("p"), F.col("gram").alias("g"), F.col("run").alias("r"), (F.col("k0") == TAIL).alias("follows"), "id0")
+    edge = compared.where(F.col("kind") == EDGE)
+    edge = edge.join(heads, (F.col("part") == F.col("p")) & (F.col("gram") == F.col("g")) & (F.col("run") == F.col("r")), "left").drop("p", "g", "r")
+    edge = edge.join(total.select(F.col("gram").alias("g"), "lo", "hi"), F.col("gram") == F.col("g"))
+    edge = edge.withColumn("kind", F.when(F.col("follows"), REPEAT).when(F.col("lo") < F.col("hi"), EXTEND)).where("kind is not null")
+    edge = edge.select("kind", "doc", "at", "n", F.when(F.col("follows"), F.col("id0")).otherwise(F.col("earlier")).alias("earlier"))
+    return compared.where(F.col("kind") < EDGE).select("kind", "doc", "at", "n", "earlier").unionByName(edge)
 
 
 def _windows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """(doc, text, [(at, n)]) to the hashes of the windows: (window, doc, at)."""
+    """(id, doc, text, [(at, n)]) to the hashes of the windows: (window, id, doc, at)."""
     for batch in batches:
-        for i, j, raw, offs in text_chunks(batch.column(1)):
-            h, doc = _words(raw, offs)
-            per = np.bincount(doc, minlength=j - i)
-            first = np.cumsum(per) - per
+        for i, j, raw, offs in text_chunks(batch.column(2)):
+            h, doc = word_hashes(raw, offs, NON_SPACE, lower=False)
+            first = np.cumsum(np.bincount(doc, minlength=j - i)) - np.bincount(doc, minlength=j - i)
             wins = window_hashes(h, min_words)
-            out = ([], [], [])
-            for r in range(i, j):
-                for part in batch.column(2)[r].as_py():
-                    s = np.arange(part["at"], part["at"] + part["n"])
-                    s = s[s + min_words <= per[r - i]]
-                    out[0].append(wins[first[r - i] + s].view(np.int64))
-                    out[1].append(np.full(len(s), batch.column(0)[r].as_py()))
-                    out[2].append(s)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["win", "doc", "at"])
+            part = batch.column(3).slice(i, j - i)
+            per, runs_ = np.diff(part.offsets.to_numpy()), part.flatten()
+            at, n = (runs_.field(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            row = np.repeat(np.repeat(np.arange(j - i), per), n)
+            s = np.arange(int(n.sum())) + np.repeat(at - (np.cumsum(n) - n), n)
+            ids, keys = (batch.column(c).slice(i, j - i).to_numpy(zero_copy_only=False) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (wins[first[row] + s].view(np.int64), ids[row], keys[row], s)], ["win", "id", "doc", "at"])
+
+
+WINDOW = "part int, end int, win long, id long, doc long, at long, earlier long"
 
 
 def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted partition of windows: (part, first, win, doc, at, earlier).  first: it depends on the partition before; -1: only tells the last row."""
+    """A sorted partition of windows: those that repeat their predecessor (end 0), and the first (1) and the last row (2)."""
     part = TaskContext.get().partitionId()
-    win, doc, at = _columns(batches, 3)
+    win, ident, doc, at = _columns(batches, 4)
     if not len(win):
         return
     same = np.concatenate([[False], win[1:] == win[:-1]])
-    # rows of the same id and place are one occurrence; only a window's first row can have them in front of it
-    twin = same & np.concatenate([[False], (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])])
-    keep = np.append(np.flatnonzero((same & ~twin) | (np.arange(len(win)) == 0)), len(win) - 1)
-    first = np.zeros(len(keep), np.int32)
-    first[0], first[-1] = 1, -1
-    earlier = np.concatenate([[NULL_ID], doc[:-1]])
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), part, np.int32)), pa.array(first), *(pa.array(c[keep]) for c in (win, doc, at, earlier))], ["part", "first", "win", "doc", "at", "earlier"])
+    earlier = np.concatenate([[NULL_ID], ident[:-1]])
+    keep = np.concatenate([np.flatnonzero(same), [0, len(win) - 1]])
+    end = np.zeros(len(keep), np.int64)
+    end[-2:] = 1, 2
+    yield _table([np.full(len(keep), part), end, *(c[keep] for c in (win, ident, doc, at, earlier))], WINDOW)
 
 
-def _settle_windows(batches: Iterator[pa.RecordBatch], ends: Broadcast) -> Iterator[pa.RecordBatch]:
-    before = ends.value
-    for batch in batches:
-        part, first, win, doc, at, earlier = (c.to_numpy(zero_copy_only=False).copy() for c in batch.columns)
-        ok = first == 0
-        for i in np.flatnonzero(first == 1):
-            last = before[int(part[i])]
-            if last and last[0] == win[i] and last[1:] != (doc[i], at[i]):
-                ok[i], earlier[i] = True, last[1]
-        yield pa.RecordBatch.from_arrays([pa.array(c[ok]) for c in (doc, at, earlier)], ["doc", "at", "earlier"])
+def _settle_windows(met: DataFrame) -> DataFrame:
+    """(doc, at, earlier) of the windows that repeat one before them, in their partition or at the end of the one before."""
+    before = F.lag(F.struct("end", "id")).over(Window.partitionBy("win").orderBy("part", "end"))
+    heads = met.where("end > 0").withColumn("before", before).where(F.col("end") == 1).where(F.col("before.end") == 2)
+    return met.where("end = 0").select("doc", "at", "earlier").unionByName(heads.select("doc", "at", F.col("before.id").alias("earlier")))
 
 
 def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -232,51 +203,72 @@ def _merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _join_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the overlapping passages of each document: (doc, [(at, end, earlier)]) to (doc, spans, earlier)."""
+    """Merge the overlapping passages of each document: (doc, [(at, end, earlier)]) to (doc, spans, earlier_ids)."""
     for batch in batches:
-        out, names = [], []
-        for parts in batch.column(1).to_pylist():
-            x = np.array([(p["at"], p["end"]) for p in parts], np.int64)
-            lo, hi = _merge(x[:, 0], x[:, 1])
-            out.append([{"start": int(a), "end": int(b)} for a, b in zip(lo, hi, strict=True)])
-            names.append(sorted({p["earlier"] for p in parts if p["earlier"] != NULL_ID}))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(names, pa.list_(pa.int64()))], ["doc", "spans", "earlier_ids"])
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = GRAM) -> DataFrame:
-    """(doc, spans, earlier_ids) for each document with words that repeat an earlier passage of `min_words` words or more.
-
-    A word is a run of non-blank characters, compared exactly.  Earlier: in the order of (id, place), in the same document or
-    another.  spans: merged [start, end) in words.  earlier_ids: ids of documents that hold the passages before it in the sort.
-    Null, empty and short texts have none.  Rows of the same id are taken as the same document, a null id as the smallest.
-    """
-    spark = docs.sparkSession
+        doc, parts = batch.column(0), batch.column(1)
+        flat = parts.flatten()
+        row = np.repeat(np.arange(len(doc)), np.diff(parts.offsets.to_numpy()))
+        at, end, earlier = (flat.field(c).to_numpy(zero_copy_only=False) for c in range(3))
+        order = np.lexsort((at, row))
+        row, at, end = row[order], at[order], end[order]
+        base = row * (int(end.max()) + 2 if len(end) else 1)  # rows apart, so that one running maximum serves all
+        lo, hi = _merge(at + base, end + base)
+        r = np.searchsorted(base, lo, side="right") - 1
+        r = row[r]
+        base = r * (int(end.max()) + 2 if len(end) else 1)
+        n = np.bincount(r, minlength=len(doc))
+        spans_ = pa.StructArray.from_arrays([pa.array(lo - base), pa.array(hi - base)], ["start", "end"])
+        names = np.unique(np.stack([row, earlier[order]]), axis=1)
+        names = names[:, names[1] != NULL_ID]
+        offs = lambda c: pa.array(np.append(0, np.cumsum(c)), pa.int32())
+        yield pa.RecordBatch.from_arrays([doc, pa.ListArray.from_arrays(offs(n), spans_), pa.ListArray.from_arrays(offs(np.bincount(names[0], minlength=len(doc))), pa.array(names[1]))], ["doc", "spans", "earlier_ids"])
+
+
+def number_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """A written copy of `docs` as (id, doc, text, c0, c1, ...): `doc` is the row's own key, c0.. are the other columns in order."""
+    others = [c for c in docs.columns if c != text_col]
+    cols = [F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("id"), F.monotonically_increasing_id().alias("doc"), F.col(text_col).cast("string").alias("text")]
+    return materialize(docs.select(*cols, *(F.col(c).alias(f"c{i}") for i, c in enumerate(others))), "rows")
+
+
+def repeats_of(rows: DataFrame, min_words: int = MIN_WORDS, k: int = GRAM) -> DataFrame:
+    """(doc, spans, earlier_ids) of the rows of `number_rows` with repeated passages."""
+    spark = rows.sparkSession
     arrow_batches(spark)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    suffix_path, path, win_path = new_path(spark, "suffixes"), new_path(spark, "compared"), new_path(spark, "windows")
+    src = rows.select("id", "doc", "text")
+    suffix_path, path, win_path, met_path = (new_path(spark, x) for x in ("suffixes", "compared", "windows", "met"))
     suffixes = materialize(src.mapInArrow(partial(_select, min_words=min_words, k=k), SUFFIX), "suffixes", suffix_path)
     parts = max(width(spark), -(-suffixes.count() // PART_ROWS))
-    keys = ["gram", "run", "doc", "at"]
+    keys = ["gram", "run", "id", "doc", "at"]
     compared = materialize(suffixes.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare, COMPARED), "compared", path)
     drop(spark, suffix_path)
-    edges = spark.sparkContext.broadcast(_edges(compared.where(F.col("kind") == SUMMARY).collect()))
-    settled = compared.where(F.col("kind") < SUMMARY).mapInArrow(partial(_settle, edges=edges), COMPARED)
+    settled = _settle(compared)
     whole = settled.where(F.col("kind") == REPEAT).select("doc", "at", (F.col("at") + F.col("n") + (min_words - 1)).alias("end"), "earlier")
     open_runs = settled.where(F.col("kind") == EXTEND).groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
-    wins = src.join(open_runs, "doc").select("doc", "text", "runs").mapInArrow(partial(_windows, min_words=min_words), "win long, doc long, at long")
-    keys = ["win", "doc", "at"]
-    wins = materialize(wins, "windows", win_path)
+    keys = ["win", "id", "doc", "at"]
+    wins = materialize(src.join(open_runs, "doc").select("id", "doc", "text", "runs").mapInArrow(partial(_windows, min_words=min_words), "win long, id long, doc long, at long"), "windows", win_path)
     parts = max(width(spark), -(-wins.count() // PART_ROWS))
-    met = materialize(wins.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare_windows, "part int, first int, win long, doc long, at long, earlier long"), "met")
+    met = materialize(wins.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare_windows, WINDOW), "met", met_path)
     drop(spark, win_path)
-    before, last = {}, None
-    ends = {r.part: (r.win, r.doc, r.at) for r in met.where("first = -1").collect()}
-    for part in sorted(ends):
-        before[part], last = last, ends[part]
-    some = met.where("first >= 0").mapInArrow(partial(_settle_windows, ends=spark.sparkContext.broadcast(before)), "doc long, at long, earlier long")
-    found = whole.unionByName(some.select("doc", "at", (F.col("at") + min_words).alias("end"), "earlier"))
+    found = whole.unionByName(_settle_windows(met).select("doc", "at", (F.col("at") + min_words).alias("end"), "earlier"))
     found = found.groupBy("doc").agg(F.collect_list(F.struct("at", "end", "earlier")).alias("parts"))
-    return materialize(found.mapInArrow(_join_spans, "doc long, spans array<struct<start:long,end:long>>, earlier_ids array<long>"), "repeats")
+    out = materialize(found.mapInArrow(_join_spans, "doc long, spans array<struct<start:long,end:long>>, earlier_ids array<long>"), "repeats")
+    drop(spark, path, met_path)
+    return out
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = GRAM) -> DataFrame:
+    """(`id_col`, spans, earlier_ids) for each row with words that repeat an earlier passage of `min_words` words or more.
+
+    A word is a run of non-blank characters, compared by 64-bit hashes of its bytes.  Earlier: in the order of (id, row, place), in
+    the same text or another; null ids come first, rows of the same id, repeated rows among them, go in the order of the table's
+    partitions.  spans: merged [start, end) in words.  earlier_ids: ids, but null ones, of documents that hold the passages before it in the sort.
+    Null, empty and short texts, and an empty table, have none.  A very long text is searched in stretches and never cut short.
+    Other columns are ignored.
+    """
+    rows = number_rows(docs.select(id_col, text_col), id_col, text_col)
+    found = repeats_of(rows, min_words, k)
+    return rows.select("doc", F.col("c0").alias("_id")).join(found, "doc").select(F.col("_id").alias(id_col), "spans", "earlier_ids")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,16 +276,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
         for i, j, raw, offs in text_chunks(batch.column(0)):
+            found = batch.column(1).slice(i, j - i)
             s, _, doc = spans(raw, offs, NON_SPACE)
             per = np.bincount(doc, minlength=j - i)
             first = np.cumsum(per) - per
-            for r in range(i, j):
-                if not batch.column(1)[r].is_valid or not batch.column(0)[r].is_valid:
-                    texts.append(batch.column(0)[r].as_py())
+            for r in range(j - i):
+                text = batch.column(0)[i + r]
+                if not found[r].is_valid or not text.is_valid:
+                    texts.append(text.as_py())
                     continue
-                base, end, own = offs[r - i], offs[r - i + 1], s[first[r - i] : first[r - i] + per[r - i]]
+                base, end, own = offs[r], offs[r + 1], s[first[r] : first[r] + per[r]]
                 kept, at = [], base
-                for part in batch.column(1)[r].as_py():
+                for part in found[r].as_py():
                     kept.append(raw[at : own[part["start"]]].tobytes())
                     at = own[part["end"]] if part["end"] < len(own) else end
                 texts.append((b"".join(kept) + raw[at:end].tobytes()).decode())
@@ -301,16 +295,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, k: int = GRAM) -> DataFrame:
-    """`docs` with every passage that repeats an earlier one cut from the text; all other columns and texts as they are."""
-    found = repeated_passages(docs, id_col, text_col, min_words, k).select("doc", "spans")
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    src = docs.select(F.col(text_col).alias("_text"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("_doc"), *(F.col(c).alias(n) for c, n in names.items() if c != text_col))
-    joined = src.join(found, src["_doc"] == found["doc"], "left").select("_text", "spans", *(n for c, n in names.items() if c != text_col))
+    """`docs` with every passage that repeats an earlier one (see `repeated_passages`) cut from the text; all rows, other columns and texts as they are.
+
+    Of repeated rows, the first keeps its text.  Any names and types of other columns, null ids and texts, and an empty table are fine.
+    """
+    rows = number_rows(docs, id_col, text_col)
+    found = repeats_of(rows, min_words, k).select("doc", "spans")
+    others = [c for c in docs.columns if c != text_col]
+    joined = rows.join(found, "doc", "left").select("text", "spans", *(f"c{i}" for i in range(len(others))))
     cut = joined.mapInArrow(_cut, joined.schema)
-    return cut.select(*((F.col("_text") if c == text_col else F.col(n)).alias(c) for c, n in names.items()))
+    place = {c: f"c{i}" for i, c in enumerate(others)} | {text_col: "text"}
+    return cut.select(*(F.col(place[c]).alias(c) for c in docs.columns))
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """A row for each document with repeated passages: their places in words, and documents with an earlier copy."""
     found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("doc").alias("doc_id"), F.size("spans").cast("long").alias("n_spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_repeated"), "spans", "earlier_ids")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_repeated"), "spans", "earlier_ids")

@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from quartzite.llm.scan import LOWER, span_hashes, text_chunks
+from quartzite.llm.scan import CHUNK, LOWER, NON_SPACE, pieces, same_spans, span_hashes, text_chunks
 
 #: Distinct words that a Python worker remembers, some 150 bytes each; at this number it starts anew.
 CACHE_WORDS = 250_000
@@ -46,11 +46,12 @@ class WordBPE:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[int, int] = {}
+        self.index: dict[bytes, int] = {}
         self.ids, self.n_ids = np.zeros(1 << 16, np.int32), 0
         self.first, self.count, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
+    def _learn(self, keys: list[bytes]) -> None:
+        words = [k.decode() for k in keys]
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             for enc, j in zip(self.whole.encode_batch_fast([" ".join(part[j : j + 100]) for j in range(0, len(part), 100)], add_special_tokens=False), range(0, len(part), 100), strict=True):
@@ -68,7 +69,7 @@ class WordBPE:
                 starts = np.concatenate([[0], at[:-1]])
                 self.first[self.n : self.n + n], self.count[self.n : self.n + n] = self.n_ids + starts, at - starts
                 self.n, self.n_ids = self.n + n, self.n_ids + m
-        self.index.update(zip(hashes, range(self.n - len(words), self.n), strict=True))
+        self.index.update(zip(keys, range(self.n - len(words), self.n), strict=True))
 
     def _plain(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Per document: every byte is one that this class splits itself."""
@@ -138,21 +139,28 @@ class WordBPE:
             s, e, doc = s[ok[doc]], e[ok[doc]], doc[ok[doc]]
         if not len(s):
             return np.zeros(0, np.int64), doc, ok
-        h, where, back = np.unique(span_hashes(low, s, e), return_index=True, return_inverse=True)
+        _, where, back = np.unique(span_hashes(low, s, e), return_index=True, return_inverse=True)
+        data, places = low.tobytes(), list(zip(s[where].tolist(), e[where].tolist(), strict=True))
+        same = same_spans(low, s, e, s[where][back], e[where][back])
+        if not same.all():  # two words of one hash: their documents go to the tokenizer whole
+            ok = ok.copy()
+            ok[doc[~same]] = False
+            s, e, doc, back = s[ok[doc]], e[ok[doc]], doc[ok[doc]], back[ok[doc]]
         if len(self.index) > CACHE_WORDS:
             self._reset()
-        h = h.tolist()
-        got = [self.index.get(x, -1) for x in h]
+        words = [data[a:b] for a, b in places]
+        got = [self.index.get(x, -1) for x in words]
         new = [i for i, x in enumerate(got) if x < 0]
         if new:
-            data = low.tobytes()
-            self._learn([h[i] for i in new], [data[s[where[i]] : e[where[i]]].decode() for i in new])
+            self._learn([words[i] for i in new])
             for i in new:
-                got[i] = self.index[h[i]]
+                got[i] = self.index[words[i]]
         return np.array(got, np.int64)[back], doc, ok
 
-    def counts(self, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    def counts(self, raw: np.ndarray, offs: np.ndarray, whole: bool = False) -> np.ndarray:
         """Tokens per document."""
+        if len(offs) == 2 and len(raw) > 2 * CHUNK and not whole:  # blanks never join tokens
+            return np.sum([self.counts(raw[a:b], np.array([0, b - a]), True) for a, b in pieces(raw, NON_SPACE, CHUNK)], axis=0)
         at, doc, ok = self.words(raw, offs)
         out = np.bincount(doc, weights=self.count[at], minlength=len(offs) - 1).astype(np.int64)
         for d in np.flatnonzero(~ok):
@@ -162,8 +170,10 @@ class WordBPE:
     def _encode(self, raw: np.ndarray, offs: np.ndarray, d: int) -> list[int]:
         return self.whole.encode(raw[offs[d] : offs[d + 1]].tobytes().decode(), add_special_tokens=False).ids
 
-    def encode(self, raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+    def encode(self, raw: np.ndarray, offs: np.ndarray, whole: bool = False) -> list[np.ndarray]:
         """Ids of each document."""
+        if len(offs) == 2 and len(raw) > 2 * CHUNK and not whole:
+            return [np.concatenate([self.encode(raw[a:b], np.array([0, b - a]), True)[0] for a, b in pieces(raw, NON_SPACE, CHUNK)])]
         at, doc, ok = self.words(raw, offs)
         n = self.count[at]
         first = np.cumsum(n) - n

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quartzite.llm.common import arrow_batches
 from quartzite.llm.scan import BYTE, U, mix, powers, text_chunks
@@ -124,7 +125,9 @@ def _score(batches: Iterator[pa.RecordBatch], model: Broadcast, place: int) -> I
 def filter_urls(pages: DataFrame, model: UrlModel | None = None, rules: Sequence[tuple[str, str]] = RULES, url_col: str = "url", threshold: float = 0.5) -> DataFrame:
     """`pages` with host, path, rule, p_block and verdict: the longest fitting rule's, else block where p_block >= `threshold`.
 
-    A null url or one without ``://`` has empty host and path, no rule, and the model's verdict on these.  Repeated rows are judged each.
+    A null or empty url, or one without ``://``, has empty host and path, no rule, and the model's verdict on these.  Repeated rows
+    are judged each, long urls whole, an empty table stays empty.  Other columns pass through, of any type; input columns of the
+    names host, path, rule, p_block and verdict are replaced.
     """
     spark = pages.sparkSession
     arrow_batches(spark, 10_000)
@@ -132,7 +135,7 @@ def filter_urls(pages: DataFrame, model: UrlModel | None = None, rules: Sequence
     names = {c: f"c{i}" for i, c in enumerate(pages.columns)}
     host, path = host_and_path(F.col(url_col))
     src = pages.select(*(F.col(c).alias(n) for c, n in names.items()), host.alias("_host"), path.alias("_path")).withColumn("_text", F.concat(F.lit("\x02"), "_host", F.lit("\x03"), "_path", F.lit("\x04")))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema) + ", _p double"
+    schema = StructType([*src.schema.fields, StructField("_p", DoubleType())])
     out = src.mapInArrow(partial(_score, model=spark.sparkContext.broadcast(model), place=len(src.columns) - 1), schema)
     rule, verdict = longest_rule(F.col("_host"), F.col("_path"), rules)
     return out.select(*(F.col(n).alias(c) for c, n in names.items() if c not in ("host", "path", "rule", "p_block", "verdict")), F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), F.col("_p").alias("p_block"), F.coalesce(verdict, F.when(F.col("_p") >= threshold, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))

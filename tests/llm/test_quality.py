@@ -45,10 +45,63 @@ def test_held_out(spark):
 def test_columns_nulls_and_empty_table(spark):
     df = spark.createDataFrame([(1, "good words here", "a", 1), (1, "good words here", "b", 2), (2, None, None, 3), (None, "%%% !!!", "c", 4), (3, "", "d", None)], "doc_id long, text string, score string, c0 int")
     model = train(df, spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, grade int"), 2)
-    out = grade_documents(df.withColumnRenamed("score", "other"), model)
-    assert out.columns == ["doc_id", "text", "other", "c0", "score", "expected_grade", "p_top"]
+    out = grade_documents(df.withColumn("nested", F.struct(F.lit(1).alias("a-b"))), model)
+    assert out.columns == ["doc_id", "text", "c0", "nested", "score", "expected_grade", "p_top"]
     rows = out.collect()
     assert len(rows) == 5 and all(0 <= r.p_top <= 1 for r in rows)
     assert {r.score for r in rows if not r.text} == {0.0}
     assert grade_documents(df.limit(0), model).count() == 0
     assert np.isfinite(train(df.limit(0), spark.createDataFrame([], "doc_id long, grade int"), 3).thresholds).all()
+
+
+def loss(params, doc, place, value, grade, l2=1e-5):
+    """Negative log-likelihood, a row at a time, of weights and thresholds."""
+    w, t = params[:-2], [-np.inf, params[-2], params[-1], np.inf]
+    out = 0.0
+    for i, g in enumerate(grade):
+        s = sum(w[p] * v for d, p, v in zip(doc, place, value, strict=True) if d == i)
+        cdf = [1 / (1 + np.exp(-(x - s))) if np.isfinite(x) else float(x > 0) for x in t]
+        out -= np.log(max(cdf[g + 1] - cdf[g], 1e-12))
+    return out / len(grade) + 0.5 * l2 * float(w @ w)
+
+
+def test_fit_equals_brute_force_descent_by_numeric_gradients():
+    rng = np.random.default_rng(8)
+    x = rng.random((40, 3))
+    grade = np.digitize(x @ [2.0, -1.5, 0.5] + rng.logistic(size=40) * 0.8, [0.0, 0.7])
+    doc, place = np.divmod(np.arange(120), 3)
+    data = (doc, place, x.ravel(), grade)
+    p = np.array([0.0, 0, 0, -0.5, 0.5])
+    gradient = lambda p: np.array([(loss(p + e, *data) - loss(p - e, *data)) / 2e-4 for e in np.eye(5) * 1e-4])
+    step = 2.0
+    for _ in range(250):
+        g = gradient(p)
+        while step > 1e-6 and loss(p - step * g, *data) > loss(p, *data):
+            step /= 2
+        p, step = p - step * g, step * 1.5
+    m = fit(*data, 3, rounds=600)
+    got = np.concatenate([m.weights[:3].astype(float), m.thresholds])
+    assert abs(loss(got, *data) - loss(p, *data)) < 2e-4
+    assert np.abs(gradient(got)).max() < 5e-3
+
+
+def test_bounds_of_the_sample(spark):
+    rows = [(i, f"word{i % 7} other text {i}") for i in range(60)] + [(5, "again another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(3, 0)], "doc_id long, grade int")  # most without a document
+    full, some, few = (train(docs, labels, 2, **kw).weights for kw in ({}, {"max_train": 30}, {"max_features": 100}))
+    used = lambda w: int((w != 0).sum())
+    assert used(full) > used(some) > used(few) > 0
+
+
+def test_a_very_long_text_is_counted_in_stretches():
+    from quartzite.llm import scan
+    from quartzite.llm.quality import features
+
+    words = ["Word", "other", "other", "%%", "x1", "loooooong", "é"]
+    rng = np.random.default_rng(0)
+    raw = np.frombuffer(" ".join(words[i] for i in rng.integers(0, 7, 700_000)).encode(), np.uint8)
+    assert len(raw) > 2 * scan.CHUNK
+    _, place, value = features(raw, np.array([0, len(raw)]))
+    _, place2, value2 = features(raw, np.array([0, len(raw), len(raw)]))
+    assert (place == place2).all() and np.allclose(value, value2)

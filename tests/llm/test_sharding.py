@@ -50,3 +50,6 @@ def test_rows_keep_columns_and_go_together(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "s"))
     assert sorted((r.doc_id or -1, r.shard) for r in back.collect()) == sorted((r.doc_id or -1, r.shard) for r in rows)
     assert assign_shards(df.limit(0), "doc_id").count() == 0
+    odd = spark.createDataFrame([(1, 2, 3, 4, "n")], "_slot int, slot int, of int, row int, name string")
+    got = assign_shards(odd, "slot").collect()
+    assert [tuple(r)[:4] for r in got] == [(1, 3, 4, "n")] and got[0].shard == SHARDS[lookup_table(SHARDS)[got[0].slot]]

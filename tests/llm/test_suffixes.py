@@ -1,7 +1,9 @@
 import re
+from collections import Counter
 
 import numpy as np
 
+from quartzite.llm import suffixes
 from quartzite.llm.suffixes import remove_repeats, repeated_passages, runs
 
 WORDS = [f"w{i}" for i in range(4000)]
@@ -34,7 +36,7 @@ def brute(rows, min_words=50):
 
 
 def got(df):
-    return {r.doc: [(s.start, s.end) for s in r.spans] for r in df.collect()}
+    return {r.doc_id: [(s.start, s.end) for s in r.spans] for r in df.collect()}
 
 
 def test_equals_brute_force(spark):
@@ -62,8 +64,37 @@ def test_cut_text_and_other_columns(spark):
 def test_repeated_rows_and_empty_table(spark):
     p = " ".join(f"p{i}" for i in range(80))
     df = spark.createDataFrame([(4, p), (4, p), (9, p)], "doc_id long, text string")
-    assert got(repeated_passages(df)) == {9: [(0, 80)]}
-    assert got(repeated_passages(df.limit(0))) == {}
+    assert [(r.doc_id, [tuple(x) for x in r.spans], r.earlier_ids) for r in repeated_passages(df).sort("doc_id").collect()] == [(4, [(0, 80)], [4]), (9, [(0, 80)], [4])]
+    assert sorted((r.doc_id, r.text) for r in remove_repeats(df).collect()) == [(4, ""), (4, p), (9, "")]
+    assert got(repeated_passages(df.limit(0))) == {} and remove_repeats(df.limit(0)).count() == 0
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n: " ".join(rng.choice(WORDS, n))
+    p, u = text(70), text(80)
+    rows = [(None, "short text"), (None, u), (None, f"{text(5)} {p}"), (1, text(80)), (1, "a b c"), (1, f"{p} {text(9)}"), (1, u), (1, u), (1, None), (None, None), (7, f"{u} {p} {text(60)}"), (7, p), (None, ""), (1, text(3))]
+    for parts in (1, 3):
+        df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(parts)
+        out = remove_repeats(df).collect()
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.n) for r in out) == sorted((i is not None, i or 0, n) for n, (i, _) in enumerate(rows))
+        words = lambda ts: {tuple(w[k : k + 50]) for t in ts for w in [(t or "").split()] for k in range(len(w) - 49)}
+        texts = [r.text for r in sorted(out, key=lambda r: r.n)]
+        kept = Counter(tuple(t.split()) for t in texts if t)
+        # every passage stays where it stood first in (id, row), and nowhere else
+        assert sum(c[: len(u.split())] == tuple(u.split()) for c in kept.elements()) == 1
+        assert words(texts) <= words(t for _, t in rows) and {w for t in texts for w in (t or "").split()} == {w for _, t in rows for w in (t or "").split()}
+        assert texts[0] == "short text" and texts[1] == u and texts[3] == rows[3][1] and texts[4] == "a b c" and texts[8] is None and texts[12] == "" and texts[13] == rows[13][1]
+        assert texts[2] == rows[2][1] and len(texts[5].split()) == 9 and texts[6] == texts[7] == "" and texts[11] == "" and len(texts[10].split()) == 60
+        assert len(repeated_passages(df).where("doc_id is null").collect()) == 0
+
+
+def test_ends_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PART_ROWS", 40)  # a passage that fills many partitions
+    rng = np.random.default_rng(2)
+    p = " ".join(rng.choice(WORDS, 120))
+    rows = [(i, f"{' '.join(rng.choice(WORDS, int(rng.integers(0, 40))))} {p if i % 3 else ' '.join(p.split()[20:90])} {i}") for i in range(60)]
+    assert got(repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
 
 
 def test_selection_is_content_defined():

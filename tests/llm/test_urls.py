@@ -18,7 +18,7 @@ def expect(url):
 
 
 def test_rules_and_parts_equal_brute_force(spark):
-    df = spark.createDataFrame([(i, u, "mine", 7) for i, u in enumerate(URLS)], "page_id long, url string, host string, c0 int")
+    df = spark.createDataFrame([(i, u, "mine", 7, {"a-b": i}) for i, u in enumerate(URLS)], "page_id long, url string, host string, c0 int, odd struct<`a-b`:int>")
     rows = filter_urls(df).collect()
     assert len(rows) == len(URLS) and rows[0].c0 == 7
     for r in rows:
@@ -48,3 +48,26 @@ def test_held_out_accuracy():
             raw = np.frombuffer(marked(*_parts(LABELLED[i][0])).encode(), np.uint8)
             right += (m.probability(raw, np.array([0, len(raw)]))[0] >= 0.5) == bool(LABELLED[i][1])
     assert right / len(LABELLED) >= 0.75
+
+
+def test_model_equals_brute_force_descent():
+    """The same descent with dictionaries of hashed grams, a url at a time."""
+    from quartzite.llm.urls import _parts, grams, marked
+
+    texts = [np.frombuffer(marked(*_parts(u)).encode(), np.uint8) for u, _ in LABELLED]
+    rows = [np.bincount(grams(t, np.array([0, len(t)]))[0], minlength=1) for t in texts]
+    rows = [{int(p): int(c[p]) for p in np.flatnonzero(c)} for c in rows]
+    w, bias = {}, 0.0
+    for _ in range(40):
+        grad, gb = {}, 0.0
+        for x, (_, y) in zip(rows, LABELLED, strict=True):
+            scale = 1 / np.sqrt(sum(x.values()))
+            p = 1 / (1 + np.exp(-(sum(w.get(k, 0.0) * c for k, c in x.items()) * scale + bias)))
+            for k, c in x.items():
+                grad[k] = grad.get(k, 0.0) + (p - y) / len(rows) * scale * c
+            gb += (p - y) / len(rows)
+        for k in grad:
+            w[k] = w.get(k, 0.0) - 0.5 * (grad[k] + 1e-3 * w.get(k, 0.0)) * 10
+        bias -= 0.5 * gb
+    m = train(rounds=40)
+    assert np.allclose([m.weights[k] for k in w], list(w.values())) and np.isclose(m.bias, bias)
