@@ -3,19 +3,28 @@
 A turn is ``### role: text</turn>`` and a line feed.  Inside roles and texts ``\\`` becomes ``\\s``, ``<`` becomes ``\\l`` and ``#`` becomes
 ``\\h`` (and ``:`` in roles ``\\c``), so no text can look like a mark and every text comes back exactly.
 
-A conversation is cut into stretches of SEGMENT turn numbers, each of which is formatted in one row however long the conversation
-is.  In a stretch, prefix sums of the turns' token costs choose the windows: one goes on as long as its new turns stay within the
-budget, less the system turn and the repeated history; a turn is never cut.  A window starts with the conversation's system turn
-and up to HISTORY turns before it, which were in earlier windows: their texts aren't under the loss mask again.
+A turn's tokens are counted natively (see `tokens_of`), or come from a column.  Prefix sums of them over the whole conversation
+put the turns into stretches of `segment` budgets, so that no task holds a whole long conversation; in a stretch each window goes
+on as long as its turns, with the repeated ones, stay within the budget.  A turn is never cut: one that is over the budget alone is a
+window of its own.  A window starts with the conversation's first system turn, unless that leaves no room for the first new turn,
+and as many of the turns right before it as the history's limits and the budget allow.  These were in earlier windows: their
+texts aren't under the loss mask again.
+
+A conversation may hold any share of all rows: turns are range-sorted by (conversation, turn), each partition's sums are carried
+to the next, and no step groups by the conversation alone but the counts and the system turn, which are combined before they move.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of a window, repeated turns and their tokens at most, turn numbers of a stretch.  A token is taken as four characters.
-BUDGET, HISTORY, HISTORY_BUDGET, SEGMENT, CHARS_A_TOKEN = 1024, 2, 256, 64, 4
+from quartzite.llm.common import materialize, width
+
+#: Tokens of a window; turns repeated and their tokens at most; budgets of a stretch.
+BUDGET, HISTORY, HISTORY_BUDGET, SEGMENT = 1024, 2, 256, 64
+#: Four letters of a word, a digit and a sign are a token each; so is a byte of any character outside ASCII.
+TOKEN = r"[A-Za-z]{1,4}|[0-9]|[!-/:-@\[-`{-~]"
 TARGET = "assistant"
 
 
@@ -30,47 +39,102 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def format_conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = BUDGET, history: int = HISTORY, history_budget: int = HISTORY_BUDGET, segment: int = SEGMENT) -> DataFrame:
-    """Windows: (conv_id, segment, win, repeated, text, loss).
+def tokens_of(text: Column) -> Column:
+    """An upper estimate of the tokens that a byte-level vocabulary needs; blanks count nothing."""
+    wide = F.octet_length(text) - F.length(F.regexp_replace(text, r"[^\x00-\x7F]", ""))
+    return (F.regexp_count(text, F.lit(TOKEN)) + wide).cast("long")
+
+
+def _open(i: Column, budget: int, history: int, history_budget: int) -> Column:
+    """The window that starts at the i-th turn: (start, first, sys, used), `first` being the first turn of the history."""
+    turn, at = F.element_at("all", i), F.col("place")
+    has = F.col("system").isNotNull() & (F.col("before") | ((at > 0) & (at < i))) & (F.col("system.cost") + turn["cost"] <= budget)
+    base = F.when(has, F.col("system.cost")).otherwise(F.lit(0).cast("long"))
+    said = lambda j: F.element_at("all", i)["upto"] - F.element_at("all", j)["upto"] + F.element_at("all", j)["cost"]  # noqa: E731  with the turn itself
+    fits = lambda j: (said(j) - turn["cost"] <= history_budget) & (base + said(j) <= budget) & (~has | (j > at))
+    first = F.coalesce(F.array_min(F.filter(F.sequence(F.greatest(i - history, F.lit(1)), i), lambda j: (j < i) & fits(j))), i)
+    return F.struct(i.alias("start"), first.alias("first"), has.alias("sys"), (base + said(first)).alias("used"))
+
 
-    repeated: how many turns at the window's start repeat earlier ones.  loss: [start, end) in characters of `text` of each new
-    assistant text.  Turns go by number; those of the same number by role and text, repeated rows each.  Null texts and roles are
-    empty, a null turn comes before all others; rows of a null id are one conversation.
+def format_conversations(
+    turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", token_col: str | None = None, budget: int = BUDGET, history: int = HISTORY, history_budget: int = HISTORY_BUDGET, segment: int = SEGMENT
+) -> DataFrame:
+    """Windows: (conv_id, segment, win, repeated, tokens, text, loss).
+
+    repeated: how many turns at the window's start repeat earlier ones.  tokens: of the whole window, with its marks, at most
+    `budget` unless it is one turn alone.  loss: [start, end) in characters of `text` of each new assistant text.  token_col: the
+    tokens of a turn's text where a vocabulary has counted them (null: counted here).
+
+    Turns go by number; those of the same number by role and a hash of their text, repeated rows each.  Null texts and roles are
+    empty, a null turn comes before all others, rows of a null id are one conversation.  A long text is never cut, an empty
+    table gives no window, other columns are ignored whatever their names.
     """
+    spark = turns.sparkSession
     esc_role, esc = escape(F.coalesce(F.col(role_col).cast("string"), F.lit("")), role=True), escape(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    src = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), esc_role.alias("role"), esc.alias("text"))
-    src = src.withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 60))).cast("long"))
-    item = F.struct("turn", "role", "text", F.concat(F.lit("### "), "role", F.lit(": ")).alias("head"))
-    system = src.where(F.col("role") == "system").groupBy("conv_id").agg(F.min(item).alias("system")).select(F.col("conv_id").alias("sys_id"), "system")
-    # the last turns of a stretch are history of the next
-    own = src.select("conv_id", "segment", F.lit(1).alias("new"), item.alias("t"))
-    old = src.where(F.pmod("turn", F.lit(segment)) >= segment - history).select("conv_id", (F.col("segment") + 1).alias("segment"), F.lit(0).alias("new"), item.alias("t"))
-    rows = own.unionByName(old).groupBy("conv_id", "segment").agg(
-        F.array_sort(F.collect_list(F.when(F.col("new") == 1, F.col("t")))).alias("turns"), F.array_sort(F.collect_list(F.when(F.col("new") == 0, F.col("t")))).alias("before")
-    ).where(F.size("turns") > 0)
-    rows = rows.join(system, F.col("conv_id").eqNullSafe(F.col("sys_id")), "left").drop("sys_id")
-    cost = lambda t: F.ceil((F.length(t["head"]) + F.length(t["text"]) + 8) / CHARS_A_TOKEN)
-    room = F.lit(budget) - F.lit(history_budget) - F.coalesce(cost(F.col("system")), F.lit(0))
-    # prefix sums, and from them each turn's window: a new one starts where the sum since the last start leaves the room
-    rows = rows.withColumn("all", F.concat("before", "turns")).withColumn("skip", F.size("before")).withColumn("room", room)
-    rows = rows.withColumn("sums", F.aggregate("all", F.array(F.lit(0).cast("long")), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + cost(t)))))
-    rows = rows.withColumn("starts", F.aggregate(F.sequence(F.col("skip") + 1, F.size("all")), F.array(F.col("skip") + 1), lambda a, i: F.when((F.col("sums")[i] - F.col("sums")[F.element_at(a, -1) - 1] > F.col("room")) & (i > F.element_at(a, -1)), F.concat(a, F.array(i))).otherwise(a)))
-    rows = rows.select("conv_id", "segment", "system", "all", "sums", F.posexplode("starts").alias("win", "start"), F.col("starts").alias("starts"))
-    rows = rows.withColumn("end", F.when(F.col("win") + 1 < F.size("starts"), F.get("starts", F.col("win") + 1) - 1).otherwise(F.size("all")))
-    # history: as many of the turns before as the limit and its budget allow
-    first = F.greatest(F.lit(1), F.col("start") - history)
-    first = F.coalesce(F.element_at(F.filter(F.sequence(first, F.col("start")), lambda i: F.get("sums", F.col("start") - 1) - F.get("sums", i - 1) <= history_budget), 1), F.col("start"))
-    rows = rows.withColumn("first", first)
-    order = lambda t: F.struct(t["turn"], t["role"], t["text"])
-    keep_system = F.col("system").isNotNull() & (order(F.col("system")) < order(F.get("all", F.col("first") - 1)))
-    rows = rows.select(
-        "conv_id", "segment", "win", F.concat(F.when(keep_system, F.array("system")).otherwise(F.slice("all", 1, 0)), F.slice("all", F.col("first"), F.col("end") - F.col("first") + 1)).alias("shown"),
-        (F.col("start") - F.col("first") + F.when(keep_system, 1).otherwise(0)).alias("repeated"),
-    )
-    size = lambda t: F.length(t["head"]) + F.length(t["text"]) + 8
-    rows = rows.withColumn("at", F.aggregate("shown", F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + size(t)))))
-    spans = F.transform("shown", lambda t, i: F.when((t["role"] == TARGET) & (i >= F.col("repeated")), F.struct((F.get("at", i) + F.length(t["head"])).alias("start"), (F.get("at", i + 1) - 8).alias("end"))))
-    return rows.select("conv_id", "segment", "win", "repeated", F.concat_ws("", F.transform("shown", lambda t: F.concat(t["head"], t["text"], F.lit("</turn>\n")))).alias("text"), F.filter(spans, lambda s: s.isNotNull()).alias("loss"))
+    marks = tokens_of(F.concat(F.lit("### : </turn>"), F.col("role")))
+    own = F.coalesce(F.col("counted"), tokens_of(F.col("text")))
+    src = turns.select(F.col(id_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), esc_role.alias("role"), esc.alias("text"), (F.col(token_col).cast("long") if token_col else F.lit(None).cast("long")).alias("counted"))
+    src = src.select("conv_id", "turn", "role", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"), "text", (marks + own).alias("cost"))
+    order = ["turn", "role", "h", "row"]
+    rows = materialize(src.repartitionByRange(width(spark, turns), "conv_id", *order).withColumn("part", F.spark_partition_id()), "turns")
+
+    # prefix sums: each partition's rows of a conversation go on from the sum of the partitions before
+    per = rows.groupBy("conv_id", "part").agg(F.sum("cost").alias("cost"))
+    so_far = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.withColumn("cost", F.sum("cost").over(so_far)).where("cost is not null")
+    none = {"turn": "long", "role": "string", "h": "long", "row": "long", "text": "string"}
+    carried = carried.select("conv_id", *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "cost", "part", F.lit(1).alias("carry"))
+    running = Window.partitionBy("conv_id", "part").orderBy(F.desc("carry"), *order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.withColumn("carry", F.lit(0)).unionByName(carried).withColumn("upto", F.sum("cost").over(running)).where("carry = 0")
+
+    # stretches: a turn belongs where it starts; those near a stretch's end are history of the next, too
+    size = segment * budget
+    at = F.floor((F.col("upto") - F.col("cost")) / size).cast("long")
+    ahead = (at + 1) * size - (F.col("upto") - F.col("cost")) <= history_budget
+    to = F.when(ahead, F.array(F.struct(at.alias("segment"), F.lit(True).alias("new")), F.struct((at + 1).alias("segment"), F.lit(False).alias("new")))).otherwise(F.array(F.struct(at.alias("segment"), F.lit(True).alias("new"))))
+    item = F.struct("upto", "cost", "row", "role", "text")
+    placed = summed.select("conv_id", F.explode(to).alias("to"), item.alias("t"), F.struct(*order).alias("order")).select("conv_id", "to.segment", "to.new", "t", "order")
+    # the system turn goes to all stretches of its conversation
+    first = F.min(F.struct(*order, F.struct(F.lit(0).cast("long").alias("upto"), "cost", "row", "role", "text").alias("t"))).alias("s")
+    system = rows.where(F.col("role") == "system").groupBy("conv_id").agg(first)
+    total = rows.groupBy("conv_id").agg(F.sum("cost").alias("total")).select(F.col("conv_id").alias("of"), F.floor((F.col("total") - 1) / size).cast("long").alias("last"))
+    system = system.join(total, F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("segment"), F.lit(None).cast("boolean").alias("new"), F.col("s.t").alias("t"), F.struct(*(F.col(f"s.{c}") for c in order)).alias("order"))
+    kept = lambda c, x: F.when(c, x)
+    rows = placed.unionByName(system).groupBy("conv_id", "segment").agg(
+        F.array_sort(F.collect_list(kept(F.col("new").isNotNull(), F.col("t")))).alias("all"),
+        F.count(kept(~F.col("new"), F.lit(1))).cast("int").alias("skip"),
+        F.max(kept(F.col("new").isNull(), F.col("t"))).alias("system"),
+        F.coalesce(F.max(kept(F.col("new").isNull(), F.col("order"))) < F.min(kept(F.col("new").isNotNull(), F.col("order"))), F.lit(False)).alias("before"),
+    )
+    rows = rows.where(F.size("all") > F.col("skip")).withColumn("place", F.coalesce(F.array_position(F.transform("all", lambda t: t["row"]), F.col("system.row")), F.lit(0)).cast("int"))
+
+    window = lambda i: _open(i, budget, history, history_budget)
+    start = F.array(window(F.col("skip") + 1))
+    more = F.when(F.size("all") > F.col("skip") + 1, F.sequence(F.col("skip") + 2, F.size("all"))).otherwise(F.array().cast("array<int>"))
+
+    def step(wins: Column, i: Column) -> Column:
+        """The last window goes on, or the next one opens."""
+        last, cost = F.element_at(wins, -1), F.element_at("all", i)["cost"]
+        used = last["used"] + cost
+        longer = F.concat(F.slice(wins, 1, F.size(wins) - 1), F.array(F.struct(last["start"].alias("start"), last["first"].alias("first"), last["sys"].alias("sys"), used.alias("used"))))
+        return F.when(used <= budget, longer).otherwise(F.concat(wins, F.array(window(i))))
+
+    rows = rows.withColumn("wins", F.aggregate(more, start, step))
+    head = lambda t: F.concat(F.lit("### "), t["role"], F.lit(": "))
+    width_of = lambda t: F.length(t["role"]) + F.length(t["text"]) + 14  # noqa: E731  "### ", ": ", "</turn>\n"
+
+    def formatted(w: Column, x: Column) -> Column:
+        end = F.coalesce(F.get("wins", x + 1)["start"] - 1, F.size("all"))
+        turns_ = F.slice("all", w["first"], end - w["first"] + 1)
+        shown = F.when(w["sys"], F.concat(F.array("system"), turns_)).otherwise(turns_)
+        repeated = w["start"] - w["first"] + F.when(w["sys"], 1).otherwise(0)
+        ends = F.aggregate(shown, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + width_of(t))))
+        return F.struct(x.alias("win"), repeated.alias("repeated"), w["used"].alias("tokens"), shown.alias("shown"), ends.alias("ends"))
+
+    rows = rows.select("conv_id", "segment", F.explode(F.transform("wins", formatted)).alias("w")).select("conv_id", "segment", "w.*")
+    spans = F.transform("shown", lambda t, i: F.when((t["role"] == TARGET) & (i >= F.col("repeated")), F.struct((F.get("ends", i) + F.length(t["role"]) + 6).alias("start"), (F.get("ends", i + 1) - 8).alias("end"))))
+    text = F.concat_ws("", F.transform("shown", lambda t: F.concat(head(t), t["text"], F.lit("</turn>\n"))))
+    return rows.select("conv_id", "segment", "win", "repeated", "tokens", text.alias("text"), F.filter(spans, lambda s: s.isNotNull()).alias("loss"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quartzite.llm.chat import HOSTILE, digest, format_conversations, read_back
+from quartzite.llm.chat import HOSTILE, digest, escape, format_conversations, read_back
 
 COLS = "conv_id long, turn long, role string, text string, win string, segment string"
 
@@ -45,26 +46,85 @@ def test_everything_comes_back(windows):
     assert got == brute(data())
 
 
-def test_windows_hold_the_budget_and_their_context(windows):
-    rows = sorted(windows.collect(), key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.segment, r.win))
-    system = {c: x for c, _, r, x, *_ in data() if r == "system" and c != 52}
-    assert len(rows) > 40
-    seen = defaultdict(int)
+def count(text):
+    """Tokens by the same rule, a character at a time."""
+    n, run = 0, 0
+    for c in text:
+        letter = c.isascii() and c.isalpha()
+        run = run + 1 if letter else 0
+        n += (run % 4 == 1) if letter else len(c.encode()) if not c.isascii() else (not c.isspace() and c.isprintable())
+    return n
+
+
+def builder(rows, hashes, budget, history, history_budget, segment):
+    """All windows of one conversation's turns: (stretch, repeated, tokens, text, loss texts) in order."""
+    esc = lambda x: (x or "").replace("\\", "\\s").replace("<", "\\l").replace("#", "\\h")
+    turns = sorted((t is not None, t or 0, esc(r).replace(":", "\\c"), hashes[esc(x)], esc(x)) for _, t, r, x, *_ in rows)
+    turns = [(r, x, f"### {r}: {x}</turn>\n") for *_, r, _, x in turns]
+    cost = [count(t) for *_, t in turns]
+    where = [sum(cost[:i]) // (segment * budget) for i in range(len(turns))]
+    sys = next((i for i, t in enumerate(turns) if t[0] == "system"), None)
+    out, i = [], 0
+    while i < len(turns):
+        has = sys is not None and sys < i and cost[sys] + cost[i] <= budget
+        used, first = cost[i] + (cost[sys] if has else 0), i
+        while i - first < history and first and not (has and first - 1 == sys) and sum(cost[first - 1 : i]) <= history_budget and used + cost[first - 1] <= budget:
+            first -= 1
+            used += cost[first]
+        end = i + 1
+        while end < len(turns) and where[end] == where[i] and used + cost[end] <= budget:
+            used += cost[end]
+            end += 1
+        shown = ([sys] if has else []) + list(range(first, end))
+        out.append((where[i], len(shown) - (end - i), used, "".join(turns[k][2] for k in shown), [turns[k][1] for k in range(i, end) if turns[k][0] == "assistant"]))
+        i = end
+    return out
+
+
+def hard():
+    rng = np.random.default_rng(9)
+    rows = [(60, t, "user" if t % 2 else "assistant", "hi") for t in range(256)]
+    rows += [(61, 100 * t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(300)]  # sparse numbers
+    rows += [(62, 0, "system", "rule " * 2000)] + [(62, t, "assistant", "word " * 30) for t in range(1, 40)]  # a system turn over the budget
+    rows += [(63, 0, "system", "rule " * 900)] + [(63, t, "assistant", "word " * int(rng.integers(1, 300))) for t in range(1, 60)]
+    rows += [(64, t, "user" if t % 2 else "assistant", "漢字テスト" * int(rng.integers(1, 40))) for t in range(80)]
+    rows += [(65, 3, "user" if t % 3 else "assistant", f"same number {t} " * int(rng.integers(1, 20))) for t in range(150)]
+    rows += [(66, t, "assistant", "w" * int(rng.choice([1, 30, 3000, 9000]))) for t in range(60)]  # turns over the budget
+    rows += [(67, t, "system" if t == 20 else "user", "late " * int(rng.integers(1, 60))) for t in range(60)]
+    rows += [(None, None, "assistant", f"null {t}") for t in range(90)]
+    return [(*r, "mine", "mine") for r in rows]
+
+
+@pytest.mark.parametrize("setting", [(1024, 2, 256, 64), (200, 3, 60, 2), (1024, 0, 0, 64)])
+def test_windows_equal_brute_force_builder(spark, setting):
+    rows = data() + hard()
+    df = spark.createDataFrame(rows, COLS).repartition(5)
+    hashes = {r.e: r.h for r in df.select(escape(F.coalesce("text", F.lit(""))).alias("e")).select("e", F.xxhash64("e").alias("h")).distinct().collect()}
+    got = defaultdict(list)
+    budget, history, history_budget, segment = setting
+    for r in sorted(format_conversations(df, budget=budget, history=history, history_budget=history_budget, segment=segment).collect(), key=lambda r: (r.segment, r.win)):
+        got[r.conv_id].append((r.segment, r.repeated, r.tokens, r.text, [r.text[x.start : x.end] for x in r.loss]))
+        assert r.tokens <= budget or r.text.count("</turn>") == 1
+        assert all(r.text[: x.start].endswith("### assistant: ") and r.text[x.end :].startswith("</turn>\n") for x in r.loss)
+    by = defaultdict(list)
     for r in rows:
-        turns = r.text.split("</turn>\n")[:-1]
-        assert len(turns) > r.repeated
-        cost = sum(-(-(len(t) + 8) // 4) for t in turns)
-        assert cost <= 1024 or len(turns) - r.repeated == 1
-        if r.conv_id in system and seen[r.conv_id]:
-            assert turns[0].startswith("### system: ")
-        seen[r.conv_id] += 1
-        for s in r.loss:
-            assert r.text[: s.start].endswith("### assistant: ") and r.text[s.end :].startswith("</turn>\n")
-    assert any(r.repeated > 1 for r in rows)
-    full = [r for r in rows if r.conv_id == 3]
-    for a, b in zip(full, full[1:], strict=False):
-        x = b.text.split("</turn>\n")[: b.repeated]
-        assert all(t in a.text for t in x if not t.startswith("### system"))
+        by[r[0]].append(r)
+    assert got.keys() == by.keys()
+    for c in by:
+        assert got[c] == builder(by[c], hashes, *setting), c
+
+
+def test_full_windows_and_no_python_worker(spark):
+    df = spark.createDataFrame(hard(), COLS)
+    out = format_conversations(df)
+    assert "Python" not in out._jdf.queryExecution().toString() and "Arrow" not in out._jdf.queryExecution().toString()
+    rows = out.where("conv_id = 60").collect()
+    assert len(rows) == -(-256 * (8 + 2 + 1) // 1000) and all(r.tokens > 900 for r in rows[:-1])
+
+
+def test_token_column(spark):
+    df = spark.createDataFrame([(1, t, "user", "abc", 600 if t < 4 else None) for t in range(8)], "conv_id long, turn long, role string, text string, n int")
+    assert [r.tokens for r in format_conversations(df, token_col="n").orderBy("win").collect()] == [609, 609, 609, 609 + 4 * 10]
 
 
 def test_reads_back_turns_and_empty_table(spark, windows):
