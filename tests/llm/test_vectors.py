@@ -57,6 +57,44 @@ def test_equals_brute_force_over_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
     monkeypatch.setattr(vectors, "SAMPLE", 50)
     assert got(near_vectors(df)) == expect
+    monkeypatch.setattr(vectors, "DEAL", 20)
+    monkeypatch.setattr(vectors, "FAN", 2)  # several levels
+    assert got(near_vectors(df)) == expect
+
+
+def test_cells_grow_with_every_label_and_models_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_CELL", 25)
+    monkeypatch.setattr(vectors, "SAMPLE", 60)
+    monkeypatch.setattr(vectors, "FAN", 4)
+    rng = np.random.default_rng(1)
+    homes = []
+    for n in (200, 1600):
+        rows = [(k * 10000 + i, f"label {k}", rng.normal(size=24)) for k in range(3) for i in range(n)]
+        same = spark.createDataFrame([(label, (v / np.linalg.norm(v)).tobytes(), i, 1) for i, label, v in rows], "label string, unit binary, rep long, n long")
+        cells, paths = vectors.cells_of(same, 0.98)
+        own = cells.where("own")
+        assert own.count() == 3 * n and own.select("rep").distinct().count() == 3 * n
+        models = [spark.read.parquet(p) for p in paths if "model" in p]
+        assert all(m.where("length(model) > 4 * 24 * 8").isEmpty() for m in models) and len(models) > 2
+        homes.append(own.select("cell").distinct().count())
+        per = [r["count"] for r in own.groupBy("cell").count().collect()]
+        assert max(per) < 25 * 12
+    assert homes[1] > 4 * homes[0]
+
+
+def test_a_cell_that_no_split_helps_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "PER_CELL", 25)
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=16)
+    rows = [(i, 0, (base + rng.normal(size=16) * 0.02).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert got(near_vectors(df)) == brute(rows)
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(1, 0, [1.0, 0.0]), (1, 0, [0.0, 1.0]), (2, 0, [1.0, 0.01]), (3, 0, [0.01, 1.0])]
+    out = near_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)]
 
 
 def test_repeated_rows_nulls_and_empty_table(spark):
