@@ -12,7 +12,8 @@ z < m - D.  The few others (short, or mostly of very frequent shingles) publish
 not values, are dealt to buckets, so every bucket gets as many rows of every document, however alike the documents are; equal
 sets count once; a value that many documents share yields comparisons with one of four pseudo-random members.  Members that
 are still in different components after that are compared by their sketches, in blocks and without a row for each pair: first
-each brings forward its closest, and what is in different components even then all that the sketches allow.
+each brings forward its closest; where a group is in different components even then, the sets themselves are dealt to the pairs
+of blocks, every pair that the sketches allow is verified there, and only a spanning forest of what holds leaves the task.
 """
 
 from __future__ import annotations
@@ -32,12 +33,15 @@ RATIO = 1.5
 SKETCH_BITS = 1024
 #: Documents of a group that are compared with each other at once; larger groups go through leaders.
 SMALL_GROUP = 8
-#: Members of a group whose sketches one task compares with one another.
-BLOCK = 2048
+#: Members of a group, and shingles of these, that one task compares with one another.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Groups that are broadcast at most; beyond that their members are joined by key and one of SALTS.
+SENT_GROUPS, SALTS = 200_000, 32
 #: A shingle in this share of all documents (and in MIN_HEAVY at least) doesn't make a part telling.
 HEAVY_SHARE, MIN_HEAVY, MAX_HEAVY = 0.005, 64, 1 << 20
 #: Signatures that one bucket may hold.
 BUCKET_ROWS = 2 << 20
+LINK = "a long, b long, ra long, rb long"
 
 
 class Bands:
@@ -108,13 +112,14 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy, layout: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, keys, classes): the telling parts of each document, packed by bucket."""
+    """Rows (bucket, keys, classes, sizes): the telling parts of each document, packed by bucket."""
     heavy = heavy.value
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
-        bucket, key, cls = (np.concatenate(x) for x in zip(*held, strict=True))
-        names, which = np.unique(cls, return_inverse=True)
+        bucket, key, cls, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        names, place, which = np.unique(cls, return_index=True, return_inverse=True)
+        sizes = n[place].astype(np.uint32)
         order = np.lexsort((key, bucket))
         bucket, key, which = bucket[order], key[order], which[order]
         same = np.zeros(len(key), bool)  # equal sets give equal rows: one is enough
@@ -125,8 +130,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy,
         rows = []
         for i, j in zip(at, ends, strict=True):
             own, idx = np.unique(which[i:j], return_inverse=True)
-            rows.append((int(bucket[i]), key[i:j].tobytes(), idx.astype(np.uint32 if len(own) > 65536 else np.uint16).tobytes(), names[own].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3)], ["bucket", "keys", "idx", "classes"])
+            rows.append((int(bucket[i]), key[i:j].tobytes(), idx.astype(np.uint32 if len(own) > 65536 else np.uint16).tobytes(), names[own].tobytes(), sizes[own].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3, 4)], ["bucket", "keys", "idx", "classes", "sizes"])
 
     size = 0
     for batch in batches:
@@ -164,7 +169,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy,
                 key = mix(v ^ mix((b.astype(np.uint64) << U(40)) + p.astype(np.uint64)))
                 ranges, subs = layout["ranges"][b], layout["subs"][b].astype(np.uint64)
                 bucket = layout["base"][b] + (p * ranges // bands.m[b]) * layout["subs"][b] + (key % subs).astype(np.int64)
-                held.append((bucket, key, cls[docs][who]))
+                held.append((bucket, key, cls[docs][who], n[docs][who]))
                 size += len(key)
             if size > 1 << 19:
                 yield from flush()
@@ -173,35 +178,39 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy,
         yield from flush()
 
 
-def _pairs(key: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(a, b, False) for candidates, (key, class, True) for the members of groups that went through leaders."""
+def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(a, b, False) for candidates whose sizes allow a link, (key, class, True) for the members of groups that went through leaders."""
     order = np.argsort(key)
     key = key[order]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     more = ~(new & np.append(new[1:], True))
-    key, cls = key[more], cls[order][more]
+    key, cls, n = key[more], cls[order][more], n[order][more]
     if not len(key):
         return
     rank = mix(cls.view(np.uint64) ^ mix(key & U(3)))  # four orders of the documents, by key
     order = np.lexsort((rank, key))
-    key, cls = key[order], cls[order]
+    key, cls, n = key[order], cls[order], n[order]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
-    key, cls = key[fresh], cls[fresh]
+    key, cls, n = key[fresh], cls[fresh], n[fresh]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(at, len(key)))
     a, b = [], []
+
+    def allow(x: np.ndarray, y: np.ndarray) -> None:
+        fits = np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
+        a.append(cls[x[fits]])
+        b.append(cls[y[fits]])
+
     for s in range(2, SMALL_GROUP + 1):
         own = at[size == s]
         for i in range(s - 1):
             for j in range(i + 1, s):
-                a.append(cls[own + i])
-                b.append(cls[own + j])
+                allow(own + i, own + j)
     big = np.repeat(size > SMALL_GROUP, size)
     if big.any():
         leader = np.repeat(at, size)
-        rest = big & (leader != np.arange(len(key)))
-        a.append(cls[leader[rest]])
-        b.append(cls[rest])
+        rest = np.flatnonzero(big & (leader != np.arange(len(key))))
+        allow(leader[rest], rest)
         yield key[big].view(np.int64), cls[big], True
     if a:
         a, b = np.concatenate(a), np.concatenate(b)
@@ -212,16 +221,17 @@ def _pairs(key: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         yield lo[one], hi[one], False
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The buckets of one partition, one after the other."""
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
     for batch in batches:
-        for bucket, keys, idx, classes in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+        for bucket, keys, idx, classes, sizes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             own = np.frombuffer(classes, np.int64)
-            held.setdefault(bucket, []).append((np.frombuffer(keys, np.uint64), own[np.frombuffer(idx, np.uint32 if len(own) > 65536 else np.uint16)]))
+            idx = np.frombuffer(idx, np.uint32 if len(own) > 65536 else np.uint16)
+            held.setdefault(bucket, []).append((np.frombuffer(keys, np.uint64), own[idx], np.frombuffer(sizes, np.uint32)[idx].astype(np.int64)))
     for bucket in list(held):
-        key, cls = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
-        for a, b, member in _pairs(key, cls):
+        key, cls, n = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+        for a, b, member in _pairs(key, cls, n, num, den):
             for i in range(0, len(a), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(a[i : i + (1 << 17)]), pa.array(b[i : i + (1 << 17)]), pa.array(np.full(len(a[i : i + (1 << 17)]), member))], ["a", "b", "member"])
     give_back()
@@ -230,11 +240,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hamming(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose sizes and parity sketches allow the similarity."""
     for batch in batches:
-        na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-        sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for i in (4, 5))
+        na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+        sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64) for i in (6, 7))
         apart = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
         ok = (apart * (den + num) <= (na + nb) * (den - num)) & (np.minimum(na, nb) * den >= np.maximum(na, nb) * num)
-        yield batch.select([0, 1]).filter(pa.array(ok))
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -251,8 +261,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         yield rest.columns[2:]
 
 
-def _closest(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group's members in different components that sizes and sketches allow: all, or the closest of each member."""
+def _distances(bits: np.ndarray, own: np.ndarray, right: np.ndarray) -> np.ndarray:
+    far = np.zeros((len(own), len(right)), np.int64)
+    for w in range(bits.shape[1]):
+        far += np.bitwise_count(bits[own, w][:, None] ^ bits[right, w][None, :])
+    return far
+
+
+def _closest(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """For each member of a group, the closest of those in other components that sizes and sketches allow."""
     found: list[np.ndarray] = []
     held = 0
 
@@ -268,17 +285,12 @@ def _closest(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool)
         left, right = (np.flatnonzero(blk == blk.min()), np.flatnonzero(blk == blk.max()))
         for i in range(0, len(left), 64):
             own = left[i : i + 64]
-            far = np.zeros((len(own), len(right)), np.int64)
-            for w in range(bits.shape[1]):
-                far += np.bitwise_count(bits[own, w][:, None] ^ bits[right, w][None, :])
+            far = _distances(bits, own, right)
             big, small = np.maximum(n[own][:, None], n[right][None, :]), np.minimum(n[own][:, None], n[right][None, :])
             ok = (comp[own][:, None] != comp[right][None, :]) & (far * (den + num) <= (big + small) * (den - num)) & (small * den >= big * num)
-            if best:
-                far[~ok] = np.iinfo(np.int64).max
-                x = np.flatnonzero(ok.any(axis=1))
-                y = far[x].argmin(axis=1)
-            else:
-                x, y = np.nonzero(ok)
+            far[~ok] = np.iinfo(np.int64).max
+            x = np.flatnonzero(ok.any(axis=1))
+            y = far[x].argmin(axis=1)
             if len(x):
                 a, b = node[own[x]], node[right[y]]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
@@ -290,23 +302,51 @@ def _closest(batches: Iterator[pa.RecordBatch], num: int, den: int, best: bool)
         yield out()
 
 
+def _settle(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Verified links between the components of each pair of blocks, as a forest: every pair that sizes and sketches allow is compared by its sets."""
+    for blk, node, n, comp, sketch, sets in _groups(batches):
+        blk, node, n, comp = (c.to_numpy(zero_copy_only=False) for c in (blk, node, n, comp))
+        names, tree = np.unique(comp, return_inverse=True)
+        if len(names) < 2:
+            continue
+        bits = np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(len(node), -1)
+        shingles = [np.frombuffer(x, np.uint64) for x in sets.to_pylist()]
+        left, right = (np.flatnonzero(blk == blk.min()), np.flatnonzero(blk == blk.max()))
+        a, b = [], []
+        for i in left.tolist():
+            big, small = np.maximum(n[i], n[right]), np.minimum(n[i], n[right])
+            far = _distances(bits, np.array([i]), right)[0]
+            maybe = right[(tree[right] != tree[i]) & (far * (den + num) <= (big + small) * (den - num)) & (small * den >= big * num)]
+            if not len(maybe):
+                continue
+            values = np.concatenate([shingles[j] for j in maybe])
+            at = np.minimum(np.searchsorted(shingles[i], values), len(shingles[i]) - 1)
+            common = np.add.reduceat((shingles[i][at] == values).astype(np.int64), np.cumsum(n[maybe]) - n[maybe])
+            for j in maybe[common * den >= num * (n[i] + n[maybe] - common)].tolist():
+                if tree[j] != tree[i]:
+                    tree[tree == tree[j]] = tree[i]
+                    a.append(node[i])
+                    b.append(node[j])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _shingles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, h, doc in _sets(batch, k):
             n = np.bincount(doc, minlength=len(ids))
             ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([h[e - c : e].tobytes() for c, e in zip(n, ends, strict=True)], pa.binary())], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(_class(h, ends - n, n)), pa.array([h[e - c : e].tobytes() for c, e in zip(n, ends, strict=True)], pa.binary())], ["cls", "shingles"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+        for x, y in zip(batch.column(4), batch.column(5), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             both = np.sort(np.concatenate([x, y]))
             common = int((both[1:] == both[:-1]).sum())
             ok.append(common * den >= num * (len(x) + len(y) - common))
-        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+        yield batch.select([0, 1, 2, 3]).filter(pa.array(ok, pa.bool_()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -314,7 +354,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are the runs of non-blank characters, A-Z lower-cased; a document's set is its distinct `k`-word shingles, or the
     whole sequence where it has fewer words.  Null, empty and blank texts have an empty set and are linked with nothing.
-    Repeated rows give repeated rows; a null id keeps its row and has component_id null unless its set has another id.  Other columns are ignored.
+    Shingles and sets are compared by 64-bit hashes.  Repeated rows give repeated rows, and an id that stands at several texts has each
+    text's links; a null id keeps its row and has component_id null unless its set has another id.  Long texts are read whole, an
+    empty table gives no row, other columns are ignored whatever their names.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -346,52 +388,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     layout = {"ranges": ranges, "subs": subs, "base": np.cumsum(count) - count}
 
     sent = spark.sparkContext.broadcast(heavy)
-    signs = src.mapInArrow(partial(_signatures, k=k, bands=bands, heavy=sent, layout=layout), "bucket int, keys binary, idx binary, classes binary")
-    met_path, classes_small = new_path(spark, "met"), classes.select("cls", "rep", "n", "sketch")
-    met = signs.repartitionById(max(1, int(count.sum())), F.col("bucket")).mapInArrow(_meet, "a long, b long, member boolean")
-    met = materialize(met, "met", met_path)
+    signs = src.mapInArrow(partial(_signatures, k=k, bands=bands, heavy=sent, layout=layout), "bucket int, keys binary, idx binary, classes binary, sizes binary")
+    used: list[str] = []
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs of representatives (a, b), those that hold."""
-        pairs_path, sets_path = new_path(spark, "pairs"), new_path(spark, "sets")
-        side = lambda x: classes_small.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        thin = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(partial(_hamming, num=num, den=den), "a long, b long")
-        thin = materialize(thin, "pairs", pairs_path)
-        needed = thin.select(F.col("a").alias("id")).unionByName(thin.select(F.col("b").alias("id"))).distinct()
+    def table(df: DataFrame, name: str) -> DataFrame:
+        used.append(new_path(spark, name))
+        return materialize(df, name, used[-1])
+
+    met = table(signs.repartitionById(max(1, int(count.sum())), F.col("bucket")).mapInArrow(partial(_meet, num=num, den=den), "a long, b long, member boolean"), "met")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(cls, shingles) of the classes `nodes`, from the texts of their representatives."""
+        ids = classes.join(nodes.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("id")).distinct()
         # a sort-merge join at every size: what it moves follows the input
-        sets = src.join(needed.hint("merge"), "id", "left_semi").mapInArrow(partial(_shingles, k=k), "id long, shingles binary").dropDuplicates(["id"])
-        sets = materialize(sets, "sets", sets_path)
-        set_of = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
-        out = thin.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(partial(_verify, num=num, den=den), "a long, b long")
-        out = materialize(out, "links")
-        drop(spark, pairs_path, sets_path)
-        return out
-
-    rep = lambda x: classes_small.select(F.col("cls").alias(x), F.col("rep").alias(f"r{x}"))
-    pairs = met.where("not member").select("a", "b").distinct().join(rep("a"), "a").join(rep("b"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    comp = components(linked(pairs))
-    members = met.where("member").select(F.col("a").alias("key"), F.col("b").alias("cls")).join(classes_small.select("cls", F.col("rep").alias("node")), "cls").select("key", "node")
-    # members of a group in different components: compare across these, by the closest first
-    for best in (True, False):
-        label = members.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        mixed = label.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-        label = materialize(label.join(mixed, "key"), "members")
-        if label.isEmpty():
+        return table(src.join(ids.hint("merge"), "id", "left_semi").mapInArrow(partial(_shingles, k=k), "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Of candidate pairs of classes (a, b), those that hold, with their representatives: (a, b, ra, rb)."""
+        side = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        thin = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "sa", "sb").mapInArrow(partial(_hamming, num=num, den=den), LINK)
+        thin = table(thin, "pairs")
+        sets = sets_of(thin.select(F.col("a").alias("cls")).unionByName(thin.select(F.col("b").alias("cls"))))
+        set_of = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
+        return table(thin.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(partial(_verify, num=num, den=den), LINK), "links")
+
+    # a node is (representative, class): its component's smallest node has the smallest id, and repeated ids stay apart
+    node = lambda x: F.struct(F.col(f"r{x}").alias("rep"), F.col(x).alias("cls"))
+    comp = table(components(linked(met.where("not member").select("a", "b").distinct()).select(node("a").alias("a"), node("b").alias("b"))), "comp")
+    members = met.where("member").select(F.col("a").alias("key"), F.col("b").alias("cls")).join(classes.select("cls", "n"), "cls")
+    # members of a group in different components: compare across these, by the closest first, then all
+    for last in (False, True):
+        name = comp.select(F.col("node.cls").alias("cls"), F.col("component.cls").alias("at"))
+        label = members.join(name, "cls", "left").select("key", "cls", "n", F.coalesce("at", "cls").alias("at"))
+        size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+        mixed = table(label.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), size.alias("blocks")).where("lo < hi").select("key", "blocks"), "mixed")
+        groups = mixed.count()
+        if not groups:
             break
-        cut = label.withColumn("blk", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        cut = cut.join(classes_small.select(F.col("rep").alias("node"), "n", "sketch"), "node").select("key", (F.least("blk", "other") * F.col("blocks") + F.greatest("blk", "other")).alias("cell"), "blk", "node", "n", "component", "sketch")
+        if groups <= SENT_GROUPS:
+            label = label.join(F.broadcast(mixed), "key")
+        else:  # a group may hold any share of the rows: its key alone would be one task
+            salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            label = label.withColumn("salt", F.pmod(F.hash("cls"), F.lit(SALTS))).join(salted, ["key", "salt"]).drop("salt")
+        label = table(label, "members")
+        cut = label.withColumn("blk", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cut = cut.join(classes.select("cls", "sketch"), "cls").withColumn("cell", F.least("blk", "other") * F.col("blocks") + F.greatest("blk", "other"))
+        columns = ["key", "cell", "blk", "cls", "n", "at", "sketch"]
         parts = max(width(spark), -(-label.count() // (BUCKET_ROWS // 16)))
-        pairs = cut.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell").mapInArrow(partial(_closest, num=num, den=den, best=best), "a long, b long").distinct()
+        if last:
+            cut, columns = cut.join(sets_of(label), "cls"), [*columns, "shingles"]
+        dealt = cut.select(*columns).repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
+        if last:
+            rep = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias(f"r{x}"))
+            more = table(dealt.mapInArrow(partial(_settle, num=num, den=den), "a long, b long"), "links").join(rep("a"), "a").join(rep("b"), "b")
+        else:
+            more = linked(dealt.mapInArrow(partial(_closest, num=num, den=den), "a long, b long").distinct())
         # the new links join components: only these are looked at again
-        name = comp.select("node", "component")
-        more = linked(pairs).join(name.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(name.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        joined = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
+        was = lambda x: comp.select(F.col("node.cls").alias(x), F.col("component").alias(f"c{x}"))
+        more = more.join(was("a"), "a", "left").join(was("b"), "b", "left")
+        joined = components(more.select(F.coalesce("ca", node("a")).alias("a"), F.coalesce("cb", node("b")).alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
         alone = joined.join(comp, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
         comp = comp.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(alone)
-        comp = materialize(comp, "comp")
-        members = label.select("key", "node")
-    drop(spark, met_path)
-    found = classes_small.select("cls", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("component_id"))
+        comp = table(comp, "comp")
+        members = label.select("key", "cls", "n")
+    kept = [p for p in used if "-comp-" in p][-1]
+    drop(spark, *(p for p in used if p != kept))
+    found = comp.select(F.col("node.cls").alias("cls"), F.col("component.rep").alias("component_id"))
+    found = classes.select("cls", "rep").join(found, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     full = per_doc.where("n > 0").select("id", "n", "cls").join(found, "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     none = per_doc.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return full.unionByName(none)

@@ -63,10 +63,11 @@ def corpus(n=120, seed=0):
     return [(i * 7 % 1009, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("heavy", [64, 10])
-def test_equals_brute_force(spark, monkeypatch, heavy):
+@pytest.mark.parametrize(("heavy", "sent"), [(64, 1000), (10, 0)])
+def test_equals_brute_force(spark, monkeypatch, heavy, sent):
     monkeypatch.setattr(jaccard, "MIN_HEAVY", heavy)
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "SENT_GROUPS", sent)
     rows = corpus()
     assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
 
@@ -77,3 +78,53 @@ def test_columns_nulls_repeats_and_empty_table(spark):
     rows = sorted(map(tuple, near_duplicates(df).collect()), key=str)
     assert rows == [(1, 0, 1), (3, 36, 3), (3, 36, 3), (None, 37, None)]
     assert near_duplicates(df.limit(0)).collect() == []
+
+
+def test_many_just_under_the_threshold(spark, monkeypatch):
+    """A shared passage puts all in one group; none is linked but a few, which the closest ones don't show."""
+    monkeypatch.setattr(jaccard, "BLOCK", 32)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choice(words, 100).tolist()
+    texts = [" ".join(base + rng.choice(words, 26).tolist()) for _ in range(90)]
+    texts += [" ".join(base + rng.choice(words, 23).tolist()) for _ in range(30)]
+    texts += [t + " more" for t in texts[::11]]
+    rows = list(enumerate(texts))
+    assert got(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+
+
+def test_settle_emits_a_forest_of_verified_links():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    base = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[: 400 - k], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in range(0, 60)]
+    sketch = [np.packbits((np.bincount((s & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(bool)).tobytes() for s in sets]
+    n = len(sets)
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * n), pa.array([0] * n), pa.array([0] * n), pa.array(range(n)), pa.array([len(s) for s in sets]), pa.array(range(n)), pa.array(sketch, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "cell", "blk", "cls", "n", "at", "sketch", "shingles"])
+    edges = [(a, b) for out in jaccard._settle(iter([batch.slice(0, 7), batch.slice(7)]), 80, 100) for a, b in zip(*(c.to_pylist() for c in out.columns), strict=True)]
+    like = lambda x, y: (c := len(np.intersect1d(sets[x], sets[y]))) * 100 >= 80 * (len(sets[x]) + len(sets[y]) - c)
+    assert all(like(a, b) for a, b in edges)
+    root = list(range(n))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for x in range(n):
+        for y in range(x):
+            if like(x, y):
+                root[find(x)] = find(y)
+    assert len(edges) == n - len({find(x) for x in range(n)})
+
+
+def test_an_id_with_several_texts_and_unlike_words_of_one_linear_hash(spark):
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(f"v{x}" for x in rng.integers(0, 9999, 60))
+    a, b = text(), text()
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(5, a), (5, b), (2, a + " tail"), (3, b + " tail"), (8, thue), (9, other)]
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(2, 2), (3, 3), (5, 2), (5, 3), (8, 8), (9, 9)]
