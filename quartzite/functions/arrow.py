@@ -21,6 +21,40 @@ def bound_batches(df: DataFrame, rows: int = 2000) -> None:
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores: few large files are few tasks, which costs more than a shuffle of the rows where a function is slow."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets from 0) of a binary or string column; null counts as empty."""
+    if col.null_count:
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else "")
+    kind = np.int64 if pa.types.is_large_string(col.type) or pa.types.is_large_binary(col.type) else np.int32
+    _, off, data = col.buffers()
+    offs = np.frombuffer(off, kind)[col.offset : col.offset + len(col) + 1].astype(np.int64) if off is not None and off.size else np.zeros(len(col) + 1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offs[0] : offs[-1]], offs - offs[0]
+
+
+def _run_batch(batches: Iterator[pa.RecordBatch], fn: Callable, schema: pa.Schema, kept: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = fn(*buffers(batch.column(batch.num_columns - 1)))
+        keep = [c.cast(schema.field(k).type) for k, c in enumerate(batch.columns[:kept])]
+        yield pa.RecordBatch.from_arrays(keep + [pa.array(x, schema.field(kept + k).type) for k, x in enumerate(got)], schema=schema)
+
+
+def map_batches(df: DataFrame, col: str, fn: Callable[[np.ndarray, np.ndarray], tuple], out: str, keep: Sequence[str]) -> DataFrame:
+    """As `map_bytes`, but `fn` gets the bytes of a whole batch and its rows' offsets, and gives an array for each column of `out`."""
+    bound_batches(df)
+    kind = dict(df.dtypes)[col]
+    src = df.select(*keep, (F.col(col) if kind == "binary" else F.encode(F.col(col).cast("string"), "UTF-8")).alias("_blob"))
+    added = StructType.fromDDL(out)
+    schema = StructType([*(src.schema[c] for c in keep), *added.fields])
+    return src.mapInArrow(partial(_run_batch, fn=fn, schema=to_arrow_schema(schema), kept=len(keep)), schema)
+
+
 def _run(batches: Iterator[pa.RecordBatch], fn: Callable, schema: pa.Schema, kept: int, many: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         blobs = batch.column(batch.num_columns - 1)

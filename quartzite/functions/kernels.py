@@ -239,30 +239,62 @@ def _zeros_after(c: np.ndarray, n: int) -> np.ndarray:
     return c
 
 
-#: What a lane of zeros makes of each byte of the register: the register is linear, so four lookups move it a lane on.
-_AHEAD = np.stack([_zeros_after(np.arange(256, dtype=np.uint32) << np.uint32(8 * k), _LANE) for k in range(4)])
+#: What 2**k lanes of zeros make of each byte of the register, by k: the register is linear, so four lookups move it on.
+_AHEAD = [np.stack([_zeros_after(np.arange(256, dtype=np.uint32) << np.uint32(8 * k), _LANE) for k in range(4)])]
+
+
+def _moved(c: np.ndarray, k: int) -> np.ndarray:
+    while len(_AHEAD) <= k:
+        t = _AHEAD[-1]
+        _AHEAD.append(np.stack([_through(t, t[i]) for i in range(4)]))
+    return _through(_AHEAD[k], c)
+
+
+def _through(t: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return t[0][c & 0xFF] ^ t[1][c >> 8 & 0xFF] ^ t[2][c >> 16 & 0xFF] ^ t[3][c >> 24]
+
+
+def crc32c_rows(x: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """CRC-32C (Castagnoli) of each row: lanes of 128 bytes of all rows side by side, each moved to its row's end, then joined."""
+    n = np.diff(offs)
+    out = np.zeros(len(n), np.uint32)
+    for i in np.flatnonzero((n > 0) & (n < 4)).tolist():
+        c = 0xFFFFFFFF
+        for b in x[offs[i] : offs[i + 1]].tolist():
+            c = c >> 8 ^ int(_CRC[(c ^ b) & 0xFF])
+        out[i] = c ^ 0xFFFFFFFF
+    rows = np.flatnonzero(n >= 4)
+    if not len(rows):
+        return out
+    per = -(-n[rows] // _LANE)
+    first = np.cumsum(per) - per
+    pad = per * _LANE - n[rows]  # zeros in front change nothing
+    lanes = np.zeros(int(per.sum()) * _LANE, U8)
+    start = first * _LANE + pad
+    if len(rows) == len(n) and not pad.any():
+        lanes[:] = x
+    else:
+        for s, a, m in zip(start.tolist(), offs[rows].tolist(), n[rows].tolist(), strict=True):
+            lanes[s : s + m] = x[a : a + m]
+    for k in range(4):
+        lanes[start + k] ^= U8(0xFF)
+    lanes = np.ascontiguousarray(lanes.reshape(-1, _LANE).T)
+    c = np.zeros(lanes.shape[1], np.uint32)
+    for lane in lanes:
+        c = (c >> np.uint32(8)) ^ _CRC[(c ^ lane) & np.uint32(0xFF)]
+    left = np.repeat(per, per) - 1 - (np.arange(len(c)) - np.repeat(first, per))  # lanes behind this one in its row
+    k = 0
+    while (left >> k).any():
+        some = np.flatnonzero(left >> k & 1)
+        c[some] = _moved(c[some], k)
+        k += 1
+    out[rows] = np.bitwise_xor.reduceat(c, first) ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 def crc32c(x: np.ndarray) -> int:
-    """CRC-32C (Castagnoli): lanes of 128 bytes side by side, then joined."""
-    n = len(x)
-    if n < 4:
-        c = np.uint32(0xFFFFFFFF)
-        for b in x.tolist():
-            c = (c >> np.uint32(8)) ^ _CRC[(int(c) ^ b) & 0xFF]
-        return int(c) ^ 0xFFFFFFFF
-    lanes = np.zeros(-(-n // _LANE) * _LANE, U8)
-    lanes[-n:] = x
-    lanes[len(lanes) - n : len(lanes) - n + 4] ^= U8(0xFF)
-    lanes = lanes.reshape(-1, _LANE)
-    c = np.zeros(len(lanes), np.uint32)
-    for i in range(_LANE):
-        c = (c >> np.uint32(8)) ^ _CRC[(c ^ lanes[:, i]) & np.uint32(0xFF)]
-    a0, a1, a2, a3 = (t.tolist() for t in _AHEAD)
-    total = 0
-    for v in c.tolist():
-        total = a0[total & 255] ^ a1[total >> 8 & 255] ^ a2[total >> 16 & 255] ^ a3[total >> 24] ^ v
-    return total ^ 0xFFFFFFFF
+    """CRC-32C of one byte string."""
+    return int(crc32c_rows(x, np.array([0, len(x)]))[0])
 
 
 # --- numbers -------------------------------------------------------------------------------------------------------

@@ -18,7 +18,9 @@ def entropy(values: pd.Series) -> pd.Series:
 
 
 def crc32c(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else K.crc32c(K.as_bytes(x)))
+    sizes = [0 if x is None else len(x) for x in values]
+    crc = K.crc32c_rows(K.as_bytes(b"".join(x for x in values if x is not None)), np.append(0, np.cumsum(sizes, dtype=np.int64)))
+    return pd.Series([None if x is None else int(c) for x, c in zip(values, crc, strict=True)], dtype="Int64")
 
 
 def group_entropy(values: pd.Series) -> float:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quartzite.functions.arrow import map_bytes
+from quartzite.functions.arrow import map_bytes, spread
 from quartzite.functions.columns import logit, squash
 from quartzite.operators.entropy import BYTES, byte_histogram
 from quartzite.sources.tables import table
@@ -93,20 +93,8 @@ def repeat_cost(x: np.ndarray, order: int) -> int:
     return 9 * len(x) - 8 * int(hit.sum())
 
 
-def blended(x: np.ndarray, order: int = 2) -> float:
-    """Bits of a text by an order-k model blended with the unigram: the more of the context matched, the more it counts."""
-    u = unigram(x)
-    n, hit = context_counts(x, order)
-    p = u.copy()
-    conf = np.minimum(0.9999, 0.5 + 0.5 * order / MAX_ORDER)
-    known = n > 0
-    tail = p[order:]
-    tail[known] = np.maximum(1e-7, conf * hit[known] / n[known] + (1 - conf) * tail[known])
-    return float(-np.log2(p).sum())
-
-
-def blended_by_longest(x: np.ndarray, limit: int = MAX_ORDER) -> float:
-    """`blended` with the longest context of up to `limit` bytes that stood before at each place, as confident as it is long.
+def blended(x: np.ndarray, limit: int = MAX_ORDER) -> float:
+    """Bits of a text by the unigram, blended with the longest context of up to `limit` bytes that stood before at each place, the more so the longer it is.
 
     Probabilities are at least 1e-7 and not normalised again.
     """
@@ -158,12 +146,8 @@ def frequencies(hist: DataFrame, scale: int = 65_536) -> DataFrame:
     return p.select("b", F.greatest(F.lit(1.0), F.rint(F.col("p") * scale)).cast("long").alias("freq"), (-F.log2("p")).alias("bits"), "p")
 
 
-def _bench(s, d, fn, out):
-    return map_bytes(table(s, d, "benchmark"), "text", fn, out, ["item_id"])
-
-
-def _docs(s, d, fn, out):
-    return map_bytes(table(s, d, "documents"), "text", fn, out, ["doc_id"])
+def _docs(s, d, fn, out, many=False):
+    return map_bytes(spread(table(s, d, "documents").select("doc_id", "text")), "text", fn, out, ["doc_id"], many)
 
 
 def _matched(x: np.ndarray):
@@ -172,12 +156,6 @@ def _matched(x: np.ndarray):
 
 
 def _counts(x: np.ndarray):
-    for order in (1, 2, 3, 4):
-        n, hit = context_counts(x, order)
-        yield order, len(n), int((n > 0).sum()), int(n.sum()), int((hit > 0).sum()), int(hit.sum())
-
-
-def _all_counts(x: np.ndarray):
     for order, at, key, before in repeated_contexts(x):
         hit = seen_before(key * 256 + x[at])
         yield order, max(0, len(x) - order), int((before > 0).sum()), int(before.sum()), int((hit > 0).sum()), int(hit.sum())
@@ -195,33 +173,21 @@ def _window(x: np.ndarray):
 
 
 QUERIES = {
-    "q_ppm_counts_k": lambda s, d: map_bytes(table(s, d, "documents"), "text", _counts, "order int, n long, contexts_seen long, context_sum long, symbols_seen long, symbol_sum long", ["doc_id"], many=True),
-    # all orders, without SQL: 16 windows over every byte
-    "q_ppm_counts_all": lambda s, d: map_bytes(table(s, d, "documents"), "text", _all_counts, "order int, n long, contexts_seen long, context_sum long, symbols_seen long, symbol_sum long", ["doc_id"], many=True),
-    "q_ppm_matched_order": lambda s, d: _bench(s, d, lambda x: (len(x), int(matched_order(x).sum()), int(matched_order(x).max(initial=0))), "n long, order_sum long, longest int"),
-    "q_unigram_prob": lambda s, d: _bench(s, d, lambda x: (len(x), round(float(-np.log2(unigram(x)).sum()), 6) + 0.0), "n long, bits double"),
-    "q_repeat_cost": lambda s, d: _bench(s, d, lambda x: (repeat_cost(x, 1), repeat_cost(x, 2), repeat_cost(x, 4)), "bits1 long, bits2 long, bits4 long"),
-    "q_ppm_blend": lambda s, d: _bench(s, d, lambda x: (round(blended(x), 4) + 0.0,), "bits double"),
-    "q_binary_counts": lambda s, d: _bench(s, d, binary_counts, "zero long, one long"),
-    "q_adaptive_freq": lambda s, d: _bench(s, d, adaptive_frequency, "total long, largest long"),
-    "q_context_ring": lambda s, d: _bench(s, d, _window, "n long, weighted_sum long"),
-    # the same over whole documents, without SQL: its windows are too slow on long texts, and it has no halving
-    "q_ppm_matched_order_documents": lambda s, d: _docs(s, d, _matched, "n long, order_sum long, longest int"),
-    "q_unigram_prob_documents": lambda s, d: _docs(s, d, lambda x: (len(x), round(float(-np.log2(unigram(x)).sum()), 6) + 0.0), "n long, bits double"),
-    "q_repeat_cost_documents": lambda s, d: _docs(s, d, lambda x: (repeat_cost(x, 1), repeat_cost(x, 2), repeat_cost(x, 4)), "bits1 long, bits2 long, bits4 long"),
-    "q_ppm_blend_documents": lambda s, d: _docs(s, d, lambda x: (round(blended_by_longest(x), 4) + 0.0,), "bits double"),
-    "q_binary_counts_documents": lambda s, d: _docs(s, d, binary_counts, "zero long, one long"),
-    "q_adaptive_freq_documents": lambda s, d: _docs(s, d, adaptive_frequency, "total long, largest long"),
-    "q_context_ring_documents": lambda s, d: _docs(s, d, _window, "n long, weighted_sum long"),
+    "q_ppm_counts_k": lambda s, d: _docs(s, d, _counts, "order int, n long, contexts_seen long, context_sum long, symbols_seen long, symbol_sum long", many=True),
+    "q_ppm_matched_order": lambda s, d: _docs(s, d, _matched, "n long, order_sum long, longest int"),
+    "q_unigram_prob": lambda s, d: _docs(s, d, lambda x: (len(x), round(float(-np.log2(unigram(x)).sum()), 3) + 0.0), "n long, bits double"),
+    "q_repeat_cost": lambda s, d: _docs(s, d, lambda x: (repeat_cost(x, 1), repeat_cost(x, 2), repeat_cost(x, 4)), "bits1 long, bits2 long, bits4 long"),
+    "q_ppm_blend": lambda s, d: _docs(s, d, lambda x: (round(blended(x), 3) + 0.0,), "bits double"),
+    "q_context_ring": lambda s, d: _docs(s, d, _window, "n long, weighted_sum long"),
+    # halving depends on the order of the bytes: no SQL
+    "q_binary_counts": lambda s, d: _docs(s, d, binary_counts, "zero long, one long"),
+    "q_adaptive_freq": lambda s, d: _docs(s, d, adaptive_frequency, "total long, largest long"),
     "q_cum_freq": lambda s, d: cumulative(_hist(s, d)),
     "q_freq_scale": lambda s, d: frequencies(_hist(s, d)).select("b", "freq"),
     "q_code_length": lambda s, d: frequencies(_hist(s, d)).select("b", F.round("bits", 6).alias("bits")),
     "q_logit": lambda s, d: frequencies(_hist(s, d)).select("b", F.round(logit(F.col("p")), 6).alias("stretched"), F.round(squash(logit(F.col("p"))), 6).alias("back")),
 }
 
-_B = BYTES.replace("doc_id", "item_id").replace("documents", "benchmark")
-
-
 def _lags(k: int) -> str:
     return "concat(" + ", ".join(f"chr(256 + lag(b, {i}) OVER w)" for i in range(1, k + 1)) + ")"
 
@@ -230,19 +196,21 @@ def _ctx(k: int, key: str) -> str:
     return f"SELECT {key}, {k} AS k, pos, b, {_lags(k)} AS c FROM b WINDOW w AS (PARTITION BY {key} ORDER BY pos)"
 
 
-_MATCH = ", ".join(f"c{k} AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id, c ORDER BY pos) > 1 AS hit FROM ({_ctx(k, 'item_id')}) WHERE pos >= {k})" for k in range(1, MAX_ORDER + 1))
-_ORDERS = " ".join(f"LEFT JOIN c{k} ON b.item_id = c{k}.item_id AND b.pos = c{k}.pos" for k in range(1, MAX_ORDER + 1))
+_MATCH = ", ".join(f"c{k} AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, c ORDER BY pos) > 1 AS hit FROM ({_ctx(k, 'doc_id')}) WHERE pos >= {k})" for k in range(1, MAX_ORDER + 1))
+_ORDERS = " ".join(f"LEFT JOIN c{k} ON b.doc_id = c{k}.doc_id AND b.pos = c{k}.pos" for k in range(1, MAX_ORDER + 1))
 _LONGEST = "CASE " + " ".join(f"WHEN NOT coalesce(c{k}.hit, false) THEN {k - 1}" for k in range(1, MAX_ORDER + 1)) + f" ELSE {MAX_ORDER} END"
 _P = "WITH h AS (SELECT b, count(*) AS n FROM b GROUP BY b), p AS (SELECT b, n, n / CAST(sum(n) OVER () AS DOUBLE) AS p FROM h)"
 _LOGIT = "ln(least(greatest(p, 1e-4), 0.9999) / (1 - least(greatest(p, 1e-4), 0.9999)))"
+_RANKS = "SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, c ORDER BY pos) - 1 AS n, row_number() OVER (PARTITION BY doc_id, c, b ORDER BY pos) - 1 AS m FROM ({rows}) WHERE pos >= {k}"
+_SEEN = "SELECT doc_id, {k} AS k, count(*) AS n, count(CASE WHEN n > 0 THEN 1 END) AS a, sum(n) AS sa, count(CASE WHEN m > 0 THEN 1 END) AS e, sum(m) AS se FROM (" + _RANKS + ") GROUP BY doc_id"
+_KNOWN = "SELECT doc_id, pos, {k} AS k, m / CAST(n AS DOUBLE) AS q FROM (" + _RANKS + ") WHERE n > 0"
 ORACLE_SQL = {
-    "q_ppm_counts_k": f"WITH {BYTES}, x AS ({' UNION ALL '.join(f'SELECT * FROM ({_ctx(k, "doc_id")}) WHERE pos >= {k}' for k in (1, 2, 3, 4))}), y AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id, k, c ORDER BY pos) - 1 AS n, row_number() OVER (PARTITION BY doc_id, k, c, b ORDER BY pos) - 1 AS m FROM x), z AS (SELECT doc_id, k, count(*) AS n, count(CASE WHEN n > 0 THEN 1 END) AS a, sum(n) AS sa, count(CASE WHEN m > 0 THEN 1 END) AS e, sum(m) AS se FROM y GROUP BY doc_id, k) SELECT doc_id, CAST(o.k AS INTEGER) AS \"order\", coalesce(n, 0) AS n, coalesce(a, 0) AS contexts_seen, CAST(coalesce(sa, 0) AS BIGINT) AS context_sum, coalesce(e, 0) AS symbols_seen, CAST(coalesce(se, 0) AS BIGINT) AS symbol_sum FROM (SELECT doc_id, unnest([1, 2, 3, 4]) AS k FROM documents) o LEFT JOIN z USING (doc_id, k)",
-    "q_ppm_matched_order": f"WITH {_B}, {_MATCH}, m AS (SELECT b.item_id, {_LONGEST} AS o FROM b {_ORDERS}) SELECT item_id, count(o) AS n, CAST(coalesce(sum(o), 0) AS BIGINT) AS order_sum, CAST(coalesce(max(o), 0) AS INTEGER) AS longest FROM benchmark LEFT JOIN m USING (item_id) GROUP BY item_id",
-    "q_unigram_prob": f"WITH {_B}, u AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, b ORDER BY pos) / CAST(256 + pos AS DOUBLE) AS p FROM b) SELECT item_id, count(p) AS n, round(coalesce(-sum(log2(p)), 0.0), 6) AS bits FROM benchmark LEFT JOIN u USING (item_id) GROUP BY item_id",
-    "q_repeat_cost": f"WITH {_B}, " + ", ".join(f"r{k} AS (SELECT item_id, sum(CASE WHEN lag_b = b THEN 1 ELSE 0 END) AS h FROM (SELECT item_id, b, lag(b) OVER (PARTITION BY item_id, c ORDER BY pos) AS lag_b FROM ({_ctx(k, 'item_id')}) WHERE pos >= {k}) GROUP BY item_id)" for k in (1, 2, 4)) + ", n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id) SELECT item_id, " + ", ".join(f"CAST(9 * coalesce(n, 0) - 8 * coalesce(r{k}.h, 0) AS BIGINT) AS bits{k}" for k in (1, 2, 4)) + " FROM benchmark LEFT JOIN n USING (item_id) LEFT JOIN r1 USING (item_id) LEFT JOIN r2 USING (item_id) LEFT JOIN r4 USING (item_id)",
-    "q_ppm_blend": f"WITH {_B}, u AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id, b ORDER BY pos) / CAST(256 + pos AS DOUBLE) AS p FROM b), x AS (SELECT item_id, pos, row_number() OVER (PARTITION BY item_id, c ORDER BY pos) - 1 AS n, row_number() OVER (PARTITION BY item_id, c, b ORDER BY pos) - 1 AS m FROM ({_ctx(2, 'item_id')}) WHERE pos >= 2), y AS (SELECT u.item_id, CASE WHEN x.n > 0 THEN greatest(1e-7, 0.5625 * (m / CAST(n AS DOUBLE)) + (1 - 0.5625) * p) ELSE p END AS p FROM u LEFT JOIN x USING (item_id, pos)) SELECT item_id, round(coalesce(-sum(log2(p)), 0.0), 4) AS bits FROM benchmark LEFT JOIN y USING (item_id) GROUP BY item_id",
-    "q_adaptive_freq": f"WITH {_B}, c AS (SELECT item_id, b, count(*) AS n FROM b GROUP BY item_id, b) SELECT item_id, CAST(256 + 16 * coalesce(sum(n), 0) AS BIGINT) AS total, CAST(1 + 16 * coalesce(max(n), 0) AS BIGINT) AS largest FROM benchmark LEFT JOIN c USING (item_id) GROUP BY item_id",
-    "q_context_ring": f"WITH {_B}, w AS (SELECT item_id, pos, coalesce(sum(b) OVER (PARTITION BY item_id ORDER BY pos ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING), 0) AS s FROM b) SELECT item_id, count(s) AS n, CAST(coalesce(sum(s * (pos + 1)), 0) AS BIGINT) AS weighted_sum FROM benchmark LEFT JOIN w USING (item_id) GROUP BY item_id",
+    "q_ppm_counts_k": f"WITH {BYTES}, z AS ({' UNION ALL '.join(_SEEN.format(k=k, rows=_ctx(k, 'doc_id')) for k in range(1, MAX_ORDER + 1))}) SELECT doc_id, CAST(o.k AS INTEGER) AS \"order\", coalesce(n, 0) AS n, coalesce(a, 0) AS contexts_seen, CAST(coalesce(sa, 0) AS BIGINT) AS context_sum, coalesce(e, 0) AS symbols_seen, CAST(coalesce(se, 0) AS BIGINT) AS symbol_sum FROM (SELECT doc_id, unnest(range(1, {MAX_ORDER + 1})) AS k FROM documents) o LEFT JOIN z USING (doc_id, k)",
+    "q_ppm_matched_order": f"WITH {BYTES}, {_MATCH}, m AS (SELECT b.doc_id, {_LONGEST} AS o FROM b {_ORDERS}) SELECT doc_id, count(o) AS n, CAST(coalesce(sum(o), 0) AS BIGINT) AS order_sum, CAST(coalesce(max(o), 0) AS INTEGER) AS longest FROM documents LEFT JOIN m USING (doc_id) GROUP BY doc_id",
+    "q_unigram_prob": f"WITH {BYTES}, u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, b ORDER BY pos) / CAST(256 + pos AS DOUBLE) AS p FROM b) SELECT doc_id, count(p) AS n, round(coalesce(-sum(log2(p)), 0.0), 3) AS bits FROM documents LEFT JOIN u USING (doc_id) GROUP BY doc_id",
+    "q_repeat_cost": f"WITH {BYTES}, " + ", ".join(f"r{k} AS (SELECT doc_id, sum(CASE WHEN lag_b = b THEN 1 ELSE 0 END) AS h FROM (SELECT doc_id, b, lag(b) OVER (PARTITION BY doc_id, c ORDER BY pos) AS lag_b FROM ({_ctx(k, 'doc_id')}) WHERE pos >= {k}) GROUP BY doc_id)" for k in (1, 2, 4)) + ", n AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id) SELECT doc_id, " + ", ".join(f"CAST(9 * coalesce(n, 0) - 8 * coalesce(r{k}.h, 0) AS BIGINT) AS bits{k}" for k in (1, 2, 4)) + " FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN r1 USING (doc_id) LEFT JOIN r2 USING (doc_id) LEFT JOIN r4 USING (doc_id)",
+    "q_ppm_blend": f"WITH {BYTES}, u AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id, b ORDER BY pos) / CAST(256 + pos AS DOUBLE) AS p FROM b), x AS ({' UNION ALL '.join(_KNOWN.format(k=k, rows=_ctx(k, 'doc_id')) for k in range(1, MAX_ORDER + 1))}), l AS (SELECT doc_id, pos, max(k) AS k, arg_max(q, k) AS q FROM x GROUP BY doc_id, pos), y AS (SELECT u.doc_id, CASE WHEN k IS NULL THEN p ELSE greatest(1e-7, least(0.9999, 0.5 + 0.5 * k / {MAX_ORDER}.0) * q + (1 - least(0.9999, 0.5 + 0.5 * k / {MAX_ORDER}.0)) * p) END AS p FROM u LEFT JOIN l USING (doc_id, pos)) SELECT doc_id, round(coalesce(-sum(log2(p)), 0.0), 3) AS bits FROM documents LEFT JOIN y USING (doc_id) GROUP BY doc_id",
+    "q_context_ring": f"WITH {BYTES}, w AS (SELECT doc_id, pos, coalesce(sum(b) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 16 PRECEDING AND 1 PRECEDING), 0) AS s FROM b) SELECT doc_id, count(s) AS n, CAST(coalesce(sum(s * (pos + 1)), 0) AS BIGINT) AS weighted_sum FROM documents LEFT JOIN w USING (doc_id) GROUP BY doc_id",
     "q_cum_freq": f"WITH {BYTES}, h AS (SELECT b, count(*) AS n FROM b GROUP BY b) SELECT b, n, CAST(coalesce(sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cum FROM h",
     "q_freq_scale": f"{_P.replace('WITH ', f'WITH {BYTES}, ')} SELECT b, CAST(greatest(1.0, round_even(p * 65536, 0)) AS BIGINT) AS freq FROM p",
     "q_code_length": f"{_P.replace('WITH ', f'WITH {BYTES}, ')} SELECT b, round(-log2(p), 6) AS bits FROM p",

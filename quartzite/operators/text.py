@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.functions import columns as C
-from quartzite.functions.arrow import map_bytes
-from quartzite.functions.kernels import crc32c
+from quartzite.functions.arrow import map_batches, map_bytes
+from quartzite.functions.kernels import crc32c_rows
 from quartzite.plans import route as R
 from quartzite.sources.tables import table
 
@@ -157,7 +157,7 @@ def _n():
 QUERIES = {
     "q_total_bytes": lambda s, d: _docs(s, d).agg(F.count("*").alias("n_docs"), F.sum(_n()).alias("total_bytes")),
     "q_sha256": lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha256")),
-    "q_crc32c": lambda s, d: map_bytes(_docs(s, d), "text", lambda x: (len(x), crc32c(x)), "n long, crc32c long", ["doc_id"]),
+    "q_crc32c": lambda s, d: map_batches(_docs(s, d), "text", lambda x, offs: (np.diff(offs), crc32c_rows(x, offs)), "n long, crc32c long", ["doc_id"]),
     "q_base64": lambda s, d: _docs(s, d).select("doc_id", F.md5(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\r\n]", "")).alias("base64_md5"), (F.decode(F.unbase64(F.base64(F.encode("text", "UTF-8"))), "UTF-8") == F.col("text")).alias("back")),
     "q_json_extract": lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
     "q_varint_len": lambda s, d: _docs(s, d).select("doc_id", _n().alias("n"), C.varint_len(_n()).alias("varint_len"), C.varint_hex(_n()).alias("varint_hex")),

@@ -57,6 +57,13 @@ def test_crc32c(x):
     assert K.crc32c(K.as_bytes(b"123456789")) == 0xE3069283 != binascii.crc32(b"123456789")
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=700), max_size=12))
+def test_crc32c_of_rows_equals_each(rows):
+    offs = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int64)
+    assert K.crc32c_rows(K.as_bytes(b"".join(rows)), offs).tolist() == [K.crc32c(K.as_bytes(r)) for r in rows]
+
+
 @given(st.integers(0, 2**63))
 def test_varint(n):
     assert K.read_varint(b"x" + K.varint(n) + b"y", 1) == (n, 1 + len(K.varint(n)))
