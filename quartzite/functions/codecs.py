@@ -39,7 +39,7 @@ LIBRARY: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] =
     "bzip2": (lambda x: bz2.compress(x, 9), bz2.decompress), "lzma9": (lambda x: lzma.compress(x, preset=9), lzma.decompress),
 }
 if zstandard:
-    LIBRARY |= {f"zstd{level}": zstd(level) for level in (3, 15, 19, 22)}
+    LIBRARY |= {f"zstd{level}": zstd(level) for level in (1, 3, 9, 12, 15, 19, 22)}
 if brotli:
     LIBRARY |= {f"brotli{q}": ((lambda x, q=q: brotli.compress(x, quality=q)), brotli.decompress) for q in (4, 7, 9, 10, 11)}
 

@@ -154,6 +154,16 @@ def _n():
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
 
 
+#: Suffixes that routing is tried with, besides those that the urls have.
+_SUFFIXES = ("", ".WAV", ".pt", ".bmp", ".zip", ".py", ".unknown", ".bin", ".jpg", ".h5", ".MD")
+_ENDS = (".txt", ".dat", ".MD", ".csv.gz", ".py")
+
+
+def _file():
+    """A path for each document."""
+    return F.concat("source", F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.element_at(F.array(*map(F.lit, _ENDS)), (F.pmod("doc_id", F.lit(len(_ENDS))) + 1).cast("int")))
+
+
 QUERIES = {
     "q_total_bytes": lambda s, d: _docs(s, d).agg(F.count("*").alias("n_docs"), F.sum(_n()).alias("total_bytes")),
     "q_sha256": lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 256).alias("sha256")),
@@ -166,9 +176,9 @@ QUERIES = {
     "q_url_ext": lambda s, d: table(s, d, "pages").select("page_id", C.extension(F.regexp_replace("url", "[?#].*$", "")).alias("ext")),
     "q_path_parts": lambda s, d: table(s, d, "pages").select("page_id", F.element_at(F.split(F.regexp_replace("url", "[?#].*$", ""), "/"), -1).alias("base"), F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host"), F.size(F.split(F.regexp_replace("url", "[?#].*$", ""), "/")).cast("long").alias("depth")),
     "q_sniff_text": lambda s, d: _docs(s, d).select("doc_id", F.round(R.printable_share(F.encode("text", "UTF-8")), 6).alias("share"), (R.printable_share(F.encode("text", "UTF-8")) > R.TEXT_SHARE).alias("is_text")),
-    "q_route_mode": lambda s, d: (lambda p: p.select("page_id", *(c.alias(a) for c, a in zip(R.route(F.col("path"), F.encode("html", "UTF-8"), F.pmod("page_id", F.lit(2)) == 1), ("mode", "elem"), strict=True))))(table(s, d, "pages").select("page_id", "html", F.concat(F.regexp_replace("url", "[?#].*$", ""), F.element_at(F.array(*map(F.lit, ("", ".WAV", ".pt", ".bmp", ".zip", ".py", ".unknown"))), (F.pmod("page_id", F.lit(7)) + 1).cast("int"))).alias("path"))),
-    "q_dict_samples": lambda s, d: R.dictionary_samples(_docs(s, d), _n()).select("doc_id", _n().alias("n")),
-    "q_dict_capacity": lambda s, d: R.dictionary_samples(_docs(s, d), _n()).groupBy("source").agg(F.count("*").alias("n"), F.sum(_n()).alias("total")).select("source", "n", "total", R.dictionary_capacity(F.col("n"), F.col("total")).alias("capacity")),
+    "q_route_mode": lambda s, d: (lambda p: p.select("page_id", *(c.alias(a) for c, a in zip(R.route(F.col("path"), F.encode("html", "UTF-8"), F.pmod("page_id", F.lit(3)) == 1), ("mode", "elem"), strict=True))))(table(s, d, "pages").select("page_id", "html", F.concat(F.regexp_replace("url", "[?#].*$", ""), F.element_at(F.array(*map(F.lit, _SUFFIXES)), (F.pmod("page_id", F.lit(len(_SUFFIXES))) + 1).cast("int"))).alias("path"))),
+    "q_dict_samples": lambda s, d: R.dictionary_samples(_docs(s, d), _file(), _n()).select("doc_id", _n().alias("n")),
+    "q_dict_capacity": lambda s, d: _docs(s, d).where(R.sampled(_file(), _n())).groupBy("source").agg(F.count("*").alias("n"), F.sum(_n()).alias("total")).select("source", "n", "total", R.dictionary_capacity(F.col("n"), F.col("total")).alias("capacity")),
     "q_codec_eligibility": lambda s, d: _docs(s, d).select("doc_id", *(R.eligible(_n(), c).alias(c) for c in R.ELIGIBLE)),
     "q_codec_level": lambda s, d: _docs(s, d).select("doc_id", R.level(_n() * 4096).alias("normal"), R.level(_n() * 4096, best=True).alias("best"), R.level(_n(), fast=True).alias("fast")),
     "q_corpus_filter": lambda s, d: table(s, d, "pages").where(~F.col("url").rlike(r"/\.[^/]*/") & (F.octet_length("html") > 0) & (F.octet_length("html") <= 200 * R.MIB)).select("page_id"),
@@ -219,6 +229,8 @@ def _magic(col: str) -> str:
 _SHARE = f"len(list_filter(regexp_extract_all(substr(hex(encode(text)), 1, {2 * R.SNIFF_BYTES}), '..'), lambda p: (p >= '20' AND p <= '7E') OR p IN ('09', '0A', '0D'))) / (length(substr(hex(encode(text)), 1, {2 * R.SNIFF_BYTES})) / 2)"
 _HTML_SHARE = _SHARE.replace("(text)", "(html)")
 _in = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+_FILE = f"SELECT doc_id, source, {_SIZE} AS n, source || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || [{', '.join(repr(x) for x in _ENDS)}][doc_id % {len(_ENDS)} + 1] AS path FROM documents"
+_SAMPLED = f"lower(regexp_extract(path, '(\\.[^./]*)$', 1)) IN {_in(R.SAMPLED)} AND n > 0 AND n < 2097152"
 ORACLE_SQL = {
     "q_total_bytes": f"SELECT count(*) AS n_docs, CAST(sum({_SIZE}) AS BIGINT) AS total_bytes FROM documents",
     "q_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
@@ -230,13 +242,13 @@ ORACLE_SQL = {
     "q_url_ext": f"SELECT page_id, lower(regexp_extract({_PATH}, '(\\.[^./]*)$', 1)) AS ext FROM pages",
     "q_path_parts": f"SELECT page_id, string_split({_PATH}, '/')[-1] AS base, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, CAST(len(string_split({_PATH}, '/')) AS BIGINT) AS depth FROM pages",
     "q_sniff_text": f"SELECT doc_id, CASE WHEN text <> '' THEN round({_SHARE}, 6) END AS share, CASE WHEN text <> '' THEN {_SHARE} > {R.TEXT_SHARE} END AS is_text FROM documents",
-    "q_route_mode": f"""WITH p AS (SELECT page_id, html, page_id % 2 = 1 AS lossy, lower(regexp_extract({_PATH} || ['', '.WAV', '.pt', '.bmp', '.zip', '.py', '.unknown'][page_id % 7 + 1], '(\\.[^./]*)$', 1)) AS ext FROM pages)
-SELECT page_id, CASE WHEN ext IN {_in(R.TEXT)} THEN 2 WHEN ext IN {_in(R.TENSOR)} THEN 4 WHEN ext IN {_in((*R.AUDIO, *R.IMAGE))} THEN CASE WHEN lossy THEN 4 ELSE 0 END WHEN ext IN {_in(R.PACKED)} THEN 5 WHEN html <> '' AND {_HTML_SHARE} > {R.TEXT_SHARE} THEN 2 ELSE 0 END AS mode,
-CASE WHEN ext IN {_in(R.TENSOR)} THEN 4 WHEN ext IN {_in(R.AUDIO)} AND lossy THEN 2 WHEN ext IN {_in(R.IMAGE)} AND lossy THEN 3 ELSE 1 END AS elem FROM p""",
-    "q_dict_samples": f"SELECT doc_id, n FROM (SELECT doc_id, {_SIZE} AS n FROM documents) WHERE n > 0 AND n < 2097152",
-    "q_dict_capacity": f"SELECT source, count(*) AS n, CAST(sum(n) AS BIGINT) AS total, CAST(CASE WHEN count(*) < 4 THEN 0 WHEN sum(n) < 5242880 THEN 32768 ELSE 114688 END AS BIGINT) AS capacity FROM (SELECT source, {_SIZE} AS n FROM documents) WHERE n > 0 AND n < 2097152 GROUP BY source",
+    "q_route_mode": f"""WITH p AS (SELECT page_id, html <> '' AND {_HTML_SHARE} > {R.TEXT_SHARE} AS says, page_id % 3 = 1 AS lossy, lower(regexp_extract({_PATH} || [{', '.join(repr(x) for x in _SUFFIXES)}][page_id % {len(_SUFFIXES)} + 1], '(\\.[^./]*)$', 1)) AS ext FROM pages)
+SELECT page_id, CASE WHEN ext IN {_in(R.TEXT)} THEN 2 WHEN ext IN {_in(R.TENSOR)} AND NOT (ext = '.bin' AND says AND NOT lossy) THEN 4 WHEN ext IN {_in((*R.AUDIO, *R.PHOTO))} THEN 4 WHEN ext IN {_in(R.IMAGE)} AND lossy THEN 4 WHEN ext IN {_in(R.PACKED)} THEN 5 WHEN says THEN 2 ELSE 0 END AS mode,
+CASE WHEN ext IN {_in(R.TENSOR)} AND NOT (ext = '.bin' AND says AND NOT lossy) THEN 4 WHEN ext IN {_in(R.AUDIO)} AND lossy THEN 2 WHEN ext IN {_in(R.IMAGE)} AND lossy THEN 3 ELSE 1 END AS elem FROM p""",
+    "q_dict_samples": f"SELECT doc_id, n FROM ({_FILE}) WHERE {_SAMPLED} ORDER BY path LIMIT {R.MAX_SAMPLES}",
+    "q_dict_capacity": f"SELECT source, count(*) AS n, CAST(sum(n) AS BIGINT) AS total, CAST(CASE WHEN count(*) < 4 THEN 0 WHEN sum(n) < 5242880 THEN 32768 ELSE 114688 END AS BIGINT) AS capacity FROM ({_FILE}) WHERE {_SAMPLED} GROUP BY source",
     "q_codec_eligibility": f"SELECT doc_id, n < 52428800 AS brotli, n BETWEEN 4096 AND 1500000 AS bwt, n BETWEEN 256 AND 2097152 AS ppm_solid, n BETWEEN 256 AND 5242880 AS ppm_file FROM (SELECT doc_id, {_SIZE} AS n FROM documents)",
-    "q_codec_level": f"SELECT doc_id, CASE WHEN n < 4194304 THEN 19 WHEN n < 67108864 THEN 15 ELSE 12 END AS normal, CASE WHEN n < 4194304 THEN 22 WHEN n < 67108864 THEN 19 ELSE 15 END AS best, 3 AS fast FROM (SELECT doc_id, {_SIZE} * 4096 AS n FROM documents)",
+    "q_codec_level": f"SELECT doc_id, 9 AS normal, CASE WHEN n < 102400 THEN 22 WHEN n < 10485760 THEN 19 ELSE 12 END AS best, 1 AS fast FROM (SELECT doc_id, {_SIZE} * 4096 AS n FROM documents)",
     "q_corpus_filter": "SELECT page_id FROM pages WHERE NOT regexp_matches(url, '/\\.[^/]*/') AND octet_length(encode(html)) BETWEEN 1 AND 209715200",
     "q_ascii_docs": "SELECT doc_id, octet_length(encode(text)) = length(text) AS is_ascii FROM documents",
     "q_concat_pad": "SELECT item_id, md5(unhex(rpad(hex(encode(text)), 8192, '0') || substr(hex(encode(text)), 5, 10))) AS md5 FROM benchmark",
