@@ -30,7 +30,21 @@ except ImportError:
 def zstd(level: int, dictionary: bytes | None = None):
     """(compress, decompress), kept for each Python worker."""
     d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    return (lambda x: zstandard.ZstdCompressor(level=level, dict_data=d).compress(x)), (lambda y: zstandard.ZstdDecompressor(dict_data=d).decompress(y))
+    if d:
+        d.precompute_compress(level=level)
+    made: dict = {}  # on first use, as they can't be pickled
+
+    def compress(x: bytes) -> bytes:
+        if "c" not in made:
+            made["c"] = zstandard.ZstdCompressor(level=level, dict_data=d)
+        return made["c"].compress(x)
+
+    def decompress(y: bytes) -> bytes:
+        if "d" not in made:
+            made["d"] = zstandard.ZstdDecompressor(dict_data=d)
+        return made["d"].decompress(y)
+
+    return compress, decompress
 
 
 #: name -> (compress, decompress), by what is installed.
@@ -318,4 +332,5 @@ OWN: dict[str, tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]] = {
     "bit_mixer": (encode_bits, decode_bits),
 }
 CODECS = LIBRARY | OWN
-LAYOUTS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"raw": lambda x: x, "planes": lambda x: K.to_planes(x, 4)[0], "delta": K.delta, "planes_delta": lambda x: K.shuffle(x, 4, True)[0]}
+#: Bytes of a text or of floats before a codec gets them.
+LAYOUTS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"raw": lambda x: x, "planes": lambda x: K.to_planes(x, 4)[0], "delta": K.delta, "planes_delta": lambda x: K.shuffle(x, 4, True)[0], "big_endian": K.byte_swap, "ordinal": K.ordinal}

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from quartzite.functions.columns import mask_bits
+
 U8 = np.uint8
 
 
@@ -88,6 +90,50 @@ def unbit_planes(x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits(bits, axis=2, bitorder="little").ravel(), x[n:]])
 
 
+def byte_swap(x: np.ndarray) -> np.ndarray:
+    """Groups of four bytes in reverse; a tail stays.  Its own inverse."""
+    n = len(x) // 4 * 4
+    return np.concatenate([x[:n].reshape(-1, 4)[:, ::-1].ravel(), x[n:]])
+
+
+def ordinal(x: np.ndarray) -> np.ndarray:
+    """Little-endian floats as signed numbers in their order: a negative one is minus its magnitude bits; a tail stays.
+
+    Both zeros become 0, so minus zero comes back as zero; all other bits come back by `unordinal`.
+    """
+    n = len(x) // 4 * 4
+    u = x[:n].view("<u4")
+    return np.concatenate([np.where(u >> 31 == 1, np.uint32(0x80000000) - u, u).astype("<u4").view(U8), x[n:]])
+
+
+def unordinal(x: np.ndarray) -> np.ndarray:
+    return ordinal(x)
+
+
+# --- masks ----------------------------------------------------------------------------------------------------------
+
+
+def mask_pcm(x: np.ndarray, level: int, header: int = 44) -> np.ndarray:
+    """16-bit samples after a header: the low byte loses four bits, or all of them from level 2 on."""
+    out = x.copy()
+    out[header::2] &= 0xF0 if level == 1 else 0
+    return out
+
+
+def mask_pixels(x: np.ndarray, level: int, header: int = 54) -> np.ndarray:
+    out = x.copy()
+    out[header:] &= 0xF8 if level == 1 else 0xF0
+    return out
+
+
+def mask_floats(x: np.ndarray, level: int) -> np.ndarray:
+    """Little-endian floats with their low bits cleared; a tail shorter than a float stays."""
+    n = len(x) // 4 * 4
+    bits = x[:n].view("<u4") & np.uint32(0xFFFFFFFF << mask_bits(level) & 0xFFFFFFFF)
+    return np.concatenate([bits.view(np.uint8), x[n:]])
+
+
+
 # --- runs ----------------------------------------------------------------------------------------------------------
 
 

@@ -36,13 +36,30 @@ def _derive(passphrase: str):
     return keys
 
 
+#: Salts whose keys are broadcast at most; with more, rows are joined by salt and one of BUCKETS.
+SENT_SALTS, BUCKETS = 4096, 32
+
+
 def decrypt(df: DataFrame, col: str, passphrase: str, strict: bool = True) -> DataFrame:
-    """Containers of any number of salts, a key derivation for each.  A wrong key, a changed byte or what is no container is an error, or null if not `strict`."""
-    salted = df.withColumn("_salt", F.when(is_encrypted(F.col(col)), F.substring(F.col(col), len(MAGIC) + 1, 16)))
-    keys = salted.select(F.col("_salt").alias("_s")).where("_s is not null").distinct()
-    keys = keys.withColumn("_key", F.pandas_udf(_derive(passphrase), "binary")("_s"))
+    """Containers of any number of salts, a key derivation for each.  A wrong key, a changed byte or what is no container is an error, or null if not `strict`.
+
+    The salts are counted first: a call of `encrypt` has one, and then nothing is shuffled.
+    """
+    box = F.col("row")[col]
+    salted = df.select(F.struct(*df.columns).alias("row"))
+    salted = salted.select("row", F.when(is_encrypted(box), F.substring(box, len(MAGIC) + 1, 16)).alias("salt"), F.pmod(F.hash(box), F.lit(BUCKETS)).alias("bucket"))
+    keys = salted.select(F.col("salt").alias("of")).where("of is not null").distinct()
+    few = keys.limit(SENT_SALTS + 1).collect()
+    if len(few) <= SENT_SALTS:
+        keys = df.sparkSession.createDataFrame(few, "of binary")
+    keys = keys.withColumn("key", F.pandas_udf(_derive(passphrase), "binary")("of"))
+    if len(few) <= SENT_SALTS:
+        found = salted.join(F.broadcast(keys), F.col("salt") == F.col("of"), "left")
+    else:  # a salt may stand in any share of the rows
+        keys = keys.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))))
+        found = salted.join(keys, (F.col("salt") == F.col("of")) & (F.col("bucket") == F.col("b")), "left")
     fn = F.aes_decrypt if strict else F.try_aes_decrypt
-    plain = fn(F.substring(F.col(col), len(MAGIC) + 17, 1 << 30), F.col("_key"), F.lit("GCM"), F.lit("DEFAULT"), F.lit(bytearray(MAGIC)))
+    plain = fn(F.substring(box, len(MAGIC) + 17, 1 << 30), F.col("key"), F.lit("GCM"), F.lit("DEFAULT"), F.lit(bytearray(MAGIC)))
     no = F.raise_error(F.lit("not an encrypted container")).cast("binary") if strict else F.lit(None).cast("binary")
-    out = F.when(F.col(col).isNull(), None).when(F.col("_key").isNotNull(), plain).otherwise(no)
-    return salted.join(keys, F.col("_salt") == F.col("_s"), "left").withColumn(col, out).select(*df.columns)
+    out = F.when(box.isNull(), None).when(F.col("key").isNotNull(), plain).otherwise(no)
+    return found.select(*((out if c == col else F.col("row")[c]).alias(c) for c in df.columns))

@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quartzite.functions import kernels as K
+from quartzite.sources import archive
+from quartzite.sources.zips import ENTRY
+from quartzite.sources.zips import entries as entries_of_zip
 
 
 def entropy(values: pd.Series) -> pd.Series:
@@ -39,8 +42,25 @@ class TextParts:
             yield i, m[0]
 
 
+class ZipEntries:
+    """Rows of the central directory of a zip; none where there is none."""
+
+    def eval(self, data: bytes):
+        yield from entries_of_zip(K.as_bytes(data))
+
+
+class ArchiveEntries:
+    """Rows (path, mode, elem, pad, content) of a container; a damaged one is an error."""
+
+    def eval(self, data: bytes):
+        if data is not None:
+            yield from archive.entries(bytes(data))
+
+
 def register(spark: SparkSession) -> None:
     spark.udf.register("entropy", F.pandas_udf(entropy, "double"))
     spark.udf.register("crc32c", F.pandas_udf(crc32c, "long"))
     spark.udf.register("group_entropy", F.pandas_udf(group_entropy, "double"))
     spark.udtf.register("text_parts", F.udtf(TextParts, returnType="pos int, part string"))
+    spark.udtf.register("zip_entries", F.udtf(ZipEntries, returnType=ENTRY))
+    spark.udtf.register("archive_entries", F.udtf(ArchiveEntries, returnType=archive.ENTRY))

@@ -24,15 +24,6 @@ def winner(trials: DataFrame, keys: list[str], size: Column, order: Column, code
     return trials.groupBy(*keys).agg(F.min_by(codec, F.struct(size, order)).alias("winner"), F.min(size).alias("size"))
 
 
-def model_trials(df: DataFrame) -> DataFrame:
-    """(doc_id, codec, ord, size): sizes by formulas that any engine can compute, for deterministic tournaments."""
-    n = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
-    words = F.size(F.split(F.coalesce("text", F.lit("")), " ")).cast("long")
-    sizes = (("raw", n), ("words", 2 * words + 64), ("chars", chars + 16), ("third", F.floor(n / 3) + 700))
-    return df.select("doc_id", "source", n.alias("n"), F.explode(F.array(*(F.struct(F.lit(name).alias("codec"), F.lit(i).alias("ord"), size.alias("size")) for i, (name, size) in enumerate(sizes)))).alias("t")).select("doc_id", "source", "n", "t.*")
-
-
 def codec_totals(trials: DataFrame) -> DataFrame:
     """Per codec: bytes in and out, ratio, and how often it was the smallest."""
     best = winner(trials, ["doc_id"], F.col("size"), F.col("ord")).groupBy("winner").agg(F.count("*").alias("wins"))
@@ -40,6 +31,18 @@ def codec_totals(trials: DataFrame) -> DataFrame:
     return total.join(best, total.codec == best.winner, "left").select("codec", "n", "size", F.round(F.col("n") / F.greatest("size", F.lit(1)), 4).alias("ratio"), F.coalesce("wins", F.lit(0)).cast("long").alias("wins"))
 
 
+def best_ratio(trials: DataFrame, keys: list[str]) -> DataFrame:
+    """The codec with the best ratio of each group's bytes; of equals, the one that was tried first."""
+    per = trials.groupBy(*keys, "codec", "ord").agg((F.sum("n") / F.greatest(F.sum("size"), F.lit(1))).alias("ratio"))
+    return per.groupBy(*keys).agg(F.max_by("codec", F.struct("ratio", -F.col("ord"))).alias("best_ratio_codec"), F.round(F.max("ratio"), 4).alias("best_ratio"))
+
+
+def scorecard(trials: DataFrame, keys: list[str], groups: list[str]) -> DataFrame:
+    """How many of each group's texts, the empty ones aside, got smaller."""
+    best = winner(trials, keys, F.col("size"), F.col("ord"))
+    return best.groupBy(*groups).agg(F.count(F.when((F.col("size") < F.col("n")) & (F.col("n") > 0), 1)).alias("improved"), F.count("*").alias("n_docs"))
+
+
 def _docs(s, d):
     return table(s, d, "documents")
 
@@ -57,14 +60,9 @@ def _revenue(s, d):
 
 QUERIES = {
     "q_roundtrip_mismatches": lambda s, d: mismatches(_docs(s, d).select("doc_id", "text"), _restored(s, d), "doc_id", "text"),
-    "q_tournament": lambda s, d: winner(model_trials(_docs(s, d)), ["doc_id"], F.col("size"), F.col("ord")),
-    "q_codec_totals": lambda s, d: codec_totals(model_trials(_docs(s, d))),
-    "q_codec_winner": lambda s, d: model_trials(_docs(s, d)).groupBy("source").agg(F.max_by("codec", F.struct(F.col("n") / F.greatest("size", F.lit(1)), -F.col("ord"))).alias("best_ratio_codec"), F.round(F.max(F.col("n") / F.greatest("size", F.lit(1))), 4).alias("best_ratio")),
-    "q_scorecard": lambda s, d: winner(model_trials(_docs(s, d)), ["doc_id", "source", "n"], F.col("size"), F.col("ord")).groupBy("source").agg(F.count(F.when((F.col("size") < F.col("n")) & (F.col("n") > 0), 1)).alias("improved"), F.count("*").alias("n_docs")),
     "q_union_corpora": lambda s, d: _docs(s, d).select(F.lit("documents").alias("corpus"), "text").unionAll(table(s, d, "benchmark").select(F.lit("benchmark"), "text")).unionAll(table(s, d, "conversations").select(F.lit("conversations"), "text")).groupBy("corpus").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_distinct")),
     "q_missing_docs": lambda s, d: _docs(s, d).join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id"),
     "q_distinct_texts": lambda s, d: _docs(s, d).select("text").distinct().agg(F.count("*").alias("n")),
-    "q_file_order": lambda s, d: table(s, d, "pages").groupBy(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("host")).agg(F.min("url").alias("first"), F.max("url").alias("last"), F.count("*").alias("n")),
     "q_price_enrichment": lambda s, d: (lambda li, p: li.join(p, li.l_partkey == p.k, "left").groupBy("l_returnflag").agg(F.round(F.sum(F.coalesce("p_retailprice", "l_extendedprice")), 2).alias("price"), F.count(F.when(F.col("k").isNull(), 1)).alias("n_kept")))(table(s, d, "lineitem"), table(s, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("k"), "p_retailprice")),
     "q_x_star_join": _revenue,
     "q_x_semi_anti": lambda s, d: table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").groupBy("c_mktsegment").agg(F.count("*").alias("n")),
@@ -76,19 +74,11 @@ QUERIES = {
     "q_x_tumbling": lambda s, d: table(s, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")),
 }
 
-_N = "CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT)"
-_T = f"t AS (SELECT doc_id, source, n, unnest(['raw', 'words', 'chars', 'third']) AS codec, unnest([0, 1, 2, 3]) AS ord, unnest([n, 2 * w + 64, c + 16, n // 3 + 700]) AS size FROM (SELECT doc_id, source, {_N} AS n, CAST(length(coalesce(text, '')) AS BIGINT) AS c, CAST(len(string_split(coalesce(text, ''), ' ')) AS BIGINT) AS w FROM documents))"
-_WIN = "w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY size, ord) AS rk FROM t) WHERE rk = 1)"
 ORACLE_SQL = {
     "q_roundtrip_mismatches": "WITH r AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN substr(text, 1, 10) ELSE text END AS v FROM documents WHERE doc_id % 7 <> 0) SELECT d.doc_id, CASE WHEN r.doc_id IS NULL THEN 'missing' ELSE 'differs' END AS problem FROM documents d LEFT JOIN r USING (doc_id) WHERE r.doc_id IS NULL OR d.text IS DISTINCT FROM r.v",
-    "q_tournament": f"WITH {_T}, {_WIN} SELECT doc_id, codec AS winner, size FROM w",
-    "q_codec_totals": f"WITH {_T}, {_WIN}, b AS (SELECT codec, count(*) AS wins FROM w GROUP BY codec) SELECT codec, CAST(sum(n) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS size, round(sum(n) / greatest(sum(size), 1), 4) AS ratio, coalesce(any_value(wins), 0) AS wins FROM t LEFT JOIN b USING (codec) GROUP BY codec",
-    "q_codec_winner": f"WITH {_T}, r AS (SELECT source, codec, n / CAST(greatest(size, 1) AS DOUBLE) AS r, row_number() OVER (PARTITION BY source ORDER BY n / CAST(greatest(size, 1) AS DOUBLE) DESC, ord) AS k FROM t) SELECT source, codec AS best_ratio_codec, round(r, 4) AS best_ratio FROM r WHERE k = 1",
-    "q_scorecard": f"WITH {_T}, {_WIN} SELECT source, count(CASE WHEN size < n AND n > 0 THEN 1 END) AS improved, count(*) AS n_docs FROM w GROUP BY source",
     "q_union_corpora": "SELECT corpus, count(*) AS n, count(DISTINCT text) AS n_distinct FROM (SELECT 'documents' AS corpus, text FROM documents UNION ALL SELECT 'benchmark', text FROM benchmark UNION ALL SELECT 'conversations', text FROM conversations) GROUP BY corpus",
     "q_missing_docs": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
     "q_distinct_texts": "SELECT count(*) AS n FROM (SELECT DISTINCT text FROM documents)",
-    "q_file_order": "SELECT regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS host, min(url) AS first, max(url) AS last, count(*) AS n FROM pages GROUP BY 1",
     "q_price_enrichment": "SELECT l_returnflag, round(sum(coalesce(p_retailprice, l_extendedprice)), 2) AS price, count(CASE WHEN p_partkey IS NULL THEN 1 END) AS n_kept FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey GROUP BY l_returnflag",
     "q_x_star_join": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(DISTINCT o_orderkey) AS n_orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "q_x_semi_anti": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) GROUP BY c_mktsegment",

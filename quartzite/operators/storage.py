@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from quartzite.functions import codecs as X
 from quartzite.functions import security
-from quartzite.functions.arrow import map_bytes
-from quartzite.operators.relational import winner
+from quartzite.functions.arrow import map_bytes, spread
+from quartzite.operators.relational import best_ratio, codec_totals, scorecard, winner
+from quartzite.operators.text import _SHARE
+from quartzite.plans.route import TEXT_SHARE
 from quartzite.sources import archive
-from quartzite.sources.files import scan
+from quartzite.sources.files import ordered, scan
 from quartzite.sources.tables import table
 from quartzite.sources.zips import zip_entries, zip_of
 from quartzite.streaming import blocks as S
@@ -33,8 +35,10 @@ def trials(x: np.ndarray, names: tuple[str, ...], layouts: tuple[str, ...] = ("r
             yield layout, name, i, len(x), len(packed), u - t, time.perf_counter() - u, back == y
 
 
-def codec_trials(df: DataFrame, id_col: str, col: str, names: tuple[str, ...], layouts: tuple[str, ...] = ("raw",)) -> DataFrame:
-    return map_bytes(df, col, lambda x: trials(x, names, layouts), TRIAL, [id_col], many=True)
+def codec_trials(df: DataFrame, keep: str | list[str], col: str, names: tuple[str, ...], layouts: tuple[str, ...] = ("raw",)) -> DataFrame:
+    """`keep` and a row for each layout and codec: measured, so the rows are spread over all cores first."""
+    keep = [keep] if isinstance(keep, str) else keep
+    return map_bytes(spread(df.select(*keep, col)), col, lambda x: trials(x, names, layouts), TRIAL, keep, many=True)
 
 
 FAST = tuple(n for n in ("zlib6", "bzip2", "zstd3", "block") if n in X.CODECS)
@@ -45,6 +49,49 @@ def _trials(s, d):
     return t.groupBy("layout", "codec").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("lossless").alias("lossless"))
 
 
+def floats_of(values: list | None) -> np.ndarray:
+    """An array of floats as little-endian bytes; null counts as empty, a null component as 0."""
+    return np.array([0.0 if v is None else v for v in values or ()], "<f4").view(np.uint8)
+
+
+#: Codecs for floats, of those that are there.
+DEEP = tuple(n for n in ("zstd3", "zstd22", "brotli11", "lzma9") if n in X.CODECS)
+
+
+#: Vectors whose floats are packed together in a trial.
+PACK = 4096
+
+
+def _float_trials(s, d):
+    """Every layout of the vectors' floats, in packs of one label, by every codec, with their restored bits."""
+    v = table(s, d, "embeddings").groupBy("label", F.floor(F.col("vec_id") / PACK).alias("pack"))
+    v = v.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("floats"))
+    t = map_bytes(v, "floats", lambda x: trials(floats_of(x), DEEP, tuple(X.LAYOUTS)), TRIAL, ["label", "pack"], many=True)
+    return t.groupBy("layout", "codec").agg(F.count("*").alias("n_packs"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.min("lossless").alias("lossless"))
+
+
+def _measured(s, d):
+    return codec_trials(table(s, d, "documents"), ["doc_id", "source"], "text", FAST).select("doc_id", "source", "codec", "ord", "n", "size", "lossless")
+
+
+def _ordered(s, d):
+    """The files of all documents, numbered by path."""
+    files = _files(s, d).select("path", F.octet_length("content").cast("long").alias("n"))
+    return ordered(files, "path", S.shared_folder(s))
+
+
+#: Suffixes by document for the archive of all modes.
+_KINDS = (".txt", ".pt", ".wav", ".zip", ".xyz", ".safetensors", ".jpg")
+
+
+def _modes(s, d):
+    end = F.element_at(F.array(*map(F.lit, _KINDS)), (F.pmod("doc_id", F.lit(len(_KINDS))) + 1).cast("int"))
+    files = table(s, d, "documents").select(F.concat(F.lit("f/"), F.col("doc_id").cast("string"), end).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    path = S.shared_folder(s)
+    archive.write_archive(files, path, archive.Settings(speed="fast"))
+    return archive.read_archive(s, path).select("path", "mode", "elem", "pad", F.octet_length("content").cast("long").alias("n"), F.md5("content").alias("md5"))
+
+
 def _best(s, d):
     return winner(codec_trials(table(s, d, "benchmark"), "item_id", "text", tuple(X.CODECS)), ["item_id"], F.col("size"), F.col("ord"))
 
@@ -103,10 +150,24 @@ def _dictionary(s, d):
     return map_bytes(docs, "text", lambda x: (len(x), len(X.zstd(3)[0](x.tobytes())), len(X.zstd(3, trained)[0](x.tobytes()))), "n long, plain long, trained long", ["doc_id"])
 
 
+def _streamed_online(s, d):
+    out, check = S.shared_folder(s), S.shared_folder(s)
+    S.stream_online(S.read_stream(s, f"{d}/events.parquet"), "event_type", "event_id", "props", out, check).awaitTermination()
+    return s.read.parquet(out).groupBy("key").agg(F.max("n").alias("n"), F.max_by("bits", "n").alias("bits"), F.max_by("total", "n").alias("total")).select("key", "n", F.round("bits", 3).alias("bits"), "total")
+
+
 QUERIES = {
+    "q_stream_online": _streamed_online,
     "q_scan_files": lambda s, d: scan(s, d).select("relative", F.col("length").cast("long").alias("length")),
     "q_codec_trials": _trials,
     "q_codec_best": _best,
+    "q_float_trials": _float_trials,
+    "q_tournament": lambda s, d: winner(_measured(s, d), ["doc_id"], F.col("size"), F.col("ord")),
+    "q_codec_totals": lambda s, d: codec_totals(_measured(s, d)),
+    "q_codec_winner": lambda s, d: best_ratio(_measured(s, d), ["source"]),
+    "q_scorecard": lambda s, d: scorecard(_measured(s, d), ["doc_id", "source", "n"], ["source"]),
+    "q_file_order": _ordered,
+    "q_archive_modes": _modes,
     "q_codec_sequential": _sequential,
     "q_archive_roundtrip": lambda s, d: _archive(s, d, True),
     "q_archive_files": lambda s, d: _archive(s, d, False),
@@ -120,7 +181,11 @@ QUERIES = {
 }
 
 _FILE = "SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, md5(encode(coalesce(text, ''))) AS md5 FROM documents"
+_KIND = f"list_value({', '.join(repr(x) for x in _KINDS)})[doc_id % {len(_KINDS)} + 1]"
 ORACLE_SQL = {
+    "q_file_order": f"SELECT path, n, CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS place FROM ({_FILE})",
+    "q_archive_modes": f"""WITH f AS (SELECT 'f/' || CAST(doc_id AS VARCHAR) || {_KIND} AS path, {_KIND} AS ext, coalesce(text <> '' AND {_SHARE} > {TEXT_SHARE}, false) AS says, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, md5(encode(coalesce(text, ''))) AS md5 FROM documents)
+SELECT path, CASE WHEN ext IN ('.txt') THEN 2 WHEN ext IN ('.pt', '.safetensors', '.wav', '.jpg') THEN 4 WHEN ext = '.zip' THEN 5 WHEN says THEN 2 ELSE 0 END AS mode, CASE WHEN ext IN ('.pt', '.safetensors') THEN 4 ELSE 1 END AS elem, CAST(CASE WHEN ext IN ('.pt', '.safetensors') THEN (4 - n % 4) % 4 ELSE 0 END AS INTEGER) AS pad, n, md5 FROM f""",
     "q_archive_roundtrip": _FILE,
     "q_archive_files": _FILE,
     "q_block_stream": "WITH n AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents), b AS (SELECT doc_id, n, unnest(range((n + 4095) // 4096)) AS k FROM n) SELECT doc_id, CAST(k AS INTEGER) AS block_no, CAST(least(4096, n - k * 4096) AS BIGINT) AS n, true AS restored FROM b",

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from hashlib import md5
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quartzite.functions import columns as C
-from quartzite.functions.arrow import map_batches, map_bytes
+from quartzite.functions import words as W
+from quartzite.functions.arrow import map_batches, map_bytes, spread
 from quartzite.functions.kernels import crc32c_rows
 from quartzite.plans import route as R
 from quartzite.sources.tables import table
@@ -23,9 +25,9 @@ def words(df: DataFrame, id_col: str = "doc_id", col: str = "text") -> DataFrame
 
 
 def vocabulary(parts: DataFrame, size: int = VOCABULARY, least: int = LEAST) -> DataFrame:
-    """(word, id): the most frequent lower-cased words of `least` letters or more, ties by word; at most `size` rows."""
-    w = parts.where(F.col("part").rlike("^[a-zA-Z]")).select(F.lower("part").alias("word")).where(F.length("word") >= least)
-    top = w.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    """(word, id): the most frequent lower-cased words of `least` letters or more, ties by word; at most `size` rows.  A column n of `parts` counts them."""
+    w = parts.where(F.col("part").rlike("^[a-zA-Z]")).select(F.lower("part").alias("word"), *(c for c in ("n",) if c in parts.columns)).where(F.length("word") >= least)
+    top = w.groupBy("word").agg((F.sum("n") if "n" in parts.columns else F.count("*")).alias("n")).orderBy(F.desc("n"), "word").limit(size)
     return top.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).alias("id"))  # over at most `size` rows
 
 
@@ -37,10 +39,11 @@ def word_tokens(parts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 
 def token_bytes(tokens: DataFrame) -> DataFrame:
-    """Per document: parts, tokens, bytes; a literal byte outside ASCII has an escape byte before it."""
+    """Per document, from tokens with their number `n`: parts, tokens, bytes; a literal byte outside ASCII has an escape byte before it."""
     wide = F.octet_length("part") - F.length(F.regexp_replace("part", r"[^\x00-\x7F]", ""))
     size = F.when(F.col("kind").isNotNull(), 2).otherwise(F.octet_length("part") + wide)
-    return tokens.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.count("kind").alias("n_tokens"), F.sum(size).alias("packed_bytes"))
+    known = F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)
+    return tokens.groupBy("doc_id").agg(F.sum("n").alias("n_parts"), F.sum(known).alias("n_tokens"), F.sum(size * F.col("n")).alias("packed_bytes"))
 
 
 def detokenize(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -145,11 +148,29 @@ def _docs(s, d):
 
 
 def _tokens(s, d):
-    p = words(_docs(s, d))
+    p = words(spread(_docs(s, d).select("doc_id", "text")))
     v = vocabulary(p)
     return word_tokens(p, v), v
 
 
+def _counted_tokens(s, d):
+    """Tokens with their number in each document: a row for each different part, not for each part."""
+    p = words(spread(_docs(s, d).select("doc_id", "text"))).groupBy("doc_id", "part").agg(F.count("*").alias("n"))
+    return word_tokens(p, vocabulary(p))
+
+
+def _word_codec(s, d):
+    docs = spread(_docs(s, d).select("doc_id", "text"))
+    known = [r.word.encode() for r in vocabulary(words(docs)).orderBy("id").collect()]  # VOCABULARY at most
+    table_ = W.forms(known)
+
+    def both(x):
+        y = W.encode(x.tobytes(), table_)
+        return len(x), len(y), md5(W.decode(y, known)).hexdigest()
+
+    return map_bytes(docs, "text", both, "n long, packed_bytes long, md5 string", ["doc_id"])
+
+
 def _n():
     return F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
 
@@ -186,8 +207,9 @@ QUERIES = {
     "q_concat_pad": lambda s, d: table(s, d, "benchmark").select("item_id", F.md5(F.concat(F.rpad(F.encode("text", "UTF-8"), 4096, F.unhex(F.lit("00"))), F.substring(F.encode("text", "UTF-8"), 3, 5))).alias("md5")),
     "q_regex_tokens": lambda s, d: words(_docs(s, d).select("lang", "text"), "lang").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("part").alias("n_distinct")),
     "q_case_class": lambda s, d: words(_docs(s, d).select("lang", "text"), "lang").where(F.col("part").rlike("^[a-zA-Z]")).groupBy("lang", C.case_class(F.col("part")).alias("class")).agg(F.count("*").alias("n")),
-    "q_word_tokens": lambda s, d: _tokens(s, d)[0].where("kind is not null").groupBy("id", "kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs")),
-    "q_word_token_size": lambda s, d: token_bytes(_tokens(s, d)[0]),
+    "q_word_tokens": lambda s, d: _counted_tokens(s, d).where("kind is not null").groupBy("id", "kind", "doc_id").agg(F.sum("n").alias("n")).groupBy("id", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")),
+    "q_word_token_size": lambda s, d: token_bytes(_counted_tokens(s, d)),
+    "q_word_codec": _word_codec,
     "q_detokenize": lambda s, d: detokenize(*_tokens(s, d)).select("doc_id", F.md5("text").alias("md5")),
     "q_keyword_hits": lambda s, d: table(s, d, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(replace_keywords(F.col("html"))).cast("long").alias("packed_chars")),
     "q_indent_depth": lambda s, d: indents(table(s, d, "pages").select("page_id", F.replace(F.col("html"), F.lit("<p>"), F.lit("\n    <p>")).alias("html")), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("n_lines"), F.count("depth").alias("n_indented"), F.coalesce(F.sum(F.col("depth") * 4 - 1), F.lit(0)).cast("long").alias("saved")),
@@ -256,6 +278,7 @@ CASE WHEN ext IN {_in(R.TENSOR)} AND NOT (ext = '.bin' AND says AND NOT lossy) T
     "q_case_class": f"WITH {_W} SELECT lang, {_class('part')} AS class, count(*) AS n FROM w JOIN documents USING (doc_id) WHERE regexp_matches(part, '^[a-zA-Z]') GROUP BY ALL",
     "q_word_tokens": f"WITH {_W}, {_V}, {_T} SELECT CAST(id AS INTEGER) AS id, kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM t WHERE kind IS NOT NULL GROUP BY id, kind",
     "q_word_token_size": f"WITH {_W}, {_V}, {_T} SELECT doc_id, count(*) AS n_parts, count(kind) AS n_tokens, CAST(sum(CASE WHEN kind IS NOT NULL THEN 2 ELSE 2 * octet_length(encode(part)) - length(regexp_replace(part, '[^\\x00-\\x7F]', '', 'g')) END) AS BIGINT) AS packed_bytes FROM t GROUP BY doc_id",
+    "q_word_codec": f"WITH {_W}, {_V}, {_T}, z AS (SELECT doc_id, CAST(sum(CASE WHEN kind IS NOT NULL THEN 2 ELSE 2 * octet_length(encode(part)) - length(regexp_replace(part, '[^\\x00-\\x7F]', '', 'g')) END) AS BIGINT) AS p FROM t GROUP BY doc_id) SELECT doc_id, {_SIZE} AS n, CAST(coalesce(p, 0) AS BIGINT) AS packed_bytes, md5(encode(coalesce(text, ''))) AS md5 FROM documents LEFT JOIN z USING (doc_id)",
     "q_detokenize": "SELECT doc_id, md5(text) AS md5 FROM documents WHERE text <> ''",
     "q_keyword_hits": f"SELECT page_id, length(html) AS n_chars, length({_replaced('html')}) AS packed_chars FROM pages",
     "q_indent_depth": "WITH l AS (SELECT page_id, unnest(string_split(replace(html, '<p>', chr(10) || '    <p>'), chr(10))) AS line FROM pages), n AS (SELECT page_id, line, length(regexp_extract(line, '^ *')) AS n FROM l), k AS (SELECT page_id, CASE WHEN n % 4 = 0 AND n BETWEEN 4 AND 124 AND n < length(line) THEN n - 1 END AS s FROM n) SELECT page_id, count(*) AS n_lines, count(s) AS n_indented, CAST(coalesce(sum(s), 0) AS BIGINT) AS saved FROM k GROUP BY page_id",

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quartzite.functions import kernels as K
-from quartzite.functions.arrow import map_bytes
-from quartzite.functions.columns import float_bits, mask_bits, ordinal, padding, varint_len, wrap32, zigzag
+from quartzite.functions.arrow import map_bytes, spread
+from quartzite.functions.columns import float_bits, ordinal, padding, varint_len, wrap32, zigzag
 from quartzite.operators.entropy import BYTES, FLOATS
 from quartzite.sources.tables import table
 
@@ -25,30 +25,10 @@ def transform_digest(df: DataFrame, id_col: str, col: str, **fns) -> DataFrame:
     return map_bytes(df, col, lambda x: (len(x), *(md5(f(x)) for f in fns.values())), schema, [id_col])
 
 
-def mask_pcm(x: np.ndarray, level: int, header: int = 44) -> np.ndarray:
-    """16-bit samples after a header: the low byte loses four bits, or all of them from level 2 on."""
-    out = x.copy()
-    out[header::2] &= 0xF0 if level == 1 else 0
-    return out
-
-
-def mask_pixels(x: np.ndarray, level: int, header: int = 54) -> np.ndarray:
-    out = x.copy()
-    out[header:] &= 0xF8 if level == 1 else 0xF0
-    return out
-
-
-def mask_floats(x: np.ndarray, level: int) -> np.ndarray:
-    """Little-endian floats with their low bits cleared; a tail shorter than a float stays."""
-    n = len(x) // 4 * 4
-    bits = x[:n].view("<u4") & np.uint32(0xFFFFFFFF << mask_bits(level) & 0xFFFFFFFF)
-    return np.concatenate([bits.view(np.uint8), x[n:]])
-
-
 def mask_and_shuffle(x: np.ndarray, elem: int, level: int, kind: str) -> tuple[np.ndarray, int]:
     """Mask by the type of data, then planes; only what isn't a tensor is stored as differences."""
     if level:
-        x = {"pcm": mask_pcm, "pixels": mask_pixels}[kind](x, level) if kind != "tensor" else mask_floats(x, level)
+        x = {"pcm": K.mask_pcm, "pixels": K.mask_pixels, "tensor": K.mask_floats}[kind](x, level)
     return K.shuffle(x, elem, with_delta=kind != "tensor")
 
 
@@ -108,7 +88,8 @@ def _axes(df: DataFrame) -> DataFrame:
 def _rle_sizes(x: np.ndarray) -> tuple:
     d = K.delta(x)
     v, n = K.runs(d, 65535)
-    return len(K.rle_zero(d)), md5(K.rle_zero(d)), len(K.rle(d)), md5(K.rle(d)), int(np.where((v == 0) & (n >= 4), 4, n).sum())
+    zero, run = K.rle_zero(d), K.rle(d)
+    return len(zero), md5(zero), len(run), md5(run), int(np.where((v == 0) & (n >= 4), 4, n).sum())
 
 
 def _bwt(x: np.ndarray) -> tuple:
@@ -126,12 +107,12 @@ QUERIES = {
     "q_delta": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", delta_md5=K.delta),
     "q_delta_inverse": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", prefix_md5=K.undelta, back_md5=lambda x: K.undelta(K.delta(x))),
     "q_xor_delta": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", xor_md5=K.xor_blocks, prefix_md5=K.unxor_blocks, back_md5=lambda x: K.unxor_blocks(K.xor_blocks(x))),
-    "q_rle": lambda s, d: map_bytes(table(s, d, "documents"), "text", _rle_sizes, "zero_bytes long, zero_md5 string, run_bytes long, run_md5 string, tag_bytes long", ["doc_id"]),
+    "q_rle": lambda s, d: map_bytes(spread(table(s, d, "documents").select("doc_id", "text")), "text", _rle_sizes, "zero_bytes long, zero_md5 string, run_bytes long, run_md5 string, tag_bytes long", ["doc_id"]),
     "q_plane_transpose": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", planes_md5=lambda x: K.to_planes(x, 4)[0], natural_md5=lambda x: K.to_planes(x, 4, reverse=False)[0], back_md5=lambda x: K.from_planes(*K.to_planes(x, 4)[:1], 4, K.to_planes(x, 4)[1])),
     "q_mask_and_shuffle": lambda s, d: map_bytes(table(s, d, "documents"), "text", lambda x: tuple(v for y, p in (mask_and_shuffle(x, 2, 1, "pcm"),) for v in (len(x), p, md5(y))), "n long, pad int, md5 string", ["doc_id"]),
     "q_bitplane64": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", planes_md5=K.bit_planes, back_md5=lambda x: K.unbit_planes(K.bit_planes(x))),
-    "q_mask_pcm": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", level1_md5=lambda x: mask_pcm(x, 1), level2_md5=lambda x: mask_pcm(x, 2)),
-    "q_mask_pixels": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", level1_md5=lambda x: mask_pixels(x, 1), level2_md5=lambda x: mask_pixels(x, 2)),
+    "q_mask_pcm": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", level1_md5=lambda x: K.mask_pcm(x, 1), level2_md5=lambda x: K.mask_pcm(x, 2)),
+    "q_mask_pixels": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", level1_md5=lambda x: K.mask_pixels(x, 1), level2_md5=lambda x: K.mask_pixels(x, 2)),
     "q_chunk": lambda s, d: blocks(table(s, d, "documents"), 4096).select("doc_id", "block_no", F.octet_length("block").cast("long").alias("n"), F.md5("block").alias("md5")),
     "q_block_dedup": lambda s, d: _dedup(s, d).select("doc_id", "block_no", "first_doc_id", "first_block_no", (~((F.col("doc_id") == F.col("first_doc_id")) & (F.col("block_no") == F.col("first_block_no")))).alias("duplicate")),
     "q_dedup_stats": lambda s, d: blocks(table(s, d, "documents"), 64).groupBy("block").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_blocks"), F.count("*").alias("n_unique"), F.sum(F.col("n") - 1).alias("n_dups")),

@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quartzite.functions.arrow import map_bytes
 from quartzite.operators.entropy import byte_histogram, entropy_of
 from quartzite.sources.archive import block_rows
+from quartzite.sources.tables import shared_root
 
 
 def shared_folder(spark: SparkSession) -> str:
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not conf:
-        import tempfile
-
-        conf = tempfile.mkdtemp(prefix="quartzite-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return f"{conf.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder under the one that `spark.checkpoint.dir` names; a local session without it gets a temporary one, a cluster an error."""
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -48,6 +49,45 @@ def stream_entropy(spark: SparkSession, out: str) -> DataFrame:
     return entropy_of(total, ["key"])
 
 
+STATE = "counts binary, total long, n long, bits double"
+
+
+def _learn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, step: int, limit: int) -> Iterator[pd.DataFrame]:
+    """Code the key's values, in the order of their numbers, by counts that are learnt from all that came before, in this micro-batch or an earlier one."""
+    if state.exists:
+        packed, total, n, bits = state.get
+        f = np.frombuffer(packed, np.int64).copy()
+    else:
+        f, total, n, bits = np.ones(256, np.int64), 256, 0, 0.0
+    rows = pd.concat(list(frames)).sort_values("ord")
+    for x in rows["x"]:
+        for b in bytes(x or b""):
+            bits -= math.log2(f[b] / total)
+            f[b] += step
+            total += step
+            n += 1
+            if total > limit:
+                f = np.maximum(1, f >> 1)
+                total = int(f.sum())
+    state.update((f.tobytes(), total, n, bits))
+    yield pd.DataFrame({"key": [key[0]], "n": [n], "bits": [bits], "total": [total]})
+
+
+def stream_online(stream: DataFrame, key: str, order: str, col: str, out: str, checkpoint: str, step: int = 16, limit: int = 32_000):
+    """An adaptive byte model for each `key`, kept as state from micro-batch to micro-batch: (key, n, bits, total) after each.
+
+    Within a micro-batch values go by `order`; counts are halved, 1 at least, when their total passes `limit`.  The state of a key is 2 kB,
+    whatever it has seen.  Null values have no bytes; null keys are a key of their own.
+    """
+
+    def learn(k, frames, state):
+        return _learn(k, frames, state, step, limit)
+
+    src = stream.select(F.col(key).cast("string").alias("key"), F.col(order).alias("ord"), F.encode(F.col(col).cast("string"), "UTF-8").alias("x"))
+    rows = src.groupBy("key").applyInPandasWithState(learn, "key string, n long, bits double, total long", STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class Progress(StreamingQueryListener):
     """Rows and seconds of each micro-batch."""
 
