@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quartzite.sources.tables import shared_root
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``.  A temporary one is set only where the session names none (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="quartzite-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
+    """The folder in ``spark.checkpoint.dir``.  Where the session names none, a local one (tests) gets a temporary folder and a cluster an error."""
+    return shared_root(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -37,15 +34,19 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
 
 def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete tables written by `materialize` that nothing reads any more."""
+    """Delete tables written by `materialize` that nothing reads any more, and let Spark delete the shuffle files behind them."""
     jvm = spark.sparkContext._jvm
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()  # Spark's cleaner removes the files of a shuffle when the driver has collected its last reference
 
 
 def arrow_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows (and where the version knows it, the bytes) of one Arrow batch, so long texts can't fill a worker."""
+    """Bound the rows (and where the version knows it, the bytes) of one Arrow batch, so long texts can't fill a worker.
+
+    These are settings of the session and stay: they change how rows are handed over, not what any query gives.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

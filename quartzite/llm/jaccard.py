@@ -12,8 +12,8 @@ z < m - D.  The few others (short, or mostly of very frequent shingles) publish
 not values, are dealt to buckets, so every bucket gets as many rows of every document, however alike the documents are; equal
 sets count once; a value that many documents share yields comparisons with one of four pseudo-random members.  Members that
 are still in different components after that are compared by their sketches, in blocks and without a row for each pair: first
-each brings forward its closest; where a group is in different components even then, the sets themselves are dealt to the pairs
-of blocks, every pair that the sketches allow is verified there, and only a spanning forest of what holds leaves the task.
+each brings forward its closest, then a few more; where a member may have still more, the sets themselves are dealt to its
+block's tasks, every pair that the sketches allow is verified there, and only a spanning forest of what holds leaves the task.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ SKETCH_BITS = 1024
 SMALL_GROUP = 8
 #: Members of a group, and shingles of these, that one task compares with one another.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Partners that a member brings forward in a round, one after the other.
+NEAREST = (1, 16, 256)
 #: Groups that are broadcast at most; beyond that their members are joined by key and one of SALTS.
 SENT_GROUPS, SALTS = 200_000, 32
 #: A shingle in this share of all documents (and in MIN_HEAVY at least) doesn't make a part telling.
@@ -247,18 +249,18 @@ def _hamming(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
         yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Rows sorted by the first two columns, group by group: the other columns as arrays."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list]]:
+    """Rows sorted by the first two columns, group by group: these two, and the other columns as arrays."""
     rest = None
     for batch in batches:
         rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
         key, cell = (rest.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         at = np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (cell[1:] != cell[:-1])) + 1)
         for i, j in zip(at[:-1], at[1:], strict=True):
-            yield rest.slice(i, j - i).columns[2:]
+            yield int(key[i]), int(cell[i]), rest.slice(i, j - i).columns[2:]
         rest = rest.slice(at[-1])
     if rest is not None and rest.num_rows:
-        yield rest.columns[2:]
+        yield rest.column(0)[0].as_py(), rest.column(1)[0].as_py(), rest.columns[2:]
 
 
 def _distances(bits: np.ndarray, own: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -268,16 +270,22 @@ def _distances(bits: np.ndarray, own: np.ndarray, right: np.ndarray) -> np.ndarr
     return far
 
 
-def _closest(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """For each member of a group, the closest of those in other components that sizes and sketches allow."""
+NEAR = "a long, b long, key long, cell long"
+
+
+def _closest(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int) -> Iterator[pa.RecordBatch]:
+    """For each member of a group, the `most` closest of those in other components that sizes and sketches allow: (a, b); and (a, null, key, cell) where more do."""
     found: list[np.ndarray] = []
-    held = 0
+    more: list[tuple[int, int, int]] = []
 
     def out() -> pa.RecordBatch:
-        x = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1])], ["a", "b"])
+        x = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+        rest = np.array(more, np.int64).reshape(-1, 3)
+        null = pa.nulls(x.shape[1], pa.int64())
+        cols = ((x[0], rest[:, 0]), (x[1], pa.nulls(len(rest), pa.int64())), (null, rest[:, 1]), (null, rest[:, 2]))
+        return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in pair]) for pair in cols], ["a", "b", "key", "cell"])
 
-    for blk, node, n, comp, sketch in _groups(batches):
+    for key, cell, (blk, node, n, comp, sketch) in _groups(batches):
         blk, node, n, comp = (c.to_numpy(zero_copy_only=False) for c in (blk, node, n, comp))
         bits = np.frombuffer(b"".join(sketch.to_pylist()), np.uint64).reshape(len(node), -1)
         if (comp == comp[0]).all():
@@ -289,22 +297,29 @@ def _closest(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[
             big, small = np.maximum(n[own][:, None], n[right][None, :]), np.minimum(n[own][:, None], n[right][None, :])
             ok = (comp[own][:, None] != comp[right][None, :]) & (far * (den + num) <= (big + small) * (den - num)) & (small * den >= big * num)
             far[~ok] = np.iinfo(np.int64).max
-            x = np.flatnonzero(ok.any(axis=1))
-            y = far[x].argmin(axis=1)
+            count = ok.sum(axis=1)
+            if most == 1:
+                x = np.flatnonzero(count)
+                y = far[x].argmin(axis=1)
+            else:
+                k = min(most, far.shape[1])
+                y = np.argpartition(far, k - 1, axis=1)[:, :k]
+                x, place = np.nonzero(np.take_along_axis(ok, y, axis=1))
+                y = y[x, place]
+                more += [(int(node[own[r]]), key, cell) for r in np.flatnonzero(count > most)]
             if len(x):
                 a, b = node[own[x]], node[right[y]]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-                held += len(x)
-        if held > 1 << 20:
+        if sum(f.shape[1] for f in found) > 1 << 20:
             yield out()
-            found, held = [], 0
-    if found:
+            found, more = [], []
+    if found or more:
         yield out()
 
 
 def _settle(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Verified links between the components of each pair of blocks, as a forest: every pair that sizes and sketches allow is compared by its sets."""
-    for blk, node, n, comp, sketch, sets in _groups(batches):
+    for _, _, (blk, node, n, comp, sketch, sets) in _groups(batches):
         blk, node, n, comp = (c.to_numpy(zero_copy_only=False) for c in (blk, node, n, comp))
         names, tree = np.unique(comp, return_inverse=True)
         if len(names) < 2:
@@ -389,39 +404,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sent = spark.sparkContext.broadcast(heavy)
     signs = src.mapInArrow(partial(_signatures, k=k, bands=bands, heavy=sent, layout=layout), "bucket int, keys binary, idx binary, classes binary, sizes binary")
-    used: list[str] = []
+    used: dict[str, list[str]] = {}
 
     def table(df: DataFrame, name: str) -> DataFrame:
-        used.append(new_path(spark, name))
-        return materialize(df, name, used[-1])
+        used.setdefault(name, []).append(new_path(spark, name))
+        return materialize(df, name, used[name][-1])
+
+    def done(*names: str, but: int = 0) -> None:
+        """Delete all tables of these names but the last `but`."""
+        drop(spark, *(p for n in names for p in used.get(n, [])[: len(used.get(n, [])) - but]))
+        used.update({n: used.get(n, [])[len(used.get(n, [])) - but :] for n in names})
 
     met = table(signs.repartitionById(max(1, int(count.sum())), F.col("bucket")).mapInArrow(partial(_meet, num=num, den=den), "a long, b long, member boolean"), "met")
 
-    def sets_of(nodes: DataFrame) -> DataFrame:
+    def sets_of(nodes: DataFrame, name: str = "sets") -> DataFrame:
         """(cls, shingles) of the classes `nodes`, from the texts of their representatives."""
         ids = classes.join(nodes.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("id")).distinct()
         # a sort-merge join at every size: what it moves follows the input
-        return table(src.join(ids.hint("merge"), "id", "left_semi").mapInArrow(partial(_shingles, k=k), "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+        return table(src.join(ids.hint("merge"), "id", "left_semi").mapInArrow(partial(_shingles, k=k), "cls long, shingles binary").dropDuplicates(["cls"]), name)
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of candidate pairs of classes (a, b), those that hold, with their representatives: (a, b, ra, rb)."""
         side = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias(f"r{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         thin = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "na", "nb", "sa", "sb").mapInArrow(partial(_hamming, num=num, den=den), LINK)
         thin = table(thin, "pairs")
-        sets = sets_of(thin.select(F.col("a").alias("cls")).unionByName(thin.select(F.col("b").alias("cls"))))
+        if sets is None:
+            sets = sets_of(thin.select(F.col("a").alias("cls")).unionByName(thin.select(F.col("b").alias("cls"))))
         set_of = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
-        return table(thin.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(partial(_verify, num=num, den=den), LINK), "links")
+        out = table(thin.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(partial(_verify, num=num, den=den), LINK), "links")
+        done("pairs", "sets")
+        return out
 
     # a node is (representative, class): its component's smallest node has the smallest id, and repeated ids stay apart
     node = lambda x: F.struct(F.col(f"r{x}").alias("rep"), F.col(x).alias("cls"))
     comp = table(components(linked(met.where("not member").select("a", "b").distinct()).select(node("a").alias("a"), node("b").alias("b"))), "comp")
+    done("links")
     members = met.where("member").select(F.col("a").alias("key"), F.col("b").alias("cls")).join(classes.select("cls", "n"), "cls")
-    # members of a group in different components: compare across these, by the closest first, then all
-    for last in (False, True):
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Members of groups with the component that each is in."""
         name = comp.select(F.col("node.cls").alias("cls"), F.col("component.cls").alias("at"))
-        label = members.join(name, "cls", "left").select("key", "cls", "n", F.coalesce("at", "cls").alias("at"))
+        return rows.join(name, "cls", "left").withColumn("at", F.coalesce("at", "cls"))
+
+    def cells(label: DataFrame) -> DataFrame:
+        """Each member for all pairs of blocks of its group."""
+        cut = label.withColumn("blk", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cut = cut.join(classes.select("cls", "sketch"), "cls").withColumn("cell", F.least("blk", "other") * F.col("blocks") + F.greatest("blk", "other"))
+        return cut.select("key", "cell", "blk", "cls", "n", "at", "sketch")
+
+    def dealt(cut: DataFrame, rows: int) -> DataFrame:
+        parts = max(width(spark), -(-rows // (BUCKET_ROWS // 16)))
+        return cut.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
+
+    def merged(links: DataFrame) -> DataFrame:
+        """`comp` with new links (a, b, ra, rb): only the components that these join are looked at again."""
+        was = lambda x: comp.select(F.col("node.cls").alias(x), F.col("component").alias(f"c{x}"))
+        more = links.join(was("a"), "a", "left").join(was("b"), "b", "left")
+        joined = components(more.select(F.coalesce("ca", node("a")).alias("a"), F.coalesce("cb", node("b")).alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
+        alone = joined.join(comp, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
+        out = comp.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(alone)
+        return table(out, "comp")
+
+    # members of a group in different components: compare across these, by the closest first
+    sets = None
+    for most in NEAREST:
+        label = labelled(members)
         size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
-        mixed = table(label.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), size.alias("blocks")).where("lo < hi").select("key", "blocks"), "mixed")
+        mixed = label.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), size.alias("blocks"), F.count("*").alias("size"), F.sum(F.xxhash64("cls").cast("decimal(20,0)")).alias("who")).where("lo < hi")
+        # near copies meet in many parts: of groups with the same members one is enough
+        mixed = table(mixed.groupBy("size", "who").agg(F.min("key").alias("key"), F.min("blocks").alias("blocks")).select("key", "blocks"), "mixed")
         groups = mixed.count()
         if not groups:
             break
@@ -431,28 +481,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
             label = label.withColumn("salt", F.pmod(F.hash("cls"), F.lit(SALTS))).join(salted, ["key", "salt"]).drop("salt")
         label = table(label, "members")
-        cut = label.withColumn("blk", F.pmod(F.xxhash64("cls"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        cut = cut.join(classes.select("cls", "sketch"), "cls").withColumn("cell", F.least("blk", "other") * F.col("blocks") + F.greatest("blk", "other"))
-        columns = ["key", "cell", "blk", "cls", "n", "at", "sketch"]
-        parts = max(width(spark), -(-label.count() // (BUCKET_ROWS // 16)))
-        if last:
-            cut, columns = cut.join(sets_of(label), "cls"), [*columns, "shingles"]
-        dealt = cut.select(*columns).repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
-        if last:
-            rep = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias(f"r{x}"))
-            more = table(dealt.mapInArrow(partial(_settle, num=num, den=den), "a long, b long"), "links").join(rep("a"), "a").join(rep("b"), "b")
-        else:
-            more = linked(dealt.mapInArrow(partial(_closest, num=num, den=den), "a long, b long").distinct())
-        # the new links join components: only these are looked at again
-        was = lambda x: comp.select(F.col("node.cls").alias(x), F.col("component").alias(f"c{x}"))
-        more = more.join(was("a"), "a", "left").join(was("b"), "b", "left")
-        joined = components(more.select(F.coalesce("ca", node("a")).alias("a"), F.coalesce("cb", node("b")).alias("b"))).select(F.col("node").alias("was"), F.col("component").alias("now"))
-        alone = joined.join(comp, F.col("was") == F.col("node"), "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
-        comp = comp.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component")).unionByName(alone)
-        comp = table(comp, "comp")
+        done("met")
+        done("members", "mixed", but=1)
+        sets = sets_of(label, "own") if sets is None else sets  # of all members that may be compared from here on
+        near = table(dealt(cells(label), label.count()).mapInArrow(partial(_closest, num=num, den=den, most=most), NEAR), "near")
+        comp = merged(linked(near.where("b is not null").select("a", "b").distinct(), sets))
+        done("links")
+        done("comp", "near", but=1)
         members = label.select("key", "cls", "n")
-    kept = [p for p in used if "-comp-" in p][-1]
-    drop(spark, *(p for p in used if p != kept))
+        if most > 1 and near.where("b is null").isEmpty():
+            break  # every pair that was possible has been verified
+    else:
+        # where a member may have more, all that the sketches allow, in the tasks that hold the sets
+        open_cells = near.where("b is null").select("key", "cell").distinct()
+        if not open_cells.isEmpty():
+            cut = cells(labelled(label.drop("at"))).join(open_cells, ["key", "cell"], "left_semi")
+            cut = cut.join(sets, "cls").select("key", "cell", "blk", "cls", "n", "at", "sketch", "shingles")
+            rep = lambda x: classes.select(F.col("cls").alias(x), F.col("rep").alias(f"r{x}"))
+            found = table(dealt(cut, label.count()).mapInArrow(partial(_settle, num=num, den=den), "a long, b long"), "links")
+            comp = merged(found.join(rep("a"), "a").join(rep("b"), "b"))
+            done("links")
+            done("comp", but=1)
+    done("met", "members", "mixed", "near", "own")
     found = comp.select(F.col("node.cls").alias("cls"), F.col("component.rep").alias("component_id"))
     found = classes.select("cls", "rep").join(found, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     full = per_doc.where("n > 0").select("id", "n", "cls").join(found, "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
