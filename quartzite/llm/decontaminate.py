@@ -22,6 +22,8 @@ from quartzite.llm.scan import ALNUM, text_chunks, word_hashes
 
 #: Words of a segment, and words of test items that one pass over the index takes; the broadcast is some 100 bytes a word at most.
 SEGMENT_WORDS, BLOCK_WORDS = 1 << 20, 1 << 18
+#: Stands for a null item id: its windows hit words, but it is no item that could be named.
+NO_ITEM = int(np.iinfo(np.int64).min)
 INDEX = "segment string, ids binary, words binary, terms binary, counts binary, positions binary"
 
 
@@ -150,7 +152,7 @@ def _match(batches: Iterator[pa.RecordBatch], windows: Broadcast) -> Iterator[pa
                 starts.append(s)
                 lens.append(np.full(len(s), len(w.at[i])))
                 d = np.unique(seg.doc(s))
-                for item in w.items[i]:
+                for item in (x for x in w.items[i] if x != NO_ITEM):
                     docs.append(d)
                     items.append(np.full(len(d), item))
         spans, found = [[]] * n, [[]] * n
@@ -173,9 +175,10 @@ def _match(batches: Iterator[pa.RecordBatch], windows: Broadcast) -> Iterator[pa
             at = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             for i, j in zip(at, np.append(at[1:], len(d)), strict=True):
                 spans[d[i]] = [{"start": a, "end": b} for a, b in pairs[i:j].tolist()]
-            both = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)], axis=1), axis=0)
-            at = np.flatnonzero(np.concatenate([[True], both[1:, 0] != both[:-1, 0]]))
-            for i, j in zip(at, np.append(at[1:], len(both)), strict=True):
+            docs, items = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (docs, items))
+            both = np.unique(np.stack([docs, items], axis=1), axis=0)
+            at = np.flatnonzero(np.concatenate([[True], both[1:, 0] != both[:-1, 0]])) if len(both) else np.zeros(0, np.int64)
+            for i, j in zip(at, np.append(at[1:], len(both))[: len(at)], strict=True):
                 found[both[i, 0]] = both[i:j, 1].tolist()
         ids = pa.array([None if x == np.iinfo(np.int64).min else x for x in seg.ids.tolist()], pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(seg.words), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(found, pa.list_(pa.int64()))], ["segment", "place", "doc_id", "n_words", "spans", "items"])
@@ -202,10 +205,10 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, length: int) -> Iterator[Windows]:
     """The items in blocks of about BLOCK_WORDS words; only one block is held at a time."""
-    rows = items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull()).mapInArrow(_item_words, "id long, words binary")
+    rows = items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_item_words, "id long, words binary")
     block, size = [], 0
     for item, words in rows.toLocalIterator():
-        block.append((item, np.frombuffer(words, np.uint64)))
+        block.append((NO_ITEM if item is None else item, np.frombuffer(words, np.uint64)))
         size += len(words) // 8
         if size >= BLOCK_WORDS:
             yield Windows(block, length)
@@ -224,8 +227,10 @@ def _counted(index: DataFrame, windows: Windows) -> Broadcast:
 def phrase_matches(index: DataFrame, items: DataFrame, window: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Per document of the index: doc_id, n_words, spans ([start, end) in words, merged), items with an occurring window.
 
-    A window is `window` consecutive words of an item, or all words of an item that has fewer; items without words or id match
-    nothing.  Repeated items count once, repeated documents each.
+    A window is `window` consecutive words of an item, or all words of an item that has fewer; items without words match nothing.
+    The windows of items without an id hit words, but are in no list of items.  Repeated items count once, repeated documents
+    each, a null document id is a document like any other; long texts are searched whole, an empty table gives no row, without
+    items nothing is hit; other columns are ignored whatever their names.
     """
     parts = [index.mapInArrow(partial(_match, windows=_counted(index, w)), MATCH) for w in _blocks(items, id_col, text_col, window)]
     if len(parts) == 1:
@@ -263,7 +268,7 @@ def _near(batches: Iterator[pa.RecordBatch], windows: Broadcast, slop: int) -> I
                         if not has[t0]:  # the shortest span that ends here starts here
                             del has[t0]
                             if y - near[start][0] < reach:
-                                out.update((d, near[start][0], y + 1, item) for item in w.items[i])
+                                out.update((d, near[start][0], y + 1, item) for item in w.items[i] if item != NO_ITEM)
                         start += 1
         rows = sorted(out)
         low = np.iinfo(np.int64).min

@@ -309,6 +309,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op6_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    """A row for each document with repeated passages: their places in words, and documents with an earlier copy."""
+    """A row for each document with repeated passages: how many, their words in all, and their places in words."""
     found = repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_repeated"), "spans", "earlier_ids")
+    places = F.array_join(F.transform("spans", lambda x: F.concat(x["start"].cast("string"), F.lit("-"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]).alias("n_repeated"), places.alias("spans"))
+
+
+ORACLE_SQL = {
+    "op6_suffix_array_dedup": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, p, array_to_string(w[p:p + {MIN_WORDS - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {MIN_WORDS - 2})) AS p FROM d WHERE len(w) >= {MIN_WORDS})),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM p),
+h AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM r WHERE k > 1),
+s AS (SELECT doc_id, p, sum(CASE WHEN gap IS NULL OR gap > {MIN_WORDS} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS n FROM h),
+e AS (SELECT doc_id, n, min(p) - 1 AS a, max(p) + {MIN_WORDS - 1} AS b FROM s GROUP BY doc_id, n)
+SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_repeated, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM e GROUP BY doc_id""",
+}

@@ -34,10 +34,10 @@ def brute(docs, items, n=10):
     wins = {}
     for i, t in items:
         w = words(t)
-        if i is not None and w:
+        if w:
             k = min(len(w), n)
             for p in range(len(w) - k + 1):
-                wins.setdefault(tuple(w[p : p + k]), set()).add(i)
+                wins.setdefault(tuple(w[p : p + k]), set()).update({i} - {None})
     lens = {len(k) for k in wins}
     out = []
     for i, t in docs:
@@ -46,7 +46,7 @@ def brute(docs, items, n=10):
         for k in lens:
             for p in range(len(w) - k + 1):
                 got = wins.get(tuple(w[p : p + k]))
-                if got:
+                if got is not None:
                     hit[p : p + k] = [True] * k
                     found |= got
         out.append((i, len(w), sum(hit), tuple(sorted(found))))

@@ -1,8 +1,9 @@
+import shutil
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quartzite.llm.rollups import TokenRollup, revisions, token_changes
+from quartzite.llm.rollups import TokenRollup, op5_token_counts, revisions, token_changes
 from quartzite.llm.tokens import vocabulary, word_bpe
 
 COLS = "doc_id long, text string, lang string, source string, sign int, tokens string"
@@ -44,3 +45,48 @@ def test_a_died_draft_counts_for_nothing(spark, tmp_path):
     assert r.totals().count() == 0
     assert r.commit("x", token_changes(spark.createDataFrame(ROWS, COLS).limit(0)))
     assert r.totals().count() == 0
+
+
+def test_compaction_keeps_totals_and_ids(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, COLS)
+    r = TokenRollup(spark, str(tmp_path / "r"))
+    assert not r.compact()
+    r.commit("one", token_changes(df))
+    r.commit("two", token_changes(df.where("doc_id = 1"), -1))
+    left = [x for x in ROWS if x[0] != 1]
+    assert r.compact() and got(r) == expect(left) and not r.compact()
+    assert [p.name[:5] for p in (tmp_path / "r").iterdir()] == ["base-"]
+    assert not r.commit("one", token_changes(df)) and r.committed("two") and got(r) == expect(left)
+    r.commit("three", token_changes(df))
+    assert r.compact() and got(TokenRollup(spark, str(tmp_path / "r"))) == expect(left + ROWS)
+    assert not r.commit("three", token_changes(df)) and len(list((tmp_path / "r").iterdir())) == 1
+
+
+def test_a_compaction_that_died_before_it_cleaned_up(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, COLS)
+    r = TokenRollup(spark, str(tmp_path / "r"))
+    r.commit("one", token_changes(df))
+    kept = tmp_path / "kept"
+    batch = next((tmp_path / "r").glob("batch-*"))
+    shutil.copytree(batch, kept)
+    r.compact()
+    shutil.copytree(kept, batch)  # as if its folder had not gone
+    assert got(r) == expect(ROWS) and not r.commit("one", token_changes(df))
+    assert not r.compact() and not batch.exists() and got(r) == expect(ROWS)
+
+
+def test_revisions_count_only_what_changed(spark):
+    old = spark.createDataFrame(ROWS, COLS)
+    same = old.unionByName(old.limit(0))
+    assert revisions(old, same).count() == 0
+    more = spark.createDataFrame([*ROWS, ROWS[1], ROWS[1]], COLS)
+    rows = revisions(old, more).collect()
+    assert [(r.sign, r.tokens) for r in rows if r.tokenizer == "blank_words"] == [(2, 2)]
+    assert {r.sign for r in revisions(more, old).collect()} == {-2}
+
+
+def test_query_equals_counting_every_document(spark, tmp_path):
+    docs = [r[:4] for r in ROWS]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = op5_token_counts(spark, str(tmp_path)).collect()
+    assert {k: v for r in rows for k, v in (((r.source, r.lang, r.tokenizer, "n"), r.documents), ((r.source, r.lang, r.tokenizer, "t"), r.tokens)) if v} == expect(ROWS)
