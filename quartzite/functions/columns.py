@@ -125,6 +125,11 @@ def ordinal(u: Column) -> Column:
     return F.when(u >= 1 << 31, -(u - (1 << 31))).otherwise(u)
 
 
+def from_ordinal(n: Column) -> Column:
+    """Bits from `ordinal`; 0 gives the positive zero."""
+    return F.when(n < 0, (1 << 31) - n).otherwise(n)
+
+
 # --- text ----------------------------------------------------------------------------------------------------------
 
 

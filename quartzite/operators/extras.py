@@ -6,6 +6,7 @@ import bz2
 import gzip
 import lzma
 import re
+from hashlib import md5
 import zlib
 
 import numpy as np
@@ -37,7 +38,7 @@ def _mixed(x: np.ndarray) -> bytes:
 
 def _dispatch(x: np.ndarray) -> tuple:
     name, back = decode_any(_mixed(x))
-    return name, len(back), back == x.tobytes()
+    return name, len(back), md5(back).hexdigest()
 
 
 _WORDS = re.compile(rb"[a-zA-Z]+")
@@ -65,7 +66,14 @@ QUERIES = {
     "q_gen_grid": lambda s, d: G.grid(s, 64).select("x", "y", F.round("z", 6).alias("z")),
     "q_gen_weights": lambda s, d: G.weights(s, 4096).select("id", F.round("w", 9).alias("w")),
     "q_gen_assets": lambda s, d: G.assets(s, 20, 6),
-    "q_codec_dispatch": lambda s, d: map_bytes(table(s, d, "documents"), "text", _dispatch, "codec string, n long, back boolean", ["doc_id"]).select("doc_id", "n", "back"),
+    "q_gen_text": lambda s, d: G.text(s, 500),
+    "q_gen_code": lambda s, d: G.code(s, 500),
+    "q_gen_records": lambda s, d: G.records(s, 500),
+    "q_gen_html": lambda s, d: G.html(s, 500),
+    "q_gen_xml": lambda s, d: G.xml(s, 500),
+    "q_gen_halves": lambda s, d: G.halves(s, 4096),
+    "q_gen_mixed": lambda s, d: G.mixed(s, 200),
+    "q_codec_dispatch": lambda s, d: map_bytes(table(s, d, "documents"), "text", _dispatch, "codec string, n long, md5 string", ["doc_id"]).select("doc_id", "n", "md5"),
     "q_token_probe": lambda s, d: map_bytes(table(s, d, "documents"), "text", token_probe, "plain long, tokens long, kept boolean", ["doc_id"]),
 }
 
@@ -74,7 +82,19 @@ def _noise(i: str, salt: int, top: int) -> str:
     return f"(CAST('0x' || substr(md5(CAST({i} AS VARCHAR) || '/{salt}'), 1, 12) AS BIGINT) % {top})"
 
 
+_SAYS = f"(SELECT string_agg({list(G.WORDS)!r}[{_noise('(id * 12 + k)', 11, len(G.WORDS))} + 1], ' ' ORDER BY k) FROM range(12) u(k))"
+_CODE = f"'def f' || id || '(x):' || chr(10) || '    return x * ' || {_noise('id', 12, 97)} || ' + ' || {_noise('id', 13, 1000)} || chr(10)"
+_RECORD = f"'{{{{\"id\": ' || id || ', \"name\": \"user' || {_noise('id', 14, 500)} || '\", \"score\": ' || {_noise('id', 15, 100)} || ', \"tags\": [\"t' || {_noise('id', 16, 9)} || '\", \"t' || {_noise('id', 17, 9)} || '\"]}}}}'".replace("{{", "{").replace("}}", "}")
+_XML = f"'<row id=\"' || id || '\"><v>' || {_noise('id', 19, 10000)} || '</v></row>'"
+_HALF = f"(SELECT id, {_noise('id', 20, 2048)} AS m, {_noise('id', 21, 2)} AS s FROM range(4096) t(id))"
 ORACLE_SQL = {
+    "q_gen_text": f"SELECT id, {_SAYS} AS line FROM range(500) t(id)",
+    "q_gen_code": f"SELECT id, {_CODE} AS line FROM range(500) t(id)",
+    "q_gen_records": f"SELECT id, {_RECORD} AS line FROM range(500) t(id)",
+    "q_gen_html": f"SELECT id, '<div class=\"c' || {_noise('id', 18, 7)} || '\"><p>' || {_SAYS} || '</p></div>' AS line FROM range(500) t(id)",
+    "q_gen_xml": f"SELECT id, {_XML} AS line FROM range(500) t(id)",
+    "q_gen_halves": f"SELECT id, CAST(s * 32768 + CASE WHEN m = 0 THEN 0 ELSE (floor(log2(m)) + 4) * 1024 + m * pow(2, 10 - floor(log2(m))) END AS INTEGER) AS bits FROM {_HALF}",
+    "q_gen_mixed": f"SELECT printf('mixed/%05d', id) || ['.txt', '.py', '.json', '.xml'][id % 4 + 1] AS path, CASE id % 4 WHEN 0 THEN {_SAYS} WHEN 1 THEN {_CODE} WHEN 2 THEN {_RECORD} ELSE {_XML} END AS content FROM range(200) t(id)",
     "q_gen_wal": "SELECT id * 50 AS lsn, id // 4 AS tx, CAST(id * 7 % 3 AS INTEGER) AS op, md5(CAST(id AS VARCHAR)) AS payload FROM range(2000) t(id)",
     "q_gen_logs": f"SELECT id, '{{\"id\": ' || id || ', \"level\": \"' || ['INFO', 'DEBUG', 'WARN', 'ERROR'][{_noise('id', 1, 4)} + 1] || '\", \"loss\": ' || {_noise('id', 2, 1000)} || ', \"module\": \"m' || {_noise('id', 3, 9)} || '\"}}' AS line FROM range(1000) t(id)",
     "q_gen_csv": f"SELECT id, (id // 100) || ',' || (id % 100) || ',' || {_noise('id', 4, 100000)} || ',' || {_noise('id', 5, 1000)} AS line FROM range(1000) t(id)",
@@ -82,5 +102,5 @@ ORACLE_SQL = {
     "q_gen_grid": "SELECT id % 64 AS x, id // 64 AS y, round(100 + 50 * sin((id % 64) / 16) * cos((id // 64) / 16), 6) AS z FROM range(4096) t(id)",
     "q_gen_weights": f"SELECT id, round(CASE WHEN id % 8 = 0 THEN 0 WHEN id % 8 = 1 THEN 1 ELSE ({_noise('id', 7, 1000)} + {_noise('id', 8, 1000)} + {_noise('id', 9, 1000)} + {_noise('id', 10, 1000)} - 1998) / CAST(20000 AS DOUBLE) END, 9) AS w FROM range(4096) t(id)",
     "q_gen_assets": "SELECT format('tex_{:03d}.raw', id) AS path, repeat(md5(CAST(id % 6 AS VARCHAR)), 128) AS content FROM range(20) t(id)",
-    "q_codec_dispatch": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, true AS back FROM documents",
+    "q_codec_dispatch": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, md5(encode(coalesce(text, ''))) AS md5 FROM documents",
 }

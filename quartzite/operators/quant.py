@@ -125,14 +125,19 @@ def _matvec(s, d):
     return ternary_product(w, inputs).select(F.col("w").alias("vec_id"), F.col("x").alias("input"), F.round("y", 6).alias("y"))
 
 
-def _sparse_matvec(s, d):
-    """Signed sums of the activations that each block's pair names, times the mean size of the weights."""
-    x = _embed(s, d).withColumn("blocks", sparse24(F.col("v"))).withColumn("scale", F.greatest(total(F.transform("v", F.abs)) / F.size("v"), F.lit(1e-8)))
-    act = lambda i: (F.pmod(i * 7, F.lit(11)) - 5).cast("double")
+def sparse24_product(blocks: Column, activations: Column) -> Column:
+    """Signed sum of the activations that each block's pair names: `blocks` as `sparse24` gives them, `activations` an array of doubles as long as the weights."""
     first, second = (F.array(*(F.lit(p[k]) for p in PAIRS)) for k in (0, 1))
     sign = lambda b, k: F.when(F.shiftright(b["signs"], k).bitwiseAND(F.lit(1)) == 1, -1.0).otherwise(1.0)
-    parts = F.transform("blocks", lambda b, g: sign(b, 0) * act(g * 4 + F.get(first, b["combo"])) + sign(b, 1) * act(g * 4 + F.get(second, b["combo"])))
-    return x.select("vec_id", F.round(total(parts) * F.col("scale"), 6).alias("y"))
+    one = lambda b, g, k, place: sign(b, k) * F.get(activations, g * 4 + F.get(place, b["combo"]))
+    return total(F.transform(blocks, lambda b, g: one(b, g, 0, first) + one(b, g, 1, second)))
+
+
+def _sparse_matvec(s, d):
+    """The product with one vector of activations, times the mean size of the weights."""
+    x = _embed(s, d).withColumn("blocks", sparse24(F.col("v"))).withColumn("scale", F.greatest(total(F.transform("v", F.abs)) / F.size("v"), F.lit(1e-8)))
+    act = F.transform(F.sequence(F.lit(0), F.size("v") - 1), lambda i: (F.pmod(i * 7, F.lit(11)) - 5).cast("double"))
+    return x.select("vec_id", F.round(sparse24_product(F.col("blocks"), act) * F.col("scale"), 6).alias("y"))
 
 
 QUERIES = {

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 
 import numpy as np
@@ -113,9 +114,9 @@ def _archive(s, d, solid):
 
 
 def _zips(s, d):
-    items = table(s, d, "benchmark").select("item_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("x"))
-    made = map_bytes(items, "x", lambda x: (zip_of([("model/data/0", x.tobytes()), ("meta.json", b"{}"), ("notes.txt", x.tobytes()[:9])]),), "z binary", ["item_id"])
-    return zip_entries(made, "z", ["item_id"]).select("item_id", "name", "size", "method", "is_tensor", "is_metadata")
+    items = table(s, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("x"))
+    made = map_bytes(items, "x", lambda x: (zip_of([("model/data/0", x.tobytes()), ("meta.json", b"{}"), ("notes.txt", x.tobytes()[:9])]),), "z binary", ["doc_id"])
+    return zip_entries(made, "z", ["doc_id"]).select("doc_id", "name", "size", "method", "is_tensor", "is_metadata")
 
 
 def _encrypted(s, d):
@@ -126,14 +127,14 @@ def _encrypted(s, d):
 
 
 def _wrong_key(s, d):
-    docs = table(s, d, "benchmark").select("item_id", F.encode("text", "UTF-8").alias("x"))
-    return security.decrypt(security.encrypt(docs, "x", "right"), "x", "wrong", strict=False).select("item_id", F.col("x").isNull().alias("refused"))
+    docs = table(s, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("x"))
+    return security.decrypt(security.encrypt(docs, "x", "right"), "x", "wrong", strict=False).select("doc_id", F.col("x").isNull().alias("refused"))
 
 
 def _streamed_blocks(s, d):
     out, check = S.shared_folder(s), S.shared_folder(s)
     S.stream_blocks(S.read_stream(s, f"{d}/documents.parquet"), "doc_id", "text", out, check).awaitTermination()
-    return s.read.parquet(out).select("doc_id", "block_no", "n", "crc", "restored")
+    return s.read.parquet(out).select("doc_id", "block_no", "n", "restored")
 
 
 def _streamed_entropy(s, d):
@@ -171,7 +172,8 @@ QUERIES = {
     "q_codec_sequential": _sequential,
     "q_archive_roundtrip": lambda s, d: _archive(s, d, True),
     "q_archive_files": lambda s, d: _archive(s, d, False),
-    "q_block_stream": lambda s, d: map_bytes(table(s, d, "documents"), "text", lambda x: archive.block_rows(x, 4096), "block_no int, mode int, n long, packed long, crc long, restored boolean", ["doc_id"], many=True).select("doc_id", "block_no", "n", "restored"),
+    "q_block_stream": lambda s, d: map_bytes(table(s, d, "documents"), "text", lambda x: archive.block_rows(x, 4096), "block_no int, mode int, n long, packed long, crc long, restored string", ["doc_id"], many=True).select("doc_id", "block_no", "n", "restored"),
+    "q_block_restore": lambda s, d: map_bytes(spread(table(s, d, "documents").select("doc_id", "text")), "text", lambda x: (len(x), hashlib.md5(archive.unpack_stream(archive.pack_stream(x.tobytes()))).hexdigest()), "n long, md5 string", ["doc_id"]),
     "q_zip_entries": _zips,
     "q_encrypt_roundtrip": _encrypted,
     "q_wrong_key": _wrong_key,
@@ -181,6 +183,7 @@ QUERIES = {
 }
 
 _FILE = "SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, md5(encode(coalesce(text, ''))) AS md5 FROM documents"
+_BLOCKS = "WITH n AS (SELECT doc_id, text, octet_length(encode(coalesce(text, ''))) AS n FROM documents), b AS (SELECT doc_id, text, n, unnest(range((n + {less}) // {size})) AS k FROM n) SELECT doc_id, CAST(k AS INTEGER) AS block_no, CAST(least({size}, n - k * {size}) AS BIGINT) AS n, md5(unhex(substr(hex(encode(text)), k * {hex} + 1, {hex}))) AS restored FROM b"
 _KIND = f"list_value({', '.join(repr(x) for x in _KINDS)})[doc_id % {len(_KINDS)} + 1]"
 ORACLE_SQL = {
     "q_file_order": f"SELECT path, n, CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS place FROM ({_FILE})",
@@ -188,10 +191,12 @@ ORACLE_SQL = {
 SELECT path, CASE WHEN ext IN ('.txt') THEN 2 WHEN ext IN ('.pt', '.safetensors', '.wav', '.jpg') THEN 4 WHEN ext = '.zip' THEN 5 WHEN says THEN 2 ELSE 0 END AS mode, CASE WHEN ext IN ('.pt', '.safetensors') THEN 4 ELSE 1 END AS elem, CAST(CASE WHEN ext IN ('.pt', '.safetensors') THEN (4 - n % 4) % 4 ELSE 0 END AS INTEGER) AS pad, n, md5 FROM f""",
     "q_archive_roundtrip": _FILE,
     "q_archive_files": _FILE,
-    "q_block_stream": "WITH n AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents), b AS (SELECT doc_id, n, unnest(range((n + 4095) // 4096)) AS k FROM n) SELECT doc_id, CAST(k AS INTEGER) AS block_no, CAST(least(4096, n - k * 4096) AS BIGINT) AS n, true AS restored FROM b",
-    "q_zip_entries": "WITH n AS (SELECT item_id, octet_length(encode(coalesce(text, ''))) AS n FROM benchmark) SELECT item_id, unnest(['model/data/0', 'meta.json', 'notes.txt']) AS name, CAST(unnest([n, 2, least(n, 9)]) AS BIGINT) AS size, 0 AS method, unnest([true, false, false]) AS is_tensor, unnest([false, true, false]) AS is_metadata FROM n",
+    "q_block_stream": _BLOCKS.format(size=4096, less=4095, hex=8192),
+    "q_stream_blocks": _BLOCKS.format(size=archive.BLOCK, less=archive.BLOCK - 1, hex=2 * archive.BLOCK),
+    "q_block_restore": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, md5(encode(coalesce(text, ''))) AS md5 FROM documents",
+    "q_zip_entries": "WITH n AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n FROM documents) SELECT doc_id, unnest(['model/data/0', 'meta.json', 'notes.txt']) AS name, CAST(unnest([n, 2, least(n, 9)]) AS BIGINT) AS size, 0 AS method, unnest([true, false, false]) AS is_tensor, unnest([false, true, false]) AS is_metadata FROM n",
     "q_encrypt_roundtrip": "SELECT doc_id, md5(encode(text)) AS md5 FROM documents",
-    "q_wrong_key": "SELECT item_id, true AS refused FROM benchmark",
+    "q_wrong_key": "SELECT doc_id, true AS refused FROM documents",
     "q_stream_entropy": """WITH b AS (SELECT source, CAST('0x' || unnest(regexp_extract_all(hex(encode(text)), '..')) AS INTEGER) AS b FROM documents), c AS (SELECT source, b, count(*) AS n FROM b GROUP BY source, b)
 SELECT source, CAST(sum(n) AS BIGINT) AS total_bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS entropy_bits_per_byte FROM c GROUP BY source""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quartzite.functions import kernels as K
 from quartzite.functions.arrow import map_bytes, spread
-from quartzite.functions.columns import float_bits, ordinal, padding, varint_len, wrap32, zigzag
+from quartzite.functions.columns import float_bits, from_ordinal, ordinal, padding, varint_len, wrap32, zigzag
 from quartzite.operators.entropy import BYTES, FLOATS
 from quartzite.sources.tables import table
 
@@ -119,7 +119,7 @@ QUERIES = {
     "q_block_restore": lambda s, d: (lambda x: restore(x.where("doc_id = first_doc_id and block_no = first_block_no"), x.drop("block")))(_dedup(s, d)).select("doc_id", F.octet_length("value").cast("long").alias("n"), F.md5("value").alias("md5")),
     "q_u32_delta": lambda s, d: _arith(table(s, d, "embeddings")),
     "q_zigzag_varint": lambda s, d: _zigzag(table(s, d, "embeddings")),
-    "q_float_ordinal": lambda s, d: bits_of(table(s, d, "embeddings")).select("vec_id", F.posexplode("u").alias("i", "u")).select("vec_id", F.col("i").cast("long").alias("i"), ordinal(F.col("u")).alias("ordinal")),
+    "q_float_ordinal": lambda s, d: bits_of(table(s, d, "embeddings")).select("vec_id", F.posexplode("u").alias("i", "u")).select("vec_id", F.col("i").cast("long").alias("i"), ordinal(F.col("u")).alias("ordinal"), from_ordinal(ordinal(F.col("u"))).alias("back")),
     "q_deinterleave3": lambda s, d: _axes(table(s, d, "embeddings")),
     "q_bwt": lambda s, d: map_bytes(table(s, d, "benchmark"), "text", _bwt, "n long, primary_index int, last_md5 string, lf_sum long, back_md5 string", ["item_id"]),
     "q_mtf": lambda s, d: transform_digest(table(s, d, "benchmark"), "item_id", "text", mtf_md5=K.mtf, back_md5=lambda x: K.unmtf(K.mtf(x))),
@@ -166,7 +166,7 @@ SELECT doc_id, any_value(n) AS n, {_digest('y')} AS planes_md5, any_value(m) AS
     "q_u32_delta": f"WITH {FLOATS}, l AS (SELECT vec_id, i, CAST(u AS BIGINT) AS u, CAST(lag(u, 1, 0) OVER (PARTITION BY vec_id ORDER BY i) AS BIGINT) AS v FROM f) SELECT vec_id, md5(string_agg(CAST((u - v + 4294967296) % 4294967296 AS VARCHAR), ',' ORDER BY i)) AS delta_md5, md5(string_agg(CAST(xor(u, v) AS VARCHAR), ',' ORDER BY i)) AS xor_md5 FROM l GROUP BY vec_id",
     "q_zigzag_varint": f"""WITH {FLOATS}, l AS (SELECT vec_id, (u - lag(u, 1, 0) OVER (PARTITION BY vec_id ORDER BY i) + 4294967296) % 4294967296 AS w FROM f), z AS (SELECT vec_id, CASE WHEN w >= 2147483648 THEN -2 * (w - 4294967296) - 1 ELSE 2 * w END AS z FROM l)
 SELECT vec_id, CAST(sum(CASE WHEN z < 128 THEN 1 WHEN z < 16384 THEN 2 WHEN z < 2097152 THEN 3 WHEN z < 268435456 THEN 4 ELSE 5 END) AS BIGINT) AS n_bytes, CAST(max(z) AS BIGINT) AS largest FROM z GROUP BY vec_id""",
-    "q_float_ordinal": f"WITH {FLOATS} SELECT vec_id, i, CAST(CASE WHEN u >= 2147483648 THEN 2147483648 - u ELSE u END AS BIGINT) AS ordinal FROM f",
+    "q_float_ordinal": f"WITH {FLOATS} SELECT vec_id, i, CAST(CASE WHEN u >= 2147483648 THEN 2147483648 - u ELSE u END AS BIGINT) AS ordinal, CAST(CASE WHEN u = 2147483648 THEN 0 ELSE u END AS BIGINT) AS back FROM f",
     "q_deinterleave3": f"WITH {FLOATS}, l AS (SELECT vec_id, CAST(i % 3 AS INTEGER) AS axis, i, x, abs(x - lag(x) OVER (PARTITION BY vec_id, i % 3 ORDER BY i)) AS d FROM f) SELECT vec_id, axis, count(*) AS n, round(arg_min(x, i), 6) AS first, round(coalesce(sum(d), 0), 6) AS path FROM l GROUP BY vec_id, axis",
     "q_bwt": """WITH h AS (SELECT item_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n, md5(encode(coalesce(text, ''))) AS m FROM benchmark), r AS (SELECT item_id, i, n, substr(h, 2 * i + 1) || substr(h, 1, 2 * i) AS rot, substr(h, 2 * ((i + n - 1) % n) + 1, 2) AS last FROM (SELECT *, unnest(range(n)) AS i FROM h)),
 o AS (SELECT item_id, i, last, row_number() OVER (PARTITION BY item_id ORDER BY rot, i) - 1 AS k FROM r), l AS (SELECT item_id, i, last, k, row_number() OVER (PARTITION BY item_id ORDER BY last, k) - 1 AS lf FROM o)

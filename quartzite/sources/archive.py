@@ -14,6 +14,7 @@ Codecs compete for every block, or for every file; the smallest result stays, of
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -382,8 +383,8 @@ def unpack_stream(data: bytes) -> bytes:
 
 
 def block_rows(x: np.ndarray, size: int = BLOCK):
-    """(block_no, mode, bytes, packed bytes, crc, restored) of each block."""
+    """(block_no, mode, bytes, packed bytes, crc, MD5 of the restored block) of each block."""
     for i in range(0, len(x), size):
         block = x[i : i + size].tobytes()
         mode, payload = pack_block(block)
-        yield i // size, mode, len(block), len(payload), K.crc32c(x[i : i + size]), unpack_block(mode, payload) == block
+        yield i // size, mode, len(block), len(payload), K.crc32c(x[i : i + size]), hashlib.md5(unpack_block(mode, payload)).hexdigest()

@@ -52,3 +52,64 @@ def weights(spark: SparkSession, n: int) -> DataFrame:
 def assets(spark: SparkSession, n: int, distinct: int) -> DataFrame:
     """Files of which only `distinct` differ."""
     return spark.range(n).select(F.format_string("tex_%03d.raw", F.col("id")).alias("path"), F.repeat(F.md5(F.pmod("id", F.lit(distinct)).cast("string")), 128).alias("content"))
+
+
+#: Words of generated prose.
+WORDS = ("river", "stone", "amber", "field", "quiet", "morning", "letter", "window", "garden", "copper", "silver", "winter", "harbor", "lantern", "meadow", "paper")
+
+
+def _says(i: Column) -> Column:
+    """Twelve words."""
+    word = lambda k: F.element_at(F.array(*map(F.lit, WORDS)), (noise(i * 12 + k, 11, len(WORDS)) + 1).cast("int"))
+    return F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(11)), word))
+
+
+def _code(i: Column) -> Column:
+    return F.concat(F.lit("def f"), i.cast("string"), F.lit("(x):\n    return x * "), noise(i, 12, 97).cast("string"), F.lit(" + "), noise(i, 13, 1000).cast("string"), F.lit("\n"))
+
+
+def _record(i: Column) -> Column:
+    return F.format_string('{"id": %d, "name": "user%d", "score": %d, "tags": ["t%d", "t%d"]}', i, noise(i, 14, 500), noise(i, 15, 100), noise(i, 16, 9), noise(i, 17, 9))
+
+
+def _xml(i: Column) -> Column:
+    return F.format_string('<row id="%d"><v>%d</v></row>', i, noise(i, 19, 10_000))
+
+
+def text(spark: SparkSession, n: int) -> DataFrame:
+    """Lines of prose."""
+    return spark.range(n).select("id", _says(F.col("id")).alias("line"))
+
+
+def code(spark: SparkSession, n: int) -> DataFrame:
+    """Small functions."""
+    return spark.range(n).select("id", _code(F.col("id")).alias("line"))
+
+
+def records(spark: SparkSession, n: int) -> DataFrame:
+    """JSON records."""
+    return spark.range(n).select("id", _record(F.col("id")).alias("line"))
+
+
+def html(spark: SparkSession, n: int) -> DataFrame:
+    """Paragraphs of a page."""
+    return spark.range(n).select("id", F.format_string('<div class="c%d"><p>%s</p></div>', noise(F.col("id"), 18, 7), _says(F.col("id"))).alias("line"))
+
+
+def xml(spark: SparkSession, n: int) -> DataFrame:
+    """Rows of a document."""
+    return spark.range(n).select("id", _xml(F.col("id")).alias("line"))
+
+
+def halves(spark: SparkSession, n: int) -> DataFrame:
+    """Bits of half-precision floats: multiples of 1/1024 under 2, of both signs."""
+    m, sign = noise(F.col("id"), 20, 2048), noise(F.col("id"), 21, 2)
+    e = F.floor(F.log2(m))
+    return spark.range(n).select("id", (sign * 32_768 + F.when(m == 0, 0).otherwise((e + 4) * 1024 + m * F.pow(F.lit(2.0), 10 - e))).cast("int").alias("bits"))
+
+
+def mixed(spark: SparkSession, n: int) -> DataFrame:
+    """Files of several kinds."""
+    i, kind = F.col("id"), F.pmod("id", F.lit(4))
+    path = F.concat(F.format_string("mixed/%05d", i), F.element_at(F.array(*map(F.lit, (".txt", ".py", ".json", ".xml"))), (kind + 1).cast("int")))
+    return spark.range(n).select(path.alias("path"), F.when(kind == 0, _says(i)).when(kind == 1, _code(i)).when(kind == 2, _record(i)).otherwise(_xml(i)).alias("content"))

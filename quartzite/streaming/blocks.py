@@ -31,7 +31,7 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_blocks(stream: DataFrame, id_col: str, col: str, out: str, checkpoint: str):
     """Blocks of every row, as they come; the file sink commits each micro-batch once."""
-    blocks = map_bytes(stream, col, block_rows, "block_no int, mode int, n long, packed long, crc long, restored boolean", [id_col], many=True)
+    blocks = map_bytes(stream, col, block_rows, "block_no int, mode int, n long, packed long, crc long, restored string", [id_col], many=True)
     return blocks.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
