@@ -219,10 +219,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     found = materialize(tiles.repartition(width(spark), "tile").sortWithinPartitions("tile").mapInArrow(partial(_compare, cosine=cosine), "a long, b long, links long"), "links")
     drop(spark, *paths)
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("far"))
-    comp = components(found.where("b is not null"))
+    # a node is (smallest id, vector), so that a component's smallest node has its smallest id
+    node = lambda x: same.select(F.col("rep").alias(x), F.struct("low", "rep").alias(f"n{x}"))
+    edges = found.where("b is not null").select("a", "b").join(node("a"), "a").join(node("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    comp = components(edges).select(F.col("node.rep").alias("node"), F.col("component.low").alias("least"))
     reps = same.join(links, same.rep == links.a, "left").join(comp, same.rep == comp.node, "left")
-    low = comp.join(same.select(F.col("rep").alias("r"), "low"), F.col("node") == F.col("r")).groupBy("component").agg(F.min("low").alias("least")).withColumnRenamed("component", "of")
-    reps = reps.join(low, F.col("component") == F.col("of"), "left")
     reps = reps.select(F.col("label").alias("l"), F.col("unit").alias("u"), (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least", "low").alias("component_id"))
     some = good.join(reps, (good.label == reps.l) & (good.unit == reps.u)).select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     rest = unit.where("unit is null or id is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
