@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quartzite-{name}-{uuid.uuid4().hex}"
 
 
+_collectors: list[list[str]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of all tables that `materialize` writes meanwhile."""
+    paths: list[str] = []
+    _collectors.append(paths)
+    try:
+        yield paths
+    finally:
+        _collectors.remove(paths)
+
+
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here and lost executors recompute nothing above.
 
@@ -27,6 +43,8 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or new_path(spark, name)
     schema = df.schema
+    for paths in _collectors:
+        paths.append(path)
     df.write.parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)  # what `drop` leaves goes with the session

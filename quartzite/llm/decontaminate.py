@@ -27,17 +27,22 @@ NO_ITEM = int(np.iinfo(np.int64).min)
 INDEX = "segment string, ids binary, words binary, terms binary, counts binary, positions binary"
 
 
+def _blob(x: np.ndarray) -> pa.Array:
+    """One binary value, without a copy."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes], np.int32)), pa.py_buffer(x)])
+
+
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, made = TaskContext.get().partitionId(), 0
     ids, words, terms, size = [], [], [], 0
 
     def segment() -> pa.RecordBatch:
-        h = np.concatenate(terms)
-        order = np.argsort(h, kind="stable")  # positions of a term stay ascending
+        h = np.concatenate(terms) if len(terms) > 1 else terms[0]
+        order = np.argsort(h, kind="stable").astype(np.uint32)  # positions of a term stay ascending
         s = h[order]
         at = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        values = (np.concatenate(ids).tobytes(), np.concatenate(words).tobytes(), s[at].tobytes(), np.diff(np.append(at, len(s))).astype(np.uint32).tobytes(), order.astype(np.uint32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([f"{part}-{made}"]), *(pa.array([v], pa.binary()) for v in values)], ["segment", "ids", "words", "terms", "counts", "positions"])
+        values = (np.concatenate(ids), np.concatenate(words), s[at], np.diff(np.append(at, len(s))).astype(np.uint32), order)
+        return pa.RecordBatch.from_arrays([pa.array([f"{part}-{made}"]), *map(_blob, values)], ["segment", "ids", "words", "terms", "counts", "positions"])
 
     for batch in batches:
         for i, j, raw, offs in text_chunks(batch.column(1)):

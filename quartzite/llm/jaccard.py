@@ -42,7 +42,9 @@ SENT_GROUPS, SALTS = 200_000, 32
 #: A shingle in this share of all documents (and in MIN_HEAVY at least) doesn't make a part telling.
 HEAVY_SHARE, MIN_HEAVY, MAX_HEAVY = 0.005, 64, 1 << 20
 #: Signatures that one bucket may hold.
-BUCKET_ROWS = 2 << 20
+BUCKET_ROWS = 1 << 20
+#: Members that one task compares, about.
+DEALT_ROWS = 1 << 17
 LINK = "a long, b long, ra long, rb long"
 
 
@@ -77,11 +79,17 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, np.ndarra
         yield ids.slice(i, j - i), *shingle_sets(raw, offs, k)
 
 
+#: Shingles of one document that are worked on at once.
+SLICE = 1 << 18
+
+
 def _class(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The id of each document's set: equal sets, equal ids."""
     out = np.zeros(len(n), np.uint64)
     has = n > 0
-    if has.any():
+    if len(n) == 1:
+        out[0] = sum((int(mix(h[i : i + SLICE] + U(0x1234567)).sum(dtype=np.uint64)) for i in range(0, len(h), SLICE)), 0) & (1 << 64) - 1
+    elif has.any():
         out[has] = np.add.reduceat(mix(h + U(0x1234567)), first[has])
     return mix(out + n.astype(np.uint64)).view(np.int64)
 
@@ -100,12 +108,16 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
         for ids, h, doc in _sets(batch, k):
             n = np.bincount(doc, minlength=len(ids))
             first = np.cumsum(n) - n
-            bits = np.bincount(doc * SKETCH_BITS + (h & U(SKETCH_BITS - 1)).astype(np.int64), minlength=len(ids) * SKETCH_BITS) & 1
+            bits = np.zeros(len(ids) * SKETCH_BITS, np.int64)
+            for i in range(0, len(h), SLICE):
+                bits += np.bincount(doc[i : i + SLICE] * SKETCH_BITS + (h[i : i + SLICE] & U(SKETCH_BITS - 1)).astype(np.int64), minlength=len(bits))
+            bits &= 1
             packed = np.packbits(bits.astype(bool)).tobytes()
             w = SKETCH_BITS // 8
             yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(_class(h, first, n)), pa.array([packed[i * w : i * w + w] for i in range(len(ids))], pa.binary())], ["id", "n", "cls", "sketch"])
-            held.append(h)
-            n_docs += len(ids)
+            if len(h) < 1 << 19 or len(ids) > 1:  # one set has no shingle twice
+                held.append(h)
+                n_docs += len(ids)
             if sum(map(len, held)) > 1 << 19:
                 yield from frequent()
                 held, n_docs = [], 0
@@ -136,13 +148,30 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy,
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[c] for r in rows], pa.binary()) for c in (1, 2, 3, 4)], ["bucket", "keys", "idx", "classes", "sizes"])
 
     size = 0
+
+    def hold(band: np.ndarray, p: np.ndarray, value: np.ndarray, cls: np.ndarray, n: np.ndarray) -> None:
+        nonlocal size
+        key = mix(value ^ mix((band.astype(np.uint64) << U(40)) + p.astype(np.uint64)))
+        ranges, subs = layout["ranges"][band], layout["subs"][band].astype(np.uint64)
+        bucket = layout["base"][band] + (p * ranges // bands.m[band]) * layout["subs"][band] + (key % subs).astype(np.int64)
+        held.append((bucket, key, cls, n))
+        size += len(key)
+
     for batch in batches:
         for ids, h, doc in _sets(batch, k):
             n = np.bincount(doc, minlength=len(ids))
             cls = _class(h, np.cumsum(n) - n, n)
-            light = ~np.isin(h, heavy) if len(heavy) else np.ones(len(h), bool)
             own = bands.of(np.maximum(n, 1))
             up = bands.of(np.maximum(n * bands.den // bands.num, 1))
+            if len(ids) == 1 and len(h) > SLICE:
+                del doc
+                for band in range(int(own[0]), min(int(own[0]) + 1, int(up[0])) + 1):
+                    for p, value in _long_parts(h, band, bands, heavy):
+                        hold(np.full(len(p), band), p, value, np.full(len(p), cls[0]), np.full(len(p), n[0]))
+                        yield from flush()
+                        held, size = [], 0
+                continue
+            light = ~np.isin(h, heavy) if len(heavy) else np.ones(len(h), bool)
             for lift in (0, 1):
                 docs = np.flatnonzero((n > 0) & (own + lift <= up))
                 if not len(docs):
@@ -167,12 +196,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy,
                     every = np.concatenate([np.arange(base[q], base[q] + m[q]) for q in np.flatnonzero(bad)])
                     empty = every[~np.isin(every, slot[at])]
                     s, v, who = np.concatenate([s, empty]), np.concatenate([v, np.zeros(len(empty), np.uint64)]), np.concatenate([who, np.searchsorted(base, empty, side="right") - 1])
-                p, b = s - base[who], band[who]
-                key = mix(v ^ mix((b.astype(np.uint64) << U(40)) + p.astype(np.uint64)))
-                ranges, subs = layout["ranges"][b], layout["subs"][b].astype(np.uint64)
-                bucket = layout["base"][b] + (p * ranges // bands.m[b]) * layout["subs"][b] + (key % subs).astype(np.int64)
-                held.append((bucket, key, cls[docs][who], n[docs][who]))
-                size += len(key)
+                hold(band[who], s - base[who], v, cls[docs][who], n[docs][who])
             if size > 1 << 19:
                 yield from flush()
                 held, size = [], 0
@@ -180,6 +204,34 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, bands: Bands, heavy,
         yield from flush()
 
 
+def _long_parts(h: np.ndarray, band: int, bands: Bands, heavy: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(parts, values) that one very large set publishes, a slice of its shingles after the other; slices end where a part ends."""
+    m = int(bands.m[band])
+    # the smallest shingle of each slice's first part
+    first = [-(-(p << 48) // m) << 16 for p in range(0, m, max(1, m * SLICE // len(h)))]
+    cuts = [*np.searchsorted(h, np.array(first, np.uint64)).tolist(), len(h)]
+    ends = [*((c >> 16) * m >> 48 for c in first[1:]), m]
+
+    def slices() -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        low = 0
+        for i, j, end in zip(cuts[:-1], cuts[1:], ends, strict=True):
+            x = h[i:j]
+            part = (((x >> U(16)) * U(m)) >> U(48)).astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(x) else np.zeros(0, np.int64)
+            light = ~np.isin(x, heavy) if len(heavy) else np.ones(len(x), bool)
+            yield low, end, part[at], np.bitwise_xor.reduceat(mix(x), at) if len(at) else np.zeros(0, np.uint64), np.logical_or.reduceat(light, at) if len(at) else np.zeros(0, bool)
+            low = end
+
+    bad = m - sum(int(t.sum()) for *_, t in slices()) > bands.spare(np.array([len(h)]), np.array([band]))[0]
+    for low, end, part, value, telling in slices():
+        if bad:  # all parts, the empty ones, too
+            every = np.zeros(end - low, np.uint64)
+            every[part - low] = value
+            yield np.arange(low, end), every
+        else:
+            yield part[telling], value[telling]
+
+
 def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """(a, b, False) for candidates whose sizes allow a link, (key, class, True) for the members of groups that went through leaders."""
     order = np.argsort(key)
@@ -199,7 +251,8 @@ def _pairs(key: np.ndarray, cls: np.ndarray, n: np.ndarray, num: int, den: int)
     a, b = [], []
 
     def allow(x: np.ndarray, y: np.ndarray) -> None:
-        fits = np.minimum(n[x], n[y]) * den >= np.maximum(n[x], n[y]) * num
+        p, q = n[x].astype(np.int64), n[y].astype(np.int64)
+        fits = np.minimum(p, q) * den >= np.maximum(p, q) * num
         a.append(cls[x[fits]])
         b.append(cls[y[fits]])
 
@@ -230,7 +283,7 @@ def _meet(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.
         for bucket, keys, idx, classes, sizes in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             own = np.frombuffer(classes, np.int64)
             idx = np.frombuffer(idx, np.uint32 if len(own) > 65536 else np.uint16)
-            held.setdefault(bucket, []).append((np.frombuffer(keys, np.uint64), own[idx], np.frombuffer(sizes, np.uint32)[idx].astype(np.int64)))
+            held.setdefault(bucket, []).append((np.frombuffer(keys, np.uint64), own[idx], np.frombuffer(sizes, np.uint32)[idx]))
     for bucket in list(held):
         key, cls, n = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
         for a, b, member in _pairs(key, cls, n, num, den):
@@ -452,7 +505,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return cut.select("key", "cell", "blk", "cls", "n", "at", "sketch")
 
     def dealt(cut: DataFrame, rows: int) -> DataFrame:
-        parts = max(width(spark), -(-rows // (BUCKET_ROWS // 16)))
+        parts = max(width(spark), -(-rows // DEALT_ROWS))
         return cut.repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
 
     def merged(links: DataFrame) -> DataFrame:

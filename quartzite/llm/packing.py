@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import bisect
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -170,18 +171,32 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _cut(parts: Iterable[np.ndarray], capacity: int) -> Iterator[np.ndarray]:
+    """The ids of `parts` and a final END_ID in pieces of `capacity`, the last may be shorter."""
+    held = np.zeros(0, "<u4")
+    for ids in chain(parts, (np.array([END_ID]),)):
+        held = np.concatenate([held, ids.astype("<u4")])
+        full = len(held) // capacity * capacity
+        for at in range(0, full, capacity):
+            yield held[at : at + capacity]
+        held = held[full:]
+    if len(held):
+        yield held
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    names, types = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    width_ = 6 if keep_ids else 5
     for batch in batches:
         for i, docs in encoded(batch.column(1), path):
             out: list[list] = [[] for _ in range(6)]
             own = batch.column(0).slice(i, len(docs)).to_pylist()
-            for doc, ids in zip(own, docs, strict=True):
-                ids = np.append(ids, END_ID).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity].tobytes()
-                    for c, v in zip(out, (doc, k, start, len(part) // 4, zlib.crc32(part), part), strict=True):
+            for doc, parts in zip(own, docs, strict=True):
+                for k, ids in enumerate(_cut(parts, capacity)):
+                    part = ids.tobytes()
+                    for c, v in zip(out, (doc, k, k * capacity, len(ids), zlib.crc32(part), part if keep_ids else None), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)][: 6 if keep_ids else 5], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if keep_ids else 5])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out[:width_], types[:width_], strict=True)], names[:width_])
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

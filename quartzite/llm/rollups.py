@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quartzite.llm.common import arrow_batches, new_path
-from quartzite.llm.scan import NON_SPACE, spans, text_chunks
+from quartzite.llm.scan import NON_SPACE, pieces, spans, text_chunks
 from quartzite.llm.tokens import vocabulary, word_bpe
 
 #: In a base folder: its sums, and the names of the batches in them.
@@ -35,6 +35,8 @@ VERSIONS = ("word_bpe_49k.json", "blank_words")
 
 def count_tokens(raw: np.ndarray, offs: np.ndarray, version: str, path: str | None) -> np.ndarray:
     if version == "blank_words":
+        if len(offs) == 2:  # one text, of any length
+            return np.array([sum(len(spans(raw[a:b], np.array([0, b - a]), NON_SPACE)[0]) for a, b in pieces(raw, NON_SPACE))])
         return np.bincount(spans(raw, offs, NON_SPACE)[2], minlength=len(offs) - 1).astype(np.int64)
     return word_bpe(path).counts(raw, offs)
 

@@ -8,7 +8,7 @@ character outside ASCII and the Latin letters of U+00C0..U+017F, or with a contr
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -173,7 +173,14 @@ class WordBPE:
     def encode(self, raw: np.ndarray, offs: np.ndarray, whole: bool = False) -> list[np.ndarray]:
         """Ids of each document."""
         if len(offs) == 2 and len(raw) > 2 * CHUNK and not whole:
-            return [np.concatenate([self.encode(raw[a:b], np.array([0, b - a]), True)[0] for a, b in pieces(raw, NON_SPACE, CHUNK)])]
+            out, n = np.empty(len(raw) // 4, np.int32), 0
+            for a, b in pieces(raw, NON_SPACE, CHUNK):
+                ids = self.encode(raw[a:b], np.array([0, b - a]), True)[0]
+                if n + len(ids) > len(out):
+                    out.resize(n + len(ids) + len(out) // 4, refcheck=False)
+                out[n : n + len(ids)] = ids
+                n += len(ids)
+            return [out[:n]]
         at, doc, ok = self.words(raw, offs)
         n = self.count[at]
         first = np.cumsum(n) - n
@@ -195,8 +202,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoded(batch_col: pa.Array, path: str) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first row, ids of each row) of runs of rows."""
+def encoded(batch_col: pa.Array, path: str) -> Iterator[tuple[int, list[Iterable[np.ndarray]]]]:
+    """(first row, ids of each row in one or more parts) of runs of rows; a very long text is encoded as its parts are asked for."""
     bpe = word_bpe(path)
     for i, _, raw, offs in text_chunks(batch_col):
-        yield i, bpe.encode(raw, offs)
+        if len(offs) == 2 and len(raw) > 2 * CHUNK:
+            yield i, [(bpe.encode(raw[a:b], np.array([0, b - a]), True)[0] for a, b in pieces(raw, NON_SPACE, CHUNK))]
+        else:
+            yield i, [(ids,) for ids in bpe.encode(raw, offs)]

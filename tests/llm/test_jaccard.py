@@ -128,3 +128,42 @@ def test_an_id_with_several_texts_and_unlike_words_of_one_linear_hash(spark):
     rows = [(5, a), (5, b), (2, a + " tail"), (3, b + " tail"), (8, thue), (9, other)]
     out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id, r.component_id) for r in out.collect()) == [(2, 2), (3, 3), (5, 2), (5, 3), (8, 8), (9, 9)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.97])
+def test_a_very_large_set_publishes_the_same_parts(monkeypatch, share):
+    import pyarrow as pa
+
+    class Heavy:
+        pass
+
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 3000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])
+    (_, h, _), *_ = jaccard._sets(batch, 5)
+    sent = Heavy()
+    sent.value = np.sort(rng.choice(h, int(share * len(h)), replace=False))
+    bands = jaccard.Bands(80, 100)
+    layout = {"ranges": np.minimum(7, bands.m), "subs": np.full(len(bands.m), 2), "base": np.arange(len(bands.m)) * 14}
+
+    def rows():
+        out = []
+        for b in jaccard._signatures(iter([batch]), 5, bands, sent, layout):
+            for bucket, keys, classes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True):
+                out += [(bucket, k, classes) for k in np.frombuffer(keys, np.uint64).tolist()]
+        return sorted(out)
+
+    whole = rows()
+    monkeypatch.setattr(jaccard, "SLICE", 200)
+    assert rows() == whole and len(whole) > 300
+
+
+def test_sketch_and_class_do_not_depend_on_slices(monkeypatch):
+    import pyarrow as pa
+
+    text = " ".join(f"w{i * i % 977}" for i in range(2000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "a b c d e f"])], ["id", "text"])
+    one = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["id", "text"])
+    full = [r for b in jaccard._profile(iter([batch]), 5) for r in b.to_pylist() if r["sketch"]]
+    monkeypatch.setattr(jaccard, "SLICE", 100)
+    assert [r for b in jaccard._profile(iter([one]), 5) for r in b.to_pylist() if r["sketch"]] == full[:1]

@@ -15,7 +15,7 @@ def expect(texts):
 
 
 def got(texts):
-    return [x.tolist() for _, part in encoded(pa.array(texts, pa.string()), PATH) for x in part]
+    return [[i for ids in x for i in ids.tolist()] for _, part in encoded(pa.array(texts, pa.string()), PATH) for x in part]
 
 
 def test_equals_the_tokenizer():
@@ -37,3 +37,13 @@ def test_counts_and_cache_limit(monkeypatch):
         assert word_bpe(PATH).counts(raw, offs).tolist() == [len(x) for x in expect(TEXTS)]
     assert got(TEXTS) == expect(TEXTS)
     assert np.iinfo(np.int32).max > 49_408
+
+
+def test_two_words_of_one_linear_hash_and_a_very_long_text():
+    thue = "a"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    both = f"{thue} {thue.translate(str.maketrans('ab', 'ba'))}"
+    assert got([both]) == expect([both])
+    long = "Some words, it's 12 more; été\n" * 60_000 + "<|endoftext|> 中文"
+    assert got([long]) == expect([long])
