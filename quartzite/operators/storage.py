@@ -93,6 +93,12 @@ def _modes(s, d):
     return archive.read_archive(s, path).select("path", "mode", "elem", "pad", F.octet_length("content").cast("long").alias("n"), F.md5("content").alias("md5"))
 
 
+def _restored(x: np.ndarray):
+    """What every codec gives back."""
+    for name, (pack, unpack) in X.CODECS.items():
+        yield name, len(x), hashlib.md5(unpack(pack(x.tobytes()))).hexdigest()
+
+
 def _best(s, d):
     return winner(codec_trials(table(s, d, "benchmark"), "item_id", "text", tuple(X.CODECS)), ["item_id"], F.col("size"), F.col("ord"))
 
@@ -162,6 +168,7 @@ QUERIES = {
     "q_scan_files": lambda s, d: scan(s, d).select("relative", F.col("length").cast("long").alias("length")),
     "q_codec_trials": _trials,
     "q_codec_best": _best,
+    "q_codec_restore": lambda s, d: map_bytes(spread(table(s, d, "benchmark").select("item_id", "text")), "text", _restored, "codec string, n long, md5 string", ["item_id"], many=True),
     "q_float_trials": _float_trials,
     "q_tournament": lambda s, d: winner(_measured(s, d), ["doc_id"], F.col("size"), F.col("ord")),
     "q_codec_totals": lambda s, d: codec_totals(_measured(s, d)),
@@ -186,6 +193,7 @@ _FILE = "SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, CAST
 _BLOCKS = "WITH n AS (SELECT doc_id, text, octet_length(encode(coalesce(text, ''))) AS n FROM documents), b AS (SELECT doc_id, text, n, unnest(range((n + {less}) // {size})) AS k FROM n) SELECT doc_id, CAST(k AS INTEGER) AS block_no, CAST(least({size}, n - k * {size}) AS BIGINT) AS n, md5(unhex(substr(hex(encode(text)), k * {hex} + 1, {hex}))) AS restored FROM b"
 _KIND = f"list_value({', '.join(repr(x) for x in _KINDS)})[doc_id % {len(_KINDS)} + 1]"
 ORACLE_SQL = {
+    "q_codec_restore": f"SELECT item_id, unnest({list(X.CODECS)!r}) AS codec, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, md5(encode(coalesce(text, ''))) AS md5 FROM benchmark",
     "q_file_order": f"SELECT path, n, CAST(row_number() OVER (ORDER BY path) - 1 AS BIGINT) AS place FROM ({_FILE})",
     "q_archive_modes": f"""WITH f AS (SELECT 'f/' || CAST(doc_id AS VARCHAR) || {_KIND} AS path, {_KIND} AS ext, coalesce(text <> '' AND {_SHARE} > {TEXT_SHARE}, false) AS says, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n, md5(encode(coalesce(text, ''))) AS md5 FROM documents)
 SELECT path, CASE WHEN ext IN ('.txt') THEN 2 WHEN ext IN ('.pt', '.safetensors', '.wav', '.jpg') THEN 4 WHEN ext = '.zip' THEN 5 WHEN says THEN 2 ELSE 0 END AS mode, CASE WHEN ext IN ('.pt', '.safetensors') THEN 4 ELSE 1 END AS elem, CAST(CASE WHEN ext IN ('.pt', '.safetensors') THEN (4 - n % 4) % 4 ELSE 0 END AS INTEGER) AS pad, n, md5 FROM f""",

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quartzite.functions import kernels as K
 from quartzite.functions import words as W
-from quartzite.functions.arrow import bound_batches
+from quartzite.functions.arrow import bound_batches, spread
 from quartzite.functions.codecs import LIBRARY, pack_block, pack_sorted, train_dictionary, unpack_block, unpack_sorted, zstd
 from quartzite.plans import route as R
 
@@ -288,17 +288,10 @@ def _unpack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["path", "mode", "elem", "pad", "content"])
 
 
-def dealt(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """`files` in as many partitions as there are cores, or containers' worth of bytes if more: one large input file is not one task."""
-    total = files.agg(F.sum(F.octet_length(content_col))).first()[0] or 0
-    want = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // PART_BYTES))
-    return files.repartition(want) if files.rdd.getNumPartitions() < want else files
-
-
 def packed_rows(files: DataFrame, settings: Settings | bool = True, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """(part, n_files, n_bytes, archive): containers of (path, content) rows.  Null contents are empty files; unsafe paths are an error."""
     bound_batches(files)
-    src = dealt(files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).cast("binary").alias("content")))
+    src = spread(files.select(F.col(path_col).cast("string").alias("path"), F.col(content_col).cast("binary").alias("content")))
     return src.mapInArrow(partial(_pack_rows, settings=settings), "part string, n_files long, n_bytes long, archive binary")
 
 
@@ -309,8 +302,7 @@ def write_archive(files: DataFrame, path: str, settings: Settings | bool = True,
 
 def unpacked_rows(archives: DataFrame) -> DataFrame:
     """(path, mode, elem, pad, content) of the one column of `archives`; a damaged container is an error."""
-    cores = archives.sparkSession.sparkContext.defaultParallelism
-    return (archives.repartition(cores) if archives.rdd.getNumPartitions() < cores else archives).mapInArrow(_unpack_rows, ENTRY)
+    return spread(archives).mapInArrow(_unpack_rows, ENTRY)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
