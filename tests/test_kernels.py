@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from quartzite.functions import codecs as X
 from quartzite.functions import kernels as K
-from quartzite.operators import context, text, transforms
+from quartzite.operators import context, text
 
 EDGES = [b"", b"B", b"\xde\xad", b"\0" * 3000, b"\xff" * 1000, b"\xaa\x55" * 500, bytes(range(256)) * 3, np.random.default_rng(42).integers(0, 256, 5000, dtype=np.uint8).tobytes(), "中文😀é".encode() * 50, b"XYZ!" * 300, b"abc" * 21 + b"\0\0\0\0x\0"]
 data = st.binary(max_size=600) | st.lists(st.sampled_from([0, 0, 0, 1, 255]), max_size=700).map(bytes)
@@ -116,3 +116,16 @@ def test_a_changed_payload_is_noticed():
     y = X.pack_block(b"hello world" * 100)
     with pytest.raises(ValueError):
         X.unpack_block(2, y[1])
+
+
+@given(st.lists(st.floats(width=32), max_size=30))
+def test_ordinals_keep_the_order_and_come_back(values):
+    x = np.array(values, "<f4")
+    raw = x.view(np.uint8)
+    n = K.ordinal(raw).view("<i4")
+    real = ~np.isnan(x)
+    a, b = x[real], n[real]
+    assert ((a[1:] > a[:-1]) == (b[1:] > b[:-1])).all() and ((a[1:] < a[:-1]) == (b[1:] < b[:-1])).all()
+    back = K.unordinal(n.view(np.uint8)).view("<u4")
+    assert (back == np.where(x.view("<u4") == 0x80000000, 0, x.view("<u4"))).all()
+    assert K.byte_swap(K.byte_swap(raw)).tobytes() == raw.tobytes() and K.byte_swap(raw).tobytes() == x.astype(">f4").tobytes()
