@@ -469,12 +469,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         used.update({n: used.get(n, [])[len(used.get(n, [])) - but :] for n in names})
 
     met = table(signs.repartitionById(max(1, int(count.sum())), F.col("bucket")).mapInArrow(partial(_meet, num=num, den=den), "a long, b long, member boolean"), "met")
+    done()  # the shuffle of the signatures is large
 
     def sets_of(nodes: DataFrame, name: str = "sets") -> DataFrame:
         """(cls, shingles) of the classes `nodes`, from the texts of their representatives."""
-        ids = classes.join(nodes.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("id")).distinct()
-        # a sort-merge join at every size: what it moves follows the input
-        return table(src.join(ids.hint("merge"), "id", "left_semi").mapInArrow(partial(_shingles, k=k), "cls long, shingles binary").dropDuplicates(["cls"]), name)
+        # written first, so that Spark knows its size when it chooses the join
+        ids = table(classes.join(nodes.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("id")).distinct(), "ids")
+        return table(src.join(ids, "id", "left_semi").mapInArrow(partial(_shingles, k=k), "cls long, shingles binary").dropDuplicates(["cls"]), name)
 
     def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Of candidate pairs of classes (a, b), those that hold, with their representatives: (a, b, ra, rb)."""
@@ -485,7 +486,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = sets_of(thin.select(F.col("a").alias("cls")).unionByName(thin.select(F.col("b").alias("cls"))))
         set_of = lambda x: sets.select(F.col("cls").alias(x), F.col("shingles").alias(f"s{x}"))
         out = table(thin.join(set_of("a"), "a").join(set_of("b"), "b").select("a", "b", "ra", "rb", "sa", "sb").mapInArrow(partial(_verify, num=num, den=den), LINK), "links")
-        done("pairs", "sets")
+        done("pairs", "sets", "ids")
         return out
 
     # a node is (representative, class): its component's smallest node has the smallest id, and repeated ids stay apart
@@ -555,7 +556,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             comp = merged(found.join(rep("a"), "a").join(rep("b"), "b"))
             done("links")
             done("comp", but=1)
-    done("met", "members", "mixed", "near", "own")
+    done("met", "members", "mixed", "near", "own", "ids")
     found = comp.select(F.col("node.cls").alias("cls"), F.col("component.rep").alias("component_id"))
     found = classes.select("cls", "rep").join(found, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     full = per_doc.where("n > 0").select("id", "n", "cls").join(found, "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
