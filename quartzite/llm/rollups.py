@@ -158,15 +158,21 @@ class TokenRollup:
         return bool(fresh)
 
 
+#: The language whose texts `op5_token_counts` revises.
+REVISED = "es"
+
+
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Counts of all documents, by way of an earlier state: English texts ended in a draft mark, and were revised later.
+    """Counts of all documents, by way of an earlier state: Spanish texts ended in a draft mark, and were revised later.
 
     The first batch inserts that state, the second deletes and inserts what has changed, and the first is committed once more, to no effect.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = docs.withColumn("text", F.when(F.col("lang") == "en", F.concat("text", F.lit(" (draft)"))).otherwise(F.col("text")))
+    draft = lambda d: d.withColumn("text", F.concat("text", F.lit(" (draft)")))
+    mine = F.coalesce(F.col("lang") == REVISED, F.lit(False))
+    before = docs.withColumn("text", F.when(mine, F.concat("text", F.lit(" (draft)"))).otherwise(F.col("text")))
     rollup = TokenRollup(spark, new_path(spark, "rollup"))
     rollup.commit("drafts", token_changes(before))
-    rollup.commit("revised", revisions(before, docs))
+    rollup.commit("revised", revisions(draft(docs.where(mine)), docs.where(mine)))
     rollup.commit("drafts", token_changes(before))
     return rollup.totals()

@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from quartzite.llm import rollups
 from quartzite.llm.rollups import TokenRollup, op5_token_counts, revisions, token_changes
 from quartzite.llm.tokens import vocabulary, word_bpe
 
@@ -85,7 +86,8 @@ def test_revisions_count_only_what_changed(spark):
     assert {r.sign for r in revisions(more, old).collect()} == {-2}
 
 
-def test_query_equals_counting_every_document(spark, tmp_path):
+def test_query_equals_counting_every_document(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(rollups, "REVISED", "en")
     docs = [r[:4] for r in ROWS]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     rows = op5_token_counts(spark, str(tmp_path)).collect()
