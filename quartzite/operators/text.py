@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import partial
 from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quartzite.functions import columns as C
 from quartzite.functions import words as W
-from quartzite.functions.arrow import map_batches, map_bytes, spread
+from quartzite.functions.arrow import bound_batches, map_batches, map_bytes, spread
 from quartzite.functions.kernels import crc32c_rows
 from quartzite.plans import route as R
 from quartzite.sources.tables import table
@@ -46,12 +50,28 @@ def token_bytes(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id").agg(F.sum("n").alias("n_parts"), F.sum(known).alias("n_tokens"), F.sum(size * F.col("n")).alias("packed_bytes"))
 
 
-def detokenize(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Texts from token ids and kinds, literals as they are."""
-    got = tokens.select("doc_id", "pos", "id", "kind", F.when(F.col("kind").isNull(), F.col("part")).alias("literal")).join(F.broadcast(vocab), "id", "left")
-    word = F.when(F.col("kind") == 0, F.col("word")).when(F.col("kind") == 1, F.upper("word")).when(F.col("kind") == 2, F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1 << 30)))
-    got = got.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("literal", word).alias("w")))).alias("p"))
-    return got.select("doc_id", F.concat_ws("", F.transform("p", lambda x: x["w"])).alias("text"))
+def known_words(docs: DataFrame, col: str = "text") -> list[bytes]:
+    """The vocabulary of all rows by id: VOCABULARY words at most."""
+    return [r.word.encode() for r in vocabulary(words(docs.select(F.lit(0).alias("id"), col), "id", col)).orderBy("id").collect()]
+
+
+def tokenize(docs: DataFrame, known: list[bytes], id_col: str = "doc_id", col: str = "text") -> DataFrame:
+    """(id, ids, literals) of each row with a text: see `words.split`."""
+    code = W.codes(known)
+    return map_bytes(docs.where(F.length(col) > 0), col, lambda x: W.split(x.tobytes(), code), "ids binary, literals binary", [id_col])
+
+
+def _join_tokens(batches: Iterator[pa.RecordBatch], form: list[bytes]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [W.joined(ids, literals, form).decode() for ids, literals in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [batch.schema.names[0], "text"])
+
+
+def detokenize(tokens: DataFrame, known: list[bytes]) -> DataFrame:
+    """Texts from the rows of `tokenize`."""
+    form = [f(w) for f in (bytes, bytes.upper, bytes.capitalize) for w in [*known, *[b""] * (W.MAX_WORDS - len(known))]]
+    bound_batches(tokens)
+    return tokens.mapInArrow(partial(_join_tokens, form=form), StructType([tokens.schema[0], StructField("text", StringType())]))
 
 
 def identifier_counts(df: DataFrame, id_col: str = "doc_id", col: str = "text") -> DataFrame:
@@ -147,10 +167,8 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
-def _tokens(s, d):
-    p = words(spread(_docs(s, d).select("doc_id", "text")))
-    v = vocabulary(p)
-    return word_tokens(p, v), v
+def _texts(s, d):
+    return spread(_docs(s, d).select("doc_id", "text"))
 
 
 def _counted_tokens(s, d):
@@ -159,9 +177,17 @@ def _counted_tokens(s, d):
     return word_tokens(p, vocabulary(p))
 
 
-def _word_codec(s, d):
-    docs = spread(_docs(s, d).select("doc_id", "text"))
-    known = [r.word.encode() for r in vocabulary(words(docs)).orderBy("id").collect()]  # VOCABULARY at most
+def _known(fn):
+    """`fn` of the documents and their vocabulary."""
+
+    def query(s, d):
+        docs = _texts(s, d)
+        return fn(docs, known_words(docs))
+
+    return query
+
+
+def _word_codec(docs, known):
     table_ = W.forms(known)
 
     def both(x):
@@ -209,8 +235,8 @@ QUERIES = {
     "q_case_class": lambda s, d: words(_docs(s, d).select("lang", "text"), "lang").where(F.col("part").rlike("^[a-zA-Z]")).groupBy("lang", C.case_class(F.col("part")).alias("class")).agg(F.count("*").alias("n")),
     "q_word_tokens": lambda s, d: _counted_tokens(s, d).where("kind is not null").groupBy("id", "kind", "doc_id").agg(F.sum("n").alias("n")).groupBy("id", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")),
     "q_word_token_size": lambda s, d: token_bytes(_counted_tokens(s, d)),
-    "q_word_codec": _word_codec,
-    "q_detokenize": lambda s, d: detokenize(*_tokens(s, d)).select("doc_id", F.md5("text").alias("md5")),
+    "q_word_codec": _known(_word_codec),
+    "q_detokenize": _known(lambda docs, known: detokenize(tokenize(docs, known), known).select("doc_id", F.md5("text").alias("md5"))),
     "q_keyword_hits": lambda s, d: table(s, d, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(replace_keywords(F.col("html"))).cast("long").alias("packed_chars")),
     "q_indent_depth": lambda s, d: indents(table(s, d, "pages").select("page_id", F.replace(F.col("html"), F.lit("<p>"), F.lit("\n    <p>")).alias("html")), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("n_lines"), F.count("depth").alias("n_indented"), F.coalesce(F.sum(F.col("depth") * 4 - 1), F.lit(0)).cast("long").alias("saved")),
     "q_identifier_topk": lambda s, d: top_identifiers(identifier_counts(_docs(s, d)), 5).select("doc_id", "rank", "word", "n", "first"),
