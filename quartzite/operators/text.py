@@ -55,6 +55,21 @@ def known_words(docs: DataFrame, col: str = "text") -> list[bytes]:
     return [r.word.encode() for r in vocabulary(words(docs.select(F.lit(0).alias("id"), col), "id", col)).orderBy("id").collect()]
 
 
+#: Ids that are broadcast at most.
+SENT_IDS = 100_000
+
+
+def by_id(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows whose id no other row has, the others): what is asked of an id can be told from such a row alone.  None: no id repeats."""
+    twice = df.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias("_id"))
+    n = twice.limit(SENT_IDS + 1).count()
+    if not n:
+        return df, None
+    twice = F.broadcast(twice) if n <= SENT_IDS else twice.hint("merge")
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    return df.join(twice, same, "left_anti"), df.join(twice, same, "left_semi")
+
+
 def tokenize(docs: DataFrame, known: list[bytes], id_col: str = "doc_id", col: str = "text") -> DataFrame:
     """(id, ids, literals) of each row with a text: see `words.split`."""
     code = W.codes(known)
@@ -90,6 +105,19 @@ def dynamic_dictionary(counts: DataFrame, id_col: str = "doc_id", pool: int = 10
     return top.withColumn("slot", F.row_number().over(Window.partitionBy(id_col).orderBy("rank")) - 1).where(F.col("slot") < size)
 
 
+def frequent_identifiers(df: DataFrame, k: int, id_col: str = "doc_id", col: str = "text") -> DataFrame:
+    """`top_identifiers` of the texts: where no other row has the id, found in the row itself."""
+    one, more = by_id(df.select(id_col, col), id_col)
+
+    def own(x: np.ndarray):
+        n, first = W.names(x.tobytes())
+        for i, (w, c) in enumerate(n.most_common(k)):  # equal counts stay in order of first appearance
+            yield i + 1, w.decode(), c, first[w]
+
+    out = map_bytes(one, col, own, "rank int, word string, n long, first long", [id_col], many=True)
+    return out if more is None else out.unionByName(top_identifiers(identifier_counts(more, id_col, col), k, id_col).select(*out.columns))
+
+
 def replace_keywords(text):
     """Keywords in list order, each by one character of a private range."""
     for i, w in enumerate(C.KEYWORDS):
@@ -239,7 +267,7 @@ QUERIES = {
     "q_detokenize": _known(lambda docs, known: detokenize(tokenize(docs, known), known).select("doc_id", F.md5("text").alias("md5"))),
     "q_keyword_hits": lambda s, d: table(s, d, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(replace_keywords(F.col("html"))).cast("long").alias("packed_chars")),
     "q_indent_depth": lambda s, d: indents(table(s, d, "pages").select("page_id", F.replace(F.col("html"), F.lit("<p>"), F.lit("\n    <p>")).alias("html")), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("n_lines"), F.count("depth").alias("n_indented"), F.coalesce(F.sum(F.col("depth") * 4 - 1), F.lit(0)).cast("long").alias("saved")),
-    "q_identifier_topk": lambda s, d: top_identifiers(identifier_counts(_docs(s, d)), 5).select("doc_id", "rank", "word", "n", "first"),
+    "q_identifier_topk": lambda s, d: frequent_identifiers(_texts(s, d), 5),
     "q_dynamic_dictionary": lambda s, d: dynamic_dictionary(identifier_counts(_docs(s, d))).select("doc_id", "slot", "word", "n"),
     "q_code_tokenize": lambda s, d: map_bytes(_docs(s, d), "text", _code, "n long, packed long, n_words int, back boolean", ["doc_id"]),
     "q_prefix_tags": lambda s, d: table(s, d, "pages").select("page_id", F.coalesce(*(F.when(F.col("url").startswith(p), i) for i, p in enumerate(PREFIXES)), F.lit(-1)).alias("tag")),
