@@ -42,14 +42,6 @@ def word_tokens(parts: DataFrame, vocab: DataFrame) -> DataFrame:
     return got.select(*parts.columns, F.when(kind.isNotNull(), F.col("id")).alias("id"), kind.alias("kind"))
 
 
-def token_bytes(tokens: DataFrame) -> DataFrame:
-    """Per document, from tokens with their number `n`: parts, tokens, bytes; a literal byte outside ASCII has an escape byte before it."""
-    wide = F.octet_length("part") - F.length(F.regexp_replace("part", r"[^\x00-\x7F]", ""))
-    size = F.when(F.col("kind").isNotNull(), 2).otherwise(F.octet_length("part") + wide)
-    known = F.when(F.col("kind").isNotNull(), F.col("n")).otherwise(0)
-    return tokens.groupBy("doc_id").agg(F.sum("n").alias("n_parts"), F.sum(known).alias("n_tokens"), F.sum(size * F.col("n")).alias("packed_bytes"))
-
-
 def known_words(docs: DataFrame, col: str = "text") -> list[bytes]:
     """The vocabulary of all rows by id: VOCABULARY words at most."""
     return [r.word.encode() for r in vocabulary(words(docs.select(F.lit(0).alias("id"), col), "id", col)).orderBy("id").collect()]
@@ -70,6 +62,13 @@ def by_id(df: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
     return df.join(twice, same, "left_anti"), df.join(twice, same, "left_semi")
 
 
+def token_sizes(docs: DataFrame, known: list[bytes], id_col: str = "doc_id", col: str = "text") -> DataFrame:
+    """Per id that has a text: parts, tokens, bytes.  A known word in lower, upper or title case is a two-byte token, all else literal."""
+    code = W.codes(known)
+    rows = map_bytes(docs, col, lambda x: W.sizes(x.tobytes(), code), "n_parts long, n_tokens long, packed_bytes long", [id_col])
+    return rows.where("n_parts > 0").groupBy(id_col).agg(*(F.sum(c).alias(c) for c in ("n_parts", "n_tokens", "packed_bytes")))
+
+
 def tokenize(docs: DataFrame, known: list[bytes], id_col: str = "doc_id", col: str = "text") -> DataFrame:
     """(id, ids, literals) of each row with a text: see `words.split`."""
     code = W.codes(known)
@@ -262,7 +261,7 @@ QUERIES = {
     "q_regex_tokens": lambda s, d: words(_docs(s, d).select("lang", "text"), "lang").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("part").alias("n_distinct")),
     "q_case_class": lambda s, d: words(_docs(s, d).select("lang", "text"), "lang").where(F.col("part").rlike("^[a-zA-Z]")).groupBy("lang", C.case_class(F.col("part")).alias("class")).agg(F.count("*").alias("n")),
     "q_word_tokens": lambda s, d: _counted_tokens(s, d).where("kind is not null").groupBy("id", "kind", "doc_id").agg(F.sum("n").alias("n")).groupBy("id", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")),
-    "q_word_token_size": lambda s, d: token_bytes(_counted_tokens(s, d)),
+    "q_word_token_size": _known(token_sizes),
     "q_word_codec": _known(_word_codec),
     "q_detokenize": _known(lambda docs, known: detokenize(tokenize(docs, known), known).select("doc_id", F.md5("text").alias("md5"))),
     "q_keyword_hits": lambda s, d: table(s, d, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(replace_keywords(F.col("html"))).cast("long").alias("packed_chars")),
