@@ -35,13 +35,6 @@ def vocabulary(parts: DataFrame, size: int = VOCABULARY, least: int = LEAST) ->
     return top.select("word", (F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).alias("id"))  # over at most `size` rows
 
 
-def word_tokens(parts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """parts with `id` and `kind`: a known word in lower (0), upper (1) or title (2) case is a two-byte token, all else literal (null)."""
-    got = parts.join(F.broadcast(vocab.select(F.col("word").alias("_w"), "id")), F.lower("part") == F.col("_w"), "left")  # the vocabulary's size is bounded
-    kind = F.when(F.col("id").isNotNull() & (C.case_class(F.col("part")) < 3), C.case_class(F.col("part")))
-    return got.select(*parts.columns, F.when(kind.isNotNull(), F.col("id")).alias("id"), kind.alias("kind"))
-
-
 def known_words(docs: DataFrame, col: str = "text") -> list[bytes]:
     """The vocabulary of all rows by id: VOCABULARY words at most."""
     return [r.word.encode() for r in vocabulary(words(docs.select(F.lit(0).alias("id"), col), "id", col)).orderBy("id").collect()]
@@ -69,6 +62,33 @@ def token_sizes(docs: DataFrame, known: list[bytes], id_col: str = "doc_id", col
     return rows.where("n_parts > 0").groupBy(id_col).agg(*(F.sum(c).alias(c) for c in ("n_parts", "n_tokens", "packed_bytes")))
 
 
+def _count_tokens(batches: Iterator[pa.RecordBatch], code: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """One row for each token of a task: how often, and in how many rows that have an id."""
+    n, docs = np.zeros((2, 3 * W.MAX_WORDS), np.int64)
+    for batch in batches:
+        for key, x in zip(batch.column(0), batch.column(1), strict=True):
+            got = W.counts(bytes(x.as_buffer() or b""), code) if x.is_valid else {}
+            at = np.array([code[w] for w in got], np.int64)
+            n[at] += np.array([*got.values()], np.int64)
+            docs[at] += key.is_valid
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(docs[at])], ["code", "n", "n_docs"])
+
+
+def token_counts(docs: DataFrame, known: list[bytes], id_col: str = "doc_id", col: str = "text") -> DataFrame:
+    """(id, kind, n, n_docs) of each token: its word, its case (0 lower, 1 upper, 2 title), how often, and at how many ids it stands."""
+    code = W.codes(known)
+    one, more = by_id(docs.select(id_col, F.encode(F.col(col).cast("string"), "UTF-8").alias("x")), id_col)
+    bound_batches(docs)
+    found = one.mapInArrow(partial(_count_tokens, code=code), "code int, n long, n_docs long")
+    if more is not None:
+        each = map_bytes(more, "x", lambda x: ((code[w], c) for w, c in W.counts(x.tobytes(), code).items()), "code int, n long", [id_col], many=True)
+        each = each.groupBy("code", id_col).agg(F.sum("n").alias("n"))
+        found = found.unionByName(each.groupBy("code").agg(F.sum("n").alias("n"), F.count(id_col).alias("n_docs")))
+    found = found.groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
+    return found.select((F.col("code") % W.MAX_WORDS).cast("int").alias("id"), F.floor(F.col("code") / W.MAX_WORDS).cast("int").alias("kind"), "n", "n_docs")
+
+
 def tokenize(docs: DataFrame, known: list[bytes], id_col: str = "doc_id", col: str = "text") -> DataFrame:
     """(id, ids, literals) of each row with a text: see `words.split`."""
     code = W.codes(known)
@@ -198,12 +218,6 @@ def _texts(s, d):
     return spread(_docs(s, d).select("doc_id", "text"))
 
 
-def _counted_tokens(s, d):
-    """Tokens with their number in each document: a row for each different part, not for each part."""
-    p = words(spread(_docs(s, d).select("doc_id", "text"))).groupBy("doc_id", "part").agg(F.count("*").alias("n"))
-    return word_tokens(p, vocabulary(p))
-
-
 def _known(fn):
     """`fn` of the documents and their vocabulary."""
 
@@ -260,7 +274,7 @@ QUERIES = {
     "q_concat_pad": lambda s, d: table(s, d, "benchmark").select("item_id", F.md5(F.concat(F.rpad(F.encode("text", "UTF-8"), 4096, F.unhex(F.lit("00"))), F.substring(F.encode("text", "UTF-8"), 3, 5))).alias("md5")),
     "q_regex_tokens": lambda s, d: words(_docs(s, d).select("lang", "text"), "lang").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("part").alias("n_distinct")),
     "q_case_class": lambda s, d: words(_docs(s, d).select("lang", "text"), "lang").where(F.col("part").rlike("^[a-zA-Z]")).groupBy("lang", C.case_class(F.col("part")).alias("class")).agg(F.count("*").alias("n")),
-    "q_word_tokens": lambda s, d: _counted_tokens(s, d).where("kind is not null").groupBy("id", "kind", "doc_id").agg(F.sum("n").alias("n")).groupBy("id", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs")),
+    "q_word_tokens": _known(token_counts),
     "q_word_token_size": _known(token_sizes),
     "q_word_codec": _known(_word_codec),
     "q_detokenize": _known(lambda docs, known: detokenize(tokenize(docs, known), known).select("doc_id", F.md5("text").alias("md5"))),

@@ -9,7 +9,7 @@ import pytest
 from quartzite import registry
 from quartzite.functions import words as W
 
-NAMES = ("q_detokenize", "q_identifier_topk", "q_word_token_size")
+NAMES = ("q_detokenize", "q_identifier_topk", "q_word_token_size", "q_word_tokens")
 TEXTS = ["alpha Beta GAMMA alpha_1 beta beta délta alpha", None, "", "  ", "word Word WORD wOrd 9word", "ééé", "return return return value value value x x x", "a\0b alpha"]
 ROWS = {
     "unique": [(i, t) for i, t in enumerate(TEXTS)],
