@@ -137,6 +137,21 @@ def frequent_identifiers(df: DataFrame, k: int, id_col: str = "doc_id", col: str
     return out if more is None else out.unionByName(top_identifiers(identifier_counts(more, id_col, col), k, id_col).select(*out.columns))
 
 
+def dictionaries(df: DataFrame, id_col: str = "doc_id", col: str = "text", pool: int = 100, size: int = 16, least: int = 4, often: int = 3) -> DataFrame:
+    """`dynamic_dictionary` of the texts: where no other row has the id, found in the row itself."""
+    one, more = by_id(df.select(id_col, col), id_col)
+    keywords = frozenset(k.encode() for k in C.KEYWORDS)
+
+    def own(x: np.ndarray):
+        top = W.names(x.tobytes())[0].most_common(pool)
+        fit = [(w, c) for w, c in top if len(w) >= least and c >= often and w not in keywords]
+        for i, (w, c) in enumerate(fit[:size]):
+            yield i, w.decode(), c
+
+    out = map_bytes(one, col, own, "slot int, word string, n long", [id_col], many=True)
+    return out if more is None else out.unionByName(dynamic_dictionary(identifier_counts(more, id_col, col), id_col, pool, size, least, often).select(*out.columns))
+
+
 def replace_keywords(text):
     """Keywords in list order, each by one character of a private range."""
     for i, w in enumerate(C.KEYWORDS):
@@ -281,7 +296,7 @@ QUERIES = {
     "q_keyword_hits": lambda s, d: table(s, d, "pages").select("page_id", F.length("html").cast("long").alias("n_chars"), F.length(replace_keywords(F.col("html"))).cast("long").alias("packed_chars")),
     "q_indent_depth": lambda s, d: indents(table(s, d, "pages").select("page_id", F.replace(F.col("html"), F.lit("<p>"), F.lit("\n    <p>")).alias("html")), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("n_lines"), F.count("depth").alias("n_indented"), F.coalesce(F.sum(F.col("depth") * 4 - 1), F.lit(0)).cast("long").alias("saved")),
     "q_identifier_topk": lambda s, d: frequent_identifiers(_texts(s, d), 5),
-    "q_dynamic_dictionary": lambda s, d: dynamic_dictionary(identifier_counts(_docs(s, d))).select("doc_id", "slot", "word", "n"),
+    "q_dynamic_dictionary": lambda s, d: dictionaries(_texts(s, d)),
     "q_code_tokenize": lambda s, d: map_bytes(_docs(s, d), "text", _code, "n long, packed long, n_words int, back boolean", ["doc_id"]),
     "q_prefix_tags": lambda s, d: table(s, d, "pages").select("page_id", F.coalesce(*(F.when(F.col("url").startswith(p), i) for i, p in enumerate(PREFIXES)), F.lit(-1)).alias("tag")),
     "q_magic_sniff": lambda s, d: table(s, d, "pages").select("page_id", magic(F.encode("html", "UTF-8")).alias("magic"), magic(F.encode("url", "UTF-8")).alias("url_magic")),

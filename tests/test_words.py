@@ -9,7 +9,7 @@ import pytest
 from quartzite import registry
 from quartzite.functions import words as W
 
-NAMES = ("q_detokenize", "q_identifier_topk", "q_word_token_size", "q_word_tokens")
+NAMES = ("q_detokenize", "q_identifier_topk", "q_word_token_size", "q_word_tokens", "q_dynamic_dictionary")
 TEXTS = ["alpha Beta GAMMA alpha_1 beta beta délta alpha", None, "", "  ", "word Word WORD wOrd 9word", "ééé", "return return return value value value x x x", "a\0b alpha"]
 ROWS = {
     "unique": [(i, t) for i, t in enumerate(TEXTS)],
@@ -36,6 +36,32 @@ def test_equals_sql_without_moving_rows(spark, tmp_path, name, kind):
     assert "Generate" not in plan and "Window" not in plan  # no row for each word
 
 
+@pytest.mark.parametrize("sent", (100_000, 0))
+@pytest.mark.parametrize("name", ("q_word_token_size", "q_word_tokens"))
+def test_repeated_ids(spark, tmp_path, monkeypatch, name, sent):
+    from quartzite.operators import text
+
+    monkeypatch.setattr(text, "SENT_IDS", sent)
+    rows = [(i // 2 if i != 4 else None, t) for i, t in enumerate(TEXTS)] + [(None, "alpha word"), (1, "beta")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    res = con.execute(registry.ORACLE_SQL[name])
+    names = [c[0] for c in res.description]
+    want = [dict(zip(names, r, strict=True)) for r in res.fetchall()]
+    assert result(registry.QUERIES[name](spark, str(tmp_path)).collect(), names) == result(want, names)
+
+
+def test_repeated_ids_of_identifiers(spark, tmp_path):
+    """Counts of all rows of an id together; an id's single row is as before."""
+    rows = [(1, "value value other"), (1, "value one more"), (2, "single single single")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    top = {(r.doc_id, r.word): r.n for r in registry.QUERIES["q_identifier_topk"](spark, str(tmp_path)).collect()}
+    assert top == {(1, "value"): 3, (1, "other"): 1, (1, "one"): 1, (1, "more"): 1, (2, "single"): 3}
+    own = {(r.doc_id, r.slot, r.word, r.n) for r in registry.QUERIES["q_dynamic_dictionary"](spark, str(tmp_path)).collect()}
+    assert own == {(1, 0, "value", 3), (2, 0, "single", 3)}
+
+
 def test_stretches(monkeypatch):
     x = ("alpha Beta é GAMMA x1_y 9z " * 50 + "q" * 300 + " " * 300 + "end").encode()
     code = W.codes([b"alpha", b"beta", b"gamma"])
