@@ -244,11 +244,11 @@ def _known(fn):
 
 
 def _word_codec(docs, known):
-    table_ = W.forms(known)
+    table_, meaning = W.forms(known), W.inverse(known)
 
     def both(x):
         y = W.encode(x.tobytes(), table_)
-        return len(x), len(y), md5(W.decode(y, known)).hexdigest()
+        return len(x), len(y), md5(W.decode(y, meaning)).hexdigest()
 
     return map_bytes(docs, "text", both, "n long, packed_bytes long, md5 string", ["doc_id"])
 

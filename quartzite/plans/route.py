@@ -54,10 +54,13 @@ def suffix(path: str) -> str:
     return name[name.rindex(".") :].lower() if "." in name else ""
 
 
+_PRINTABLE = bytes([9, 10, 13, *range(32, 127)])
+
+
 def route_one(path: str, head: bytes, lossy: bool = False) -> tuple[int, int]:
     """`route` of one file by its path and first bytes."""
     ext, head = suffix(path), head[:SNIFF_BYTES]
-    text = len(head) > 0 and sum(32 <= b <= 126 or b in (9, 10, 13) for b in head) / len(head) > TEXT_SHARE
+    text = len(head) > 0 and (len(head) - len(head.translate(None, _PRINTABLE))) / len(head) > TEXT_SHARE
     if ext in TEXT:
         return WORDS, 1
     if lossy and ext in AUDIO:

@@ -73,3 +73,15 @@ def test_stretches(monkeypatch):
     monkeypatch.setattr(W, "_stretches", lambda x, end: cut(x, end, 64))
     assert (W.counts(x, code), W.sizes(x, code), W.split(x, code), W.names(x)) == want
     assert list(W.names(x)[0]) == list(want[3][0])
+
+
+def test_parts_are_replaced_without_a_call_for_each(monkeypatch):
+    known = [b"alpha", b"beta", b"the"]
+    table, meaning = W.forms(known), W.inverse(known)
+    x = "The alpha BETA gamma é 1the_beta wOrd ".encode() * 40 + b"\xff\x80 end \xc3"
+    want = re.sub(rb"[a-zA-Z]+|[\x80-\xff]", lambda m: table.get(m[0], m[0]), x)
+    for size in (1 << 20, 1, 5, 64):
+        monkeypatch.setattr(W, "PIECE", size)
+        assert W.encode(x, table) == want
+        assert W.decode(want, meaning) == W.decode(want, known) == x
+        assert W.decode(b"\xa0\x07 \x9f\xff \x80", known) == b"\xa0\x07 \x9f\xff \x80"  # no words: they stay
