@@ -21,3 +21,23 @@ def test_components_equal_union_find(spark, shape):
             root[max(a, b)] = min(a, b)
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {x: find(x) for x in root} and len(got) == len(root)
+
+
+def test_the_drivers_heap_is_collected_during_a_long_job(spark, monkeypatch):
+    import time
+
+    from quartzite.llm import common
+
+    def slow(batches):
+        for b in batches:
+            time.sleep(2)
+            yield b
+
+    def collections():
+        beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    monkeypatch.setattr(common, "COLLECT_S", 0.5, raising=False)
+    before = collections()
+    assert common.materialize(spark.range(3, numPartitions=1).mapInArrow(slow, "id long"), "slow").count() == 3
+    assert collections() >= before + 2
