@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quartzite.functions import kernels as K
-from quartzite.functions.arrow import map_bytes, spread
+from quartzite.functions.arrow import bound_batches, buffers, map_bytes, spread
 from quartzite.functions.columns import float_bits, from_ordinal, ordinal, padding, varint_len, wrap32, zigzag
 from quartzite.operators.entropy import BYTES, FLOATS
 from quartzite.sources.tables import table
 
+#: Blocks of one value that are looked through for repeats at a time.
+STRETCH = 1 << 16
+
 
 def md5(x: np.ndarray) -> str:
     return hashlib.md5(x.tobytes()).hexdigest()
@@ -41,17 +50,121 @@ def blocks(df: DataFrame, size: int, id_col: str = "doc_id", col: str = "text")
     return src.select(id_col, "block_no", F.substring(F.col("x"), F.col("block_no") * size + 1, F.lit(size)).alias("block"))
 
 
-def first_blocks(b: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Each block with the first place, by (id, block_no), of its equal.  The minimum is combined before the shuffle; the join's large keys can be split."""
-    first = b.groupBy("block").agg(F.min(F.struct(id_col, "block_no")).alias("first")).select(F.col("block").alias("same"), F.col(f"first.{id_col}").alias(f"first_{id_col}"), F.col("first.block_no").alias("first_block_no"))
-    return b.join(first, b.block == first.same).drop("same")
-
-
-def restore(unique: DataFrame, index: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Values from unique blocks (id, block_no, block) and the index (id, block_no, first_id, first_block_no)."""
-    u = unique.select(F.col(id_col).alias(f"first_{id_col}"), F.col("block_no").alias("first_block_no"), "block")
-    got = index.join(u, [f"first_{id_col}", "first_block_no"]).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("block_no", F.hex("block").alias("h")))).alias("parts"))
-    return got.select(id_col, F.unhex(F.concat_ws("", F.transform("parts", lambda p: p["h"]))).alias("value"))
+def _distinct(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Blocks with the places that they have in a stretch of a value; a batch goes on as soon as it has as many blocks as a stretch."""
+    for batch in batches:
+        rows, first, more, block = [], [], [], []
+        for row, x in enumerate(batch.column(1)):
+            x = memoryview(x.as_buffer() if x.is_valid else b"")
+            for start in range(0, len(x), STRETCH * size):
+                cut = [bytes(x[k : k + size]) for k in range(start, min(len(x), start + STRETCH * size), size)]
+                at = range(start // size, start // size + len(cut))
+                if len(set(cut)) == len(cut):
+                    first += at
+                    more += [None] * len(cut)
+                else:
+                    places: dict[bytes, list[int]] = {}
+                    for k, v in zip(at, cut, strict=True):
+                        places.setdefault(v, []).append(k)
+                    cut = [*places]
+                    first += (p[0] for p in places.values())
+                    more += (p[1:] or None for p in places.values())
+                block += cut
+                rows += [row] * len(cut)
+                if len(block) >= STRETCH:
+                    yield _columns(schema, batch.column(0).take(pa.array(rows, pa.int64())), first, more, block)
+                    rows, first, more, block = [], [], [], []
+        if block:
+            yield _columns(schema, batch.column(0).take(pa.array(rows, pa.int64())), first, more, block)
+
+
+def _columns(schema: pa.Schema, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _firsts(batches: Iterator[pa.RecordBatch], copies: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sorted blocks with the first place of their equal.  What the next batch needs is the last row and the first of its run."""
+    last, was_first = None, False
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        key, place, more, block = batch.columns
+        new = np.ones(n, bool)
+        new[1:] = pc.not_equal(block[1:], block[:-1]).to_numpy(zero_copy_only=False)
+        if last is not None:
+            new[0] = block[0].as_py() != last[2].as_py()
+        run = np.maximum.accumulate(np.where(new, np.arange(1, n + 1), 0))  # 0: the run of the last batch
+        firsts = [pa.concat_arrays([pa.array([last[k] if last else None], c.type), c]).take(pa.array(run)) for k, c in enumerate((key, place))]
+        counts = pc.fill_null(pc.list_value_length(more), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        at = np.repeat(np.arange(n), counts)
+        head = np.zeros(len(at), bool)
+        head[np.cumsum(counts) - counts] = True
+        places = np.empty(len(at), np.int32)
+        places[head], places[~head] = place.to_numpy(), more.flatten().to_numpy(zero_copy_only=False)
+        is_first = head & new[at]
+        second = ~is_first & np.concatenate(([was_first], is_first[:-1]))
+        last, was_first = (firsts[0][-1].as_py(), firsts[1][-1].as_py(), block[n - 1]), bool(is_first[-1])
+        pick = np.flatnonzero(~is_first) if copies else np.arange(len(at))
+        rows = pa.array(at[pick])
+        yield _columns(schema, key.take(rows), pa.array(places[pick]), *(c.take(rows) for c in firsts), block.take(pa.array(at[pick], mask=~second[pick])))
+
+
+def first_blocks(df: DataFrame, size: int, id_col: str = "doc_id", col: str = "text", copies: bool = False) -> DataFrame:
+    """(id, block_no, first_id, first_block_no, block): each block of `size` bytes with the first place, by (id, block_no), of its equal; the bytes stand at the second place of a block only.
+
+    Blocks are sorted once and looked at in turn, so they cross one shuffle, and a block that is everywhere takes no memory; repeats in a row go together.  copies: without the first places.
+    """
+    bound_batches(df)
+    src = df.select(id_col, F.encode(F.col(col).cast("string"), "UTF-8").alias("x"))
+    key = src.schema[id_col].dataType.simpleString()
+    places = StructType.fromDDL(f"id {key}, block_no int, more array<int>, block binary")
+    b = src.mapInArrow(partial(_distinct, size=size, schema=to_arrow_schema(places)), places).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("id"), "block_no")
+    out = StructType.fromDDL(f"`{id_col}` {key}, block_no int, `first_{id_col}` {key}, first_block_no int, block binary")
+    return b.mapInArrow(partial(_firsts, copies=copies, schema=to_arrow_schema(out)), out)
+
+
+def _handed_on(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """(id, part): blocks handed on to the rows after theirs, which name the same first place."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            key, place, block = batch.columns[0], batch.columns[1], batch.columns[-1]
+            block = pc.fill_null_forward(pa.concat_arrays([pa.array([last], block.type), block]))[1:]
+            last = block[-1].as_py()
+            yield _columns(schema, key, pa.StructArray.from_arrays([place, block], fields=[*schema.field(1).type]))
+
+
+def _restored(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Values from what a row keeps and its copies' blocks."""
+    for batch in batches:
+        values = []
+        for x, parts in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True):
+            x = K.as_bytes(x.as_buffer() if x.is_valid else None)
+            if parts.is_valid:
+                places, block = (parts.values.field(k) for k in range(2))
+                order = pc.sort_indices(places)
+                places = places.take(order).to_numpy()
+                x = K.fill_blocks(K.cut_blocks(x, places, size), places, buffers(block.take(order))[0], size)
+            values.append(x.tobytes())
+        yield _columns(schema, *batch.columns[:-2], values)
+
+
+def restore(df: DataFrame, copies: DataFrame, size: int, id_col: str, col: str = "text") -> DataFrame:
+    """All columns but `col`, and `value`: bytes restored from the blocks that stand somewhere first and the index of the others.
+
+    df: its ids have one row each; copies: `first_blocks` of it without the first places.  A row keeps its bytes but for its copies' blocks.  Those stand once, and meet the index by first place, sorted, so that a block that is everywhere takes no memory; only they move, as the rows do once.
+    """
+    bound_batches(df)
+    first = [f"first_{id_col}", "first_block_no"]
+    met = copies.repartition(*first).sortWithinPartitions(*first, F.asc_nulls_last("block"))
+    part = StructType.fromDDL(f"_id {copies.schema[id_col].dataType.simpleString()}, part struct<block_no: int, block: binary>")
+    parts = met.mapInArrow(partial(_handed_on, schema=to_arrow_schema(part)), part)
+    parts = parts.repartition("_id").groupBy("_id").agg(F.collect_list("part").alias("_parts"))
+    rest = [c for c in df.columns if c != col]
+    got = df.join(parts, df[id_col] == parts["_id"], "left").select(*rest, F.encode(F.col(col).cast("string"), "UTF-8").alias("_x"), "_parts")
+    out = StructType([*(got.schema[c] for c in rest), *StructType.fromDDL("value binary").fields])
+    return got.mapInArrow(partial(_restored, size=size, schema=to_arrow_schema(out)), out)
 
 
 def shifted(values: Column) -> Column:
@@ -99,8 +212,11 @@ def _bwt(x: np.ndarray) -> tuple:
     return len(x), primary, md5(last), int((lf * (np.arange(len(last)) + 1)).sum()), md5(K.unbwt(last, primary))
 
 
-def _dedup(s, d, size=64):
-    return first_blocks(blocks(table(s, d, "documents"), size))
+def _block_restore(s, d, size=64):
+    """Rows have keys of their own, as ids may be null or repeat."""
+    docs = table(s, d, "documents").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    value = restore(docs, first_blocks(docs, size, "row", copies=True), size, "row")
+    return value.select("doc_id", F.octet_length("value").cast("long").alias("n"), F.md5("value").alias("md5")).where("n > 0")
 
 
 QUERIES = {
@@ -114,9 +230,9 @@ QUERIES = {
     "q_mask_pcm": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", level1_md5=lambda x: K.mask_pcm(x, 1), level2_md5=lambda x: K.mask_pcm(x, 2)),
     "q_mask_pixels": lambda s, d: transform_digest(table(s, d, "documents"), "doc_id", "text", level1_md5=lambda x: K.mask_pixels(x, 1), level2_md5=lambda x: K.mask_pixels(x, 2)),
     "q_chunk": lambda s, d: blocks(table(s, d, "documents"), 4096).select("doc_id", "block_no", F.octet_length("block").cast("long").alias("n"), F.md5("block").alias("md5")),
-    "q_block_dedup": lambda s, d: _dedup(s, d).select("doc_id", "block_no", "first_doc_id", "first_block_no", (~((F.col("doc_id") == F.col("first_doc_id")) & (F.col("block_no") == F.col("first_block_no")))).alias("duplicate")),
+    "q_block_dedup": lambda s, d: first_blocks(table(s, d, "documents"), 64).select("doc_id", "block_no", "first_doc_id", "first_block_no", (~((F.col("doc_id") == F.col("first_doc_id")) & (F.col("block_no") == F.col("first_block_no")))).alias("duplicate")),
     "q_dedup_stats": lambda s, d: blocks(table(s, d, "documents"), 64).groupBy("block").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n_blocks"), F.count("*").alias("n_unique"), F.sum(F.col("n") - 1).alias("n_dups")),
-    "q_block_restore": lambda s, d: (lambda x: restore(x.where("doc_id = first_doc_id and block_no = first_block_no"), x.drop("block")))(_dedup(s, d)).select("doc_id", F.octet_length("value").cast("long").alias("n"), F.md5("value").alias("md5")),
+    "q_block_restore": _block_restore,
     "q_u32_delta": lambda s, d: _arith(table(s, d, "embeddings")),
     "q_zigzag_varint": lambda s, d: _zigzag(table(s, d, "embeddings")),
     "q_float_ordinal": lambda s, d: bits_of(table(s, d, "embeddings")).select("vec_id", F.posexplode("u").alias("i", "u")).select("vec_id", F.col("i").cast("long").alias("i"), ordinal(F.col("u")).alias("ordinal"), from_ordinal(ordinal(F.col("u"))).alias("back")),
