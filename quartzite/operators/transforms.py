@@ -22,6 +22,8 @@ from quartzite.sources.tables import table
 
 #: Blocks of one value that are looked through for repeats at a time.
 STRETCH = 1 << 16
+#: Copies of a block that meet its bytes in one task.
+SHARE = 256
 
 
 def md5(x: np.ndarray) -> str:
@@ -83,8 +85,8 @@ def _columns(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def _firsts(batches: Iterator[pa.RecordBatch], copies: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Sorted blocks with the first place of their equal.  What the next batch needs is the last row and the first of its run."""
-    last, was_first = None, False
+    """Sorted blocks with the first place of their equal.  What the next batch needs is the last block, the first place of its run and how many places were seen."""
+    last, seen = None, 0
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -103,15 +105,16 @@ def _firsts(batches: Iterator[pa.RecordBatch], copies: bool, schema: pa.Schema)
         places = np.empty(len(at), np.int32)
         places[head], places[~head] = place.to_numpy(), more.flatten().to_numpy(zero_copy_only=False)
         is_first = head & new[at]
-        second = ~is_first & np.concatenate(([was_first], is_first[:-1]))
-        last, was_first = (firsts[0][-1].as_py(), firsts[1][-1].as_py(), block[n - 1]), bool(is_first[-1])
+        start = np.maximum.accumulate(np.where(is_first, np.arange(len(at)), -seen))
+        rank = np.arange(len(at)) - start - 1  # -1: the first place
+        last, seen = (firsts[0][-1].as_py(), firsts[1][-1].as_py(), block[n - 1]), int(len(at) - start[-1])
         pick = np.flatnonzero(~is_first) if copies else np.arange(len(at))
         rows = pa.array(at[pick])
-        yield _columns(schema, key.take(rows), pa.array(places[pick]), *(c.take(rows) for c in firsts), block.take(pa.array(at[pick], mask=~second[pick])))
+        yield _columns(schema, key.take(rows), pa.array(places[pick]), *(c.take(rows) for c in firsts), pa.array((rank // SHARE)[pick].astype(np.int32)), block.take(pa.array(at[pick], mask=rank[pick] % SHARE > 0)))
 
 
 def first_blocks(df: DataFrame, size: int, id_col: str = "doc_id", col: str = "text", copies: bool = False) -> DataFrame:
-    """(id, block_no, first_id, first_block_no, block): each block of `size` bytes with the first place, by (id, block_no), of its equal; the bytes stand at the second place of a block only.
+    """(id, block_no, first_id, first_block_no, share, block): each block of `size` bytes with the first place, by (id, block_no), of its equal.  Its copies come in shares of at most 256, and the bytes stand at one copy of a share.
 
     Blocks are sorted once and looked at in turn, so they cross one shuffle, and a block that is everywhere takes no memory; repeats in a row go together.  copies: without the first places.
     """
@@ -120,12 +123,12 @@ def first_blocks(df: DataFrame, size: int, id_col: str = "doc_id", col: str = "t
     key = src.schema[id_col].dataType.simpleString()
     places = StructType.fromDDL(f"id {key}, block_no int, more array<int>, block binary")
     b = src.mapInArrow(partial(_distinct, size=size, schema=to_arrow_schema(places)), places).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("id"), "block_no")
-    out = StructType.fromDDL(f"`{id_col}` {key}, block_no int, `first_{id_col}` {key}, first_block_no int, block binary")
+    out = StructType.fromDDL(f"`{id_col}` {key}, block_no int, `first_{id_col}` {key}, first_block_no int, share int, block binary")
     return b.mapInArrow(partial(_firsts, copies=copies, schema=to_arrow_schema(out)), out)
 
 
 def _handed_on(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """(id, part): blocks handed on to the rows after theirs, which name the same first place."""
+    """(id, part): blocks handed on to the rows after theirs, which name the same first place and share."""
     last = None
     for batch in batches:
         if batch.num_rows:
@@ -153,10 +156,10 @@ def _restored(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema) -
 def restore(df: DataFrame, copies: DataFrame, size: int, id_col: str, col: str = "text") -> DataFrame:
     """All columns but `col`, and `value`: bytes restored from the blocks that stand somewhere first and the index of the others.
 
-    df: its ids have one row each; copies: `first_blocks` of it without the first places.  A row keeps its bytes but for its copies' blocks.  Those stand once, and meet the index by first place, sorted, so that a block that is everywhere takes no memory; only they move, as the rows do once.
+    df: its ids have one row each; copies: `first_blocks` of it without the first places.  A row keeps its bytes but for its copies' blocks.  Those stand once for each share of the copies, and meet the index by first place and share, so that a block that is everywhere is not one task's; only they move, as the rows do once.
     """
     bound_batches(df)
-    first = [f"first_{id_col}", "first_block_no"]
+    first = [f"first_{id_col}", "first_block_no", "share"]
     met = copies.repartition(*first).sortWithinPartitions(*first, F.asc_nulls_last("block"))
     part = StructType.fromDDL(f"_id {copies.schema[id_col].dataType.simpleString()}, part struct<block_no: int, block: binary>")
     parts = met.mapInArrow(partial(_handed_on, schema=to_arrow_schema(part)), part)

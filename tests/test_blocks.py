@@ -1,6 +1,7 @@
 """Repeated blocks found and restored, against the SQL; how much of the texts is moved for it."""
 
 import random
+from collections import Counter
 from functools import partial
 
 import duckdb
@@ -68,15 +69,17 @@ def test_texts_are_moved_few_times(spark, tmp_path, name, most):
 
 @pytest.mark.parametrize("stretch", [1, 3, 1 << 16])
 @pytest.mark.parametrize("rows", [1, 2, 1000])
-def test_runs_over_batches_and_stretches(monkeypatch, stretch, rows):
+@pytest.mark.parametrize("share", [1, 2, 1 << 10])
+def test_runs_over_batches_and_stretches(monkeypatch, stretch, rows, share):
     monkeypatch.setattr(T, "STRETCH", stretch)
+    monkeypatch.setattr(T, "SHARE", share)
     values = [(t or "").encode() for t in TEXTS]
     schema = to_arrow_schema(StructType.fromDDL("id long, block_no int, more array<int>, block binary"))
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(TEXTS)), pa.int64()), pa.array([t and t.encode() for t in TEXTS], pa.binary())], ["id", "x"])
     found = [r for b in T._distinct(iter([batch]), 64, schema) for r in b.to_pylist()]
     found.sort(key=lambda r: (r["block"], r["id"], r["block_no"]))
     batches = [pa.RecordBatch.from_pylist(found[k : k + rows], schema) for k in range(0, len(found), rows)]
-    out = to_arrow_schema(StructType.fromDDL("id long, block_no int, first_id long, first_block_no int, block binary"))
+    out = to_arrow_schema(StructType.fromDDL("id long, block_no int, first_id long, first_block_no int, share int, block binary"))
     run = lambda copies: [tuple(r.values()) for b in partial(T._firsts, copies=copies, schema=out)(iter(batches)) for r in b.to_pylist()]
     first, want = {}, {}
     for i, x in enumerate(values):
@@ -86,9 +89,10 @@ def test_runs_over_batches_and_stretches(monkeypatch, stretch, rows):
     assert len(got) == len(want) and {r[:2]: r[2:4] for r in got} == want
     copies = run(True)
     assert sorted(r[:4] for r in copies) == sorted((*p, *f) for p, f in want.items() if p != f)
-    shared = [r for r in copies if r[4] is not None]
-    assert sorted(r[2:4] for r in shared) == sorted({r[2:4] for r in copies})
-    assert all(r[4] == values[r[2]][r[3] * 64 : r[3] * 64 + 64] for r in shared)
+    shared = [r for r in copies if r[5] is not None]
+    assert sorted(r[2:5] for r in shared) == sorted({r[2:5] for r in copies})
+    assert max(Counter(r[2:5] for r in copies).values()) <= share
+    assert all(r[5] == values[r[2]][r[3] * 64 : r[3] * 64 + 64] for r in shared)
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 128, 200])
